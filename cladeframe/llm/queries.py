@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, sharding, spotsigs
+from . import bpe, decontaminate, jaccard, sharding, spotsigs
 from .common import prepare
 
 
@@ -18,6 +18,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_table(spark, sf_dir, "documents"))
+
+
 def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shard(_table(spark, sf_dir, "documents"), 40))
 
@@ -31,11 +35,11 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_byte_bpe, op8_external_shuffle, op9_winnowing, op10_spotsigs)}
+    return {f.__name__: f for f in (op6_byte_bpe, op7_ngram_jaccard, op8_external_shuffle, op9_winnowing, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_winnowing": OP9}
+    return {"op7_ngram_jaccard": OP7, "op9_winnowing": OP9}
 
 
 OP9 = r"""
@@ -54,3 +58,15 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n_hit, 0)
   sha256(coalesce(i.items, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
 """
+
+OP7 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[p : p + 4], ' ')) AS x FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM o JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+r AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v AND r.c < l.b)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = d.doc_id
+"""
