@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, sharding, spotsigs
+from . import bpe, decontaminate, jaccard, language, sharding, spotsigs
 from .common import prepare
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_byte_bpe, op7_ngram_jaccard, op8_external_shuffle, op9_winnowing, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_language, op6_byte_bpe, op7_ngram_jaccard, op8_external_shuffle, op9_winnowing, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
