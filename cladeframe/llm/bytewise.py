@@ -90,11 +90,12 @@ class Words:
         at = np.flatnonzero(self.doc[:n] == self.doc[k - 1 :])
         return at, mix(acc[at] + U(k))
 
-    def run_hash(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Hash of the words first..last-1 of each run, whatever stands between them; no words: 0."""
+    def run_hash(self, first: np.ndarray, last: np.ndarray, salt: int = 0) -> np.ndarray:
+        """Hash of the words first..last-1 of each run, whatever stands between them. Another salt, another hash."""
         up, down = powers(len(self.hash) + 1)
         sums = np.zeros(len(self.hash) + 1, U)
-        np.cumsum(self.hash * up[: len(self.hash)], out=sums[1:])
+        own = mix(self.hash ^ U(salt)) if salt else self.hash
+        np.cumsum(own * up[: len(own)], out=sums[1:])
         return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(U))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,23 @@ def prepare(spark: SparkSession) -> SparkSession:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    _ship(sc)
     return spark
 
 
+def _ship(sc) -> None:
+    """Send this package to the executors, once for each context: their Python need not have it."""
+    if getattr(sc, "_cladeframe_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="package-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(path))
+    sc._cladeframe_shipped = True
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, key: str, n_ids: int, anti: bool = False) -> DataFrame:
     """Rows of df whose key is (anti: is not) in ids, which has n_ids rows. A counted small set goes to each executor."""
     ids = ids.select(key)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, language, sharding, spotsigs
+from . import bpe, decontaminate, jaccard, language, sharding, spotsigs, suffixes, units
 from .common import prepare
 
 
@@ -18,6 +18,14 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.repeated(_table(spark, sf_dir, "documents")))
+
+
+def op4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.digest(units.repeated(_table(spark, sf_dir, "documents")))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"))
 
@@ -39,11 +47,11 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op6_byte_bpe, op7_ngram_jaccard, op8_external_shuffle, op9_winnowing, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_language, op2_suffix_arrays, op4_units, op6_byte_bpe, op7_ngram_jaccard, op8_external_shuffle, op9_winnowing, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ngram_jaccard": OP7, "op9_winnowing": OP9}
+    return {"op2_suffix_arrays": OP2, "op4_units": OP4, "op7_ngram_jaccard": OP7, "op9_winnowing": OP9}
 
 
 OP9 = r"""
@@ -63,6 +71,30 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n_hit, 0)
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
+OP2 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 99)) AS p, x FROM d WHERE n >= 100),
+k AS (SELECT doc_id, p, row_number() OVER (PARTITION BY hash(substr(x, 2 * p + 1, 200)) ORDER BY doc_id, p) > 1 AS again FROM w),
+g AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 100, true) AS new FROM k WHERE again),
+r AS (SELECT doc_id, p, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM r GROUP BY doc_id, run),
+t AS (SELECT doc_id, 0 AS a, a AS b, run FROM s WHERE run = 1 UNION ALL
+      SELECT s.doc_id, s.b, coalesce(z.a, d.n), s.run + 1 FROM s JOIN d USING (doc_id) LEFT JOIN s z ON z.doc_id = s.doc_id AND z.run = s.run + 1),
+u AS (SELECT t.doc_id, string_agg(substr(d.x, 2 * t.a + 1, 2 * (t.b - t.a)), '' ORDER BY t.run) AS kept FROM t JOIN d USING (doc_id) GROUP BY t.doc_id),
+c AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(u.kept, d.x))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN u USING (doc_id)
+"""
+
+OP4 = r"""
+WITH u AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\n]*?(?:[.!?] |\n)|[^\n]+$')) AS s, generate_subscripts(regexp_extract_all(text, '[^\n]*?(?:[.!?] |\n)|[^\n]+$'), 1) AS i FROM documents),
+w AS (SELECT *, regexp_extract_all(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS x FROM u),
+r AS (SELECT *, row_number() OVER (PARTITION BY array_to_string(x, ' ') ORDER BY doc_id, i) > 1 AND len(x) >= 6 AS gone FROM w),
+g AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed_units, sum(strlen(s)) FILTER (gone) AS n_removed, string_agg(s, '' ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(n_removed_units, 0) AS BIGINT) AS n_removed_units, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(kept, '') AS kept_text
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
 OP7 = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0),
