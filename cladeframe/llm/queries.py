@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, language, sharding, spotsigs, suffixes, units
+from . import bpe, decontaminate, jaccard, language, licenses, lmscore, sharding, spotsigs, suffixes, units
 from .common import prepare
 
 
@@ -22,10 +22,18 @@ def op2_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.repeated(_table(spark, sf_dir, "documents")))
 
 
+def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.digest(units.repeated(_table(spark, sf_dir, "documents")))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.as_files(_table(spark, sf_dir, "documents")))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_suffix_arrays, op4_units, op6_byte_bpe, op7_ngram_jaccard, op8_external_shuffle, op9_winnowing, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_language, op2_suffix_arrays, op3_cross_entropy, op4_units, op5_licences, op6_byte_bpe, op7_ngram_jaccard, op8_external_shuffle, op9_winnowing, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
