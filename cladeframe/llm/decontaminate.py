@@ -26,7 +26,7 @@ WINDOW, K = 10, 6
 W = WINDOW - K + 1
 #: Bytes of benchmark texts up to which the benchmark's index goes to each executor; a larger benchmark is split into
 #: blocks of about this size, each of which meets all documents.
-INDEX_BYTES = 64 << 20
+INDEX_BYTES = 4 << 20
 
 HITS = "doc_id long, n_words long, hit_start array<long>, hit_end array<long>, items array<string>"
 
