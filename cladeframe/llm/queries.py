@@ -81,8 +81,11 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
 
 OP2 = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
-w AS (SELECT doc_id, unnest(range(0, n - 99)) AS p, x FROM d WHERE n >= 100),
-k AS (SELECT doc_id, p, row_number() OVER (PARTITION BY hash(substr(x, 2 * p + 1, 200)) ORDER BY doc_id, p) > 1 AS again FROM w),
+b AS (SELECT doc_id, n, x, unnest(range(0, n - 99, 256)) AS c FROM d WHERE n >= 100),
+y AS (SELECT doc_id, c, least(256, n - 99 - c) AS m, substr(x, 2 * c + 1, 710) AS z FROM b),
+w AS (SELECT doc_id, c, unnest(range(0, m)) AS q, z FROM y),
+h AS (SELECT doc_id, c + q AS p, hash(substr(z, 2 * q + 1, 200)) AS h FROM w),
+k AS (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1 AS again FROM h),
 g AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 100, true) AS new FROM k WHERE again),
 r AS (SELECT doc_id, p, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
 s AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM r GROUP BY doc_id, run),

@@ -1,0 +1,452 @@
+"""The operators against plain versions of what they promise, and on awkward rows."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from cladeframe.llm import bpe, decontaminate, jaccard, language, licenses, lmscore, sharding, spotsigs, suffixes, units
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard string"
+
+
+def prose(rnd, n, words=None):
+    words = words or ["the", "of", "and", "a", "is", "to", "in", "alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel", "india", "Übung", "naïve"]
+    out = []
+    for _ in range(n):
+        out.append(rnd.choice(words) if rnd.random() < 0.5 else "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))))
+        if rnd.random() < 0.08:
+            out[-1] += "."
+        if rnd.random() < 0.03:
+            out[-1] += "\n"
+    return " ".join(out)
+
+
+def corpus():
+    """Copies, near copies, shared passages, nulls, blanks, very short and long texts; columns with clashing names."""
+    rnd = random.Random(11)
+    texts = [prose(rnd, rnd.randint(1, 200)) for _ in range(40)]
+    passage = prose(rnd, 60)
+    texts += [texts[3]] * 5 + [None, "", "   ", "\n", "a", "A", "no", "12 34", "é", "!!!"]
+    for i in (5, 6, 7, 8):
+        w = texts[i].split(" ")
+        for _ in range(max(1, len(w) // 60)):
+            w[rnd.randrange(len(w))] = "changed"
+        texts += [" ".join(w), " ".join(w[:-1]), texts[i] + " and more"]
+    texts += [prose(rnd, 30) + " " + passage + " " + prose(rnd, 20) for _ in range(6)]
+    texts += ["ab" * 400, "x" * 350, "word " * 300, prose(rnd, 6000)]
+    return [(i * 7 % 1009, t, ["en", "de", None][i % 3], "s", len(t or ""), 0.5, "x") for i, t in enumerate(texts)]
+
+
+ROWS = corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SOLID = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+# op2
+
+
+def naive_suffixes(rows):
+    seen, out = {}, {}
+    for doc, text in sorted((r[0], r[1]) for r in rows):
+        data, gone = (text or "").encode(), set()
+        for i in range(len(data) - 99):
+            if data[i : i + 100] in seen:
+                gone.update(range(i, i + 100))
+            else:
+                seen[data[i : i + 100]] = doc
+        kept = bytes(b for i, b in enumerate(data) if i not in gone)
+        out[doc] = (len(data), len(gone), sum(i - 1 not in gone for i in gone), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_suffixes(docs, none, spark, monkeypatch):
+    expected = naive_suffixes(ROWS)
+    run = lambda d: {r[0]: tuple(r)[1:] for r in suffixes.digest(suffixes.repeated(d)).collect()}
+    assert run(docs) == expected
+    monkeypatch.setattr(suffixes, "SENT", 0)  # repeated anchors are joined
+    assert run(docs) == expected
+    assert run(none) == {}
+
+
+def test_suffixes_hot(docs, monkeypatch):
+
+    monkeypatch.setattr(suffixes, "HOT", 2)  # longer anchors
+    assert {r[0]: tuple(r)[1:] for r in suffixes.digest(suffixes.repeated(docs)).collect()} == naive_suffixes(ROWS)
+    monkeypatch.setattr(suffixes, "SPREAD", 2)  # that are spread, shards merged
+    assert {r[0]: tuple(r)[1:] for r in suffixes.digest(suffixes.repeated(docs)).collect()} == naive_suffixes(ROWS)
+
+
+# op7
+
+
+def naive_components(rows):
+    sets = {}
+    for doc, text, *_ in rows:
+        w = SOLID.findall(lower(text))
+        sets[doc] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    comp = {d: d for d in sets}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                comp[y] = x
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def test_jaccard(docs, none, spark, monkeypatch):
+    run = lambda d: {r[0]: tuple(r)[1:] for r in jaccard.components(d).collect()}
+    assert run(docs) == naive_components(ROWS)
+    assert run(none) == {}
+    kept = {r["doc_id"] for r in jaccard.one_of_each(docs).collect()}
+    assert kept == {d for d, (_, c) in naive_components(ROWS).items() if d == c}
+    assert jaccard.one_of_each(docs).columns == docs.columns
+
+
+def test_jaccard_chains(spark):
+    """Groups whose members are not all similar to each other or to their smallest."""
+    rnd = random.Random(5)
+    rows = []
+    for g in range(4):
+        words = [f"w{g}_{i}" for i in range(80)]
+        for _ in range(25):
+            rows.append(" ".join(words))
+            words = list(words)
+            words[rnd.randrange(80)] = f"n{rnd.random()}"
+    rnd.shuffle(rows)
+    rows = [(i, t) for i, t in enumerate(rows)]
+    got = {r[0]: tuple(r)[1:] for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == naive_components(rows)
+
+
+def test_tree_finds_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 9, (12, 64))
+    vecs = np.concatenate([np.maximum(b + rng.integers(-1, 2, (25, 64)), 0) for b in base]).astype(np.int64)
+    sizes, comps = vecs.sum(1), rng.integers(0, 200, len(vecs))
+    found = {tuple(sorted(p)) for x, y in jaccard.Tree(vecs, sizes, comps).pairs() for p in zip(x.tolist(), y.tolist(), strict=True)}
+    expected = {
+        (i, j) for i in range(len(vecs)) for j in range(i + 1, len(vecs))
+        if comps[i] != comps[j] and jaccard.enough(int(np.minimum(vecs[i], vecs[j]).sum()), int(sizes[i]), int(sizes[j]))
+    }
+    assert found == expected and expected
+
+
+# op9
+
+
+def naive_hits(rows, items):
+    windows = {}
+    for item, text in items:
+        w = ALNUM.findall(lower(text))
+        k = min(10, len(w))
+        for i in range(len(w) - k + 1 if k else 0):
+            windows.setdefault(tuple(w[i : i + k]), set()).add(str(item))
+    out = {}
+    for doc, text, *_ in rows:
+        w, hit, found = ALNUM.findall(lower(text)), set(), set()
+        for k in {len(x) for x in windows}:
+            for i in range(len(w) - k + 1):
+                if got := windows.get(tuple(w[i : i + k])):
+                    hit.update(range(i, i + k))
+                    found |= got
+        out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+    return out
+
+
+def test_decontaminate(docs, none, spark, monkeypatch):
+    rnd = random.Random(2)
+    items = [(1, " ".join(ROWS[2][1].split(" ")[3:30])), (2, None), (3, ""), (4, "Alpha BRAVO"), (5, prose(rnd, 40)), (6, ROWS[60][1]), (10, " ".join(ROWS[2][1].split(" ")[10:40])), (7, "a"), (8, "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    run = lambda d: {r[0]: tuple(r)[1:] for r in decontaminate.digest(decontaminate.hits(d, bench)).collect()}
+    expected = naive_hits(ROWS, items)
+    assert run(docs) == expected
+    assert run(none) == {}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {d for d, x in expected.items() if not x[-1]}
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 100)  # the benchmark in blocks
+    assert run(docs) == expected
+    empty = {r[0]: tuple(r)[1:] for r in decontaminate.digest(decontaminate.hits(docs, bench.limit(0))).collect()}
+    assert empty == naive_hits(ROWS, [])
+
+
+# op4
+
+
+def naive_units(rows):
+    seen, out = set(), {}
+    for doc, text, *_ in sorted(rows, key=lambda r: r[0]):
+        parts = re.findall(r"[^\n]*?(?:[.!?] |\n)|[^\n]+$", text or "")
+        kept, gone = [], 0
+        for p in parts:
+            w = tuple(ALNUM.findall(lower(p)))
+            if len(w) >= units.LEAST_WORDS and w in seen:
+                gone += 1
+            else:
+                kept.append(p)
+            seen.add(w)
+        out[doc] = (len(parts), gone, len((text or "").encode()) - len("".join(kept).encode()), "".join(kept))
+    return out
+
+
+def test_units(docs, none):
+    run = lambda d: {r[0]: tuple(r)[1:] for r in units.digest(units.repeated(d)).collect()}
+    expected = naive_units(ROWS)
+    assert run(docs) == expected and sum(x[1] for x in expected.values()) > 20
+    assert run(none) == {}
+    out = units.without_repeats(docs)
+    assert out.columns == docs.columns
+    texts = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
+    assert texts == {d: (None if t is None else expected[d][3], len(expected[d][3])) for d, t in ((r[0], r[1]) for r in ROWS) if t is None or expected[d][3] or not expected[d][1]}
+
+
+# op6
+
+
+@pytest.fixture(scope="module")
+def codec():
+    P = pytest.importorskip("public_tokenizers")
+    return bpe.Codec(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+
+
+def test_bpe(codec, docs, none):
+    tiktoken = pytest.importorskip("tiktoken")
+    plain = tiktoken.Encoding("own", pat_str=codec.split.pattern, mergeable_ranks=codec.ranks, special_tokens={})
+    rnd = random.Random(4)
+    texts = [r[1] or "" for r in ROWS] + ["".join(rnd.choice("abcde thinor\n\t’éß中😀1,.! ") for _ in range(rnd.randint(0, 80))) for _ in range(500)]
+    texts += ["".join(rnd.choice("abcdehtinors") for _ in range(2000)), "a" * 3000, "<|endoftext|>", " " * 1000]
+    for t in texts:
+        assert codec.encode(t) == plain.encode_ordinary(t)
+        assert codec.decode(codec.encode(t)) == t.encode()
+    expected = {}
+    for d, t, *_ in ROWS:
+        ids = plain.encode_ordinary(t or "")
+        expected[d] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+    assert {r[0]: tuple(r)[1:] for r in bpe.digest(docs).collect()} == expected
+    assert bpe.digest(none).count() == 0
+    back = bpe.decode(bpe.encode(docs)).collect()
+    assert all(bytes(r["decoded"]) == (r["text"] or "").encode() and r["lang"] == r["lang"] for r in back) and len(back) == len(ROWS)
+
+
+def test_bpe_long_texts_in_groups(codec, monkeypatch):
+    text = ROWS[-1][1]
+    whole = codec.digest(text)
+    monkeypatch.setattr(bpe, "LONG", 50)
+    assert codec.digest(text) == whole
+
+
+# op8
+
+
+def test_sharding(docs, none, spark):
+    rows = sharding.digest(sharding.shard(docs, 7, bucket_bytes=4000)).collect()
+    texts = {r[0]: (r[1] or "").encode() for r in ROWS}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in rows} == {d: (len(t) + 16, zlib.crc32(t), "rows", None) for d, t in texts.items()}
+    assert len(rows) == len(ROWS)
+    by = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert set(by) == set(range(7)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+    again = sharding.shard(docs.repartition(3), 7, bucket_bytes=4000).select("doc_id", "shard", "slot")
+    assert {tuple(r) for r in again.collect()} == {(r["doc_id"], r["shard"], r["slot"]) for r in rows}
+    other = sharding.shard(docs, 7, seed=1, bucket_bytes=4000).select("doc_id", "shard", "slot")
+    assert {tuple(r) for r in other.collect()} != {(r["doc_id"], r["shard"], r["slot"]) for r in rows}
+    assert sharding.shard(none, 40).count() == 0
+    twins = spark.createDataFrame([(None, "x"), (None, "x"), (1, None), (1, None)], "doc_id long, text string")
+    assert sorted(r["slot"] for r in sharding.shard(twins, 1).collect()) == [0, 1, 2, 3]
+
+
+def test_shuffle_is_even(spark):
+    n = 4000
+    rows = sharding.shard(spark.range(n).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), 4, bucket_bytes=5000).collect()
+    first = [r["doc_id"] for r in rows if r["shard"] == 0]
+    assert abs(sum(first) / len(first) - n / 2) < 5 * n / (12 * len(first)) ** 0.5
+
+
+def test_write_shards(docs, tmp_path, spark):
+    sharding.write_shards(docs, f"{tmp_path}/s", 3)
+    assert sorted(r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/s").collect()) == sorted(r[0] for r in ROWS)
+
+
+# op10
+
+
+def naive_chains(text):
+    common = set(spotsigs.ANCHORS.split())
+    words = [w for w in re.split(spotsigs.BETWEEN, (text or "").lower())]
+    out = set()
+    for i, w in enumerate(words):
+        if w in common:
+            chain, passed = [w], 0
+            for x in words[i + 1 :]:
+                if x in common:
+                    passed += 1
+                    if passed > spotsigs.REACH:
+                        break
+                elif x:
+                    chain.append(x)
+                if len(chain) > spotsigs.CHAIN:
+                    out.add(" ".join(chain))
+                    break
+    return out
+
+
+def test_spotsigs(docs, none, spark):
+    got = {r["doc_id"]: r for r in spotsigs.compare_neighbours(docs).collect()}
+    ids = sorted(r[0] for r in ROWS)
+    texts = {r[0]: r[1] or "" for r in ROWS}
+    assert set(got) == set(ids)
+    for i, d in enumerate(ids):
+        nxt = texts[ids[(i + 1) % len(ids)]]
+        t, r = texts[d], got[d]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        a, b, c = naive_chains(t), naive_chains(edited), naive_chains(nxt)
+        if a:
+            assert len(r["fingerprint"].split(" ")) == len(a)
+        for x, near in ((b, "near_edited"), (c, "near_next")):
+            if a and x:
+                assert r[near] == pytest.approx(len(a & x) / len(a | x))
+            elif bool(a) != bool(x):
+                assert r[near] == 0
+    same = {}
+    for d in ids:
+        same.setdefault(texts[d], set()).add(got[d]["fingerprint"])
+    assert all(len(x) == 1 for x in same.values())
+    assert spotsigs.compare_neighbours(none).count() == 0
+    one = spotsigs.compare_neighbours(docs.where(F.col("doc_id") == ROWS[0][0])).first()
+    assert one["near_next"] == 1
+
+
+def test_spotsigs_parts_do_not_change_results(docs, monkeypatch):
+    whole = {r["doc_id"]: tuple(r) for r in spotsigs.compare_neighbours(docs).collect()}
+    monkeypatch.setattr(spotsigs, "PART_BYTES", 3000)
+    assert {r["doc_id"]: tuple(r) for r in spotsigs.compare_neighbours(docs).collect()} == whole
+
+
+def test_spotsigs_similar(docs):
+    got = {(r["a"], r["b"]) for r in spotsigs.similar(docs).collect()}
+    reps = {}
+    for d, t, *_ in sorted(ROWS, key=lambda r: r[0]):
+        chains = frozenset(naive_chains(t))
+        if chains:
+            reps.setdefault(chains, d)
+    expected = {frozenset((a, b)) for x, a in reps.items() for y, b in reps.items() if a < b and len(x & y) >= 0.75 * len(x | y)}
+    rep_ids = set(reps.values())
+    assert {frozenset(p) for p in got if set(p) <= rep_ids} == expected and expected
+
+
+# op1
+
+
+def test_language(spark):
+    words = {"en": "the house and water is with they which ring", "de": "das haus und wasser ist mit sie welche schön", "fr": "la maison et eau est avec ils quelle très", "es": "la casa y agua está con ellos cuál niño"}
+    rnd = random.Random(1)
+    rows = [(i, " ".join(rnd.choice(words[lang].split()) for _ in range(rnd.randint(8, 40))), lang) for i, lang in enumerate(["en", "de", "fr", "es"] * 40)]
+    rows += [(1000, None, "en"), (1001, "", "en"), (1002, "123 !!", "de"), (1003, "é", None), (1004, "x " * 50_000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    assert len(got) == len(rows)
+    for d, t, lang in rows[:160]:
+        assert got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2)
+        assert got[d]["lang_pred"] == lang and 0 <= got[d]["score"] <= 1
+    assert [got[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3 and got[1000]["score"] == 0
+    assert got[1003]["lang_pred"] in words
+    assert {r["doc_id"] for r in language.accepted(docs).collect()} >= {r[0] for r in rows[:160]}
+    # lang of held-out rows is never looked at, nor that of a row by its prediction
+    hidden = docs.withColumn("lang", F.when(language.held_out(), F.lit("zz")).otherwise(F.col("lang")))
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(hidden).collect()} == {d: r["lang_pred"] for d, r in got.items()}
+    unknown = language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r["lang_pred"] for r in unknown} == {"und"}
+    assert language.identify(docs.limit(0)).count() == 0
+
+
+# op3
+
+
+def test_lm_scores(docs, none, spark):
+    import math
+
+    target = spark.createDataFrame([(r[0],) for r in ROWS[:10]] + [(99999,), (None,)], "doc_id long")
+    got = {r["doc_id"]: r for r in lmscore.scores(docs, target).collect()}
+    tokens = {r[0]: ALNUM.findall(lower(r[1])) for r in ROWS}
+    chosen = {r[0] for r in ROWS[:10]}
+    models = []
+    vocabulary = {w for t in tokens.values() for w in t}
+    for side in (True, False):
+        ones, pairs = {}, {}
+        for d, t in tokens.items():
+            if (d in chosen) == side:
+                for i, w in enumerate(t):
+                    ones[w] = ones.get(w, 0) + 1
+                    if i:
+                        pairs[t[i - 1], w] = pairs.get((t[i - 1], w), 0) + 1
+        models.append((ones, pairs, sum(ones.values())))
+    for d, t in tokens.items():
+        r = got[d]
+        assert r["n_words"] == len(t)
+        if not t:
+            assert r["score"] is None
+            continue
+        losses = []
+        for ones, pairs, total in models:
+            loss = 0.0
+            for i, w in enumerate(t):
+                p = (ones.get(w, 0) + 1) / (total + len(vocabulary) + 1)
+                if i:
+                    before = ones.get(t[i - 1], 0)
+                    p = (pairs.get((t[i - 1], w), 0) + lmscore.PRIOR * p) / (before + lmscore.PRIOR)
+                loss -= math.log(p)
+            losses.append(loss / len(t))
+        # pairs may share a cell
+        assert r["target_loss"] == pytest.approx(losses[0], rel=0.02) and r["background_loss"] == pytest.approx(losses[1], rel=0.02)
+    assert lmscore.scores(none, target).count() == 0
+    assert lmscore.scores(docs, target.limit(0)).count() == len(ROWS)
+
+
+# op5
+
+
+def test_licences(spark):
+    filler = prose(random.Random(3), 80)
+    rows = [
+        (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", filler), (3, "a/b/c/LICENSE.txt", "This work is licensed under the GNU General Public License, version 3.\n"),
+        (4, "a/b/c/y.py", filler), (5, "a/b/c/z.py", f"# Licensed under the Apache License, Version 2.0.\n{filler}"), (6, "other/x.py", filler), (7, "a/w.py", None), (8, None, filler), (9, "top.py", ""),
+        (10, "a/b/cc/v.py", filler), (11, "d/COPYING", filler),
+    ]
+    files = spark.createDataFrame([(*r, "other") for r in rows], "doc_id long, path string, text string, licence string")
+    got = {r["doc_id"]: (r["licence"], r["origin"], r["source_path"]) for r in licenses.scan(files).collect()}
+    assert got == {
+        1: ("MIT", "own", "a/LICENSE"), 2: ("MIT", "inherited", "a/LICENSE"), 3: ("GPL-3.0", "own", "a/b/c/LICENSE.txt"), 4: ("GPL-3.0", "inherited", "a/b/c/LICENSE.txt"), 5: ("Apache-2.0", "own", "a/b/c/z.py"),
+        6: (None, "none", None), 7: ("MIT", "inherited", "a/LICENSE"), 8: (None, "none", None), 9: (None, "none", None), 10: ("MIT", "inherited", "a/LICENSE"), 11: (None, "none", None),
+    }
+    assert licenses.scan(files.limit(0)).count() == 0
