@@ -11,8 +11,10 @@ the same document. Strings are those of the UTF-8 bytes of the input; they never
 3. Pieces go to shards by their anchor. A shard keeps the first piece of equal ones; the suffixes of unlike pieces are
    sorted by Larsson and Sadakane's refinement, common prefixes come from Kasai's walk, and each run of suffixes with
    LENGTH bytes in common has its first occurrence.
-4. An anchor that occurs more than HOT times is spread over several shards; each sorts its pieces and keeps its first
-   occurrences, and the shards' sorted lists are merged by binary search in ranges of the strings' hashes.
+4. The strings of an anchor that occurs more than HOT times get a second, longer one (LONG bytes) and go by that: what
+   surrounds a frequent short line tells its strings apart. A second anchor that occurs more than SPREAD times is
+   spread over several shards; each sorts its pieces and keeps its first occurrences, and the shards' sorted lists are
+   merged by binary search in ranges of the strings' hashes.
 
 Null and empty texts have no bytes; rows without an id are answered by nothing else than their own length and are
 never removed; rows with one id are ordered by offset; other columns are ignored; an empty table gives no rows.
@@ -21,84 +23,87 @@ never removed; rows with one id are ordered by offset; other columns are ignored
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
 from .common import BROADCAST_IDS, keep_ids, prepare
 
-LENGTH, GRAM = 100, 32
-GRAMS = LENGTH - GRAM + 1
-#: Occurrences of an anchor beyond which its pieces are spread.
-HOT = 20_000
+LENGTH, GRAM, LONG = 100, 32, 90
+#: Occurrences of an anchor beyond which its strings get a longer one, and of that beyond which its pieces are spread.
+HOT, SPREAD = 2_000, 20_000
 #: Bytes of pieces in one suffix array, at most (one piece if it is longer), and bytes of pieces a task remembers.
 SHARD_BYTES, SEEN_BYTES = 1 << 20, 48 << 20
 #: Repeated anchors that are sent out; more of them are joined to the pieces instead.
-SENT = 2 * BROADCAST_IDS
+SENT = BROADCAST_IDS
 _AT = B.U((1 << 30) - 1)
 
 PIECE = "anchor long, doc_id long, at long, starts int, piece binary, salt int"
 SCHEMA = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("starts", pa.int32()), ("piece", pa.binary()), ("salt", pa.int32())])
 
 
-def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(buf: np.ndarray, off: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, hash of the anchor, first string's start and number of strings of each piece."""
     n = len(buf)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none, none.view(B.U), none, none
     sums = B.prefix_sums(buf)
-    start = np.arange(n - GRAM + 1)
-    h = B.span_hash(sums, start, start + GRAM)
-    least = (h & ~_AT) | start.astype(B.U)  # equal up to 34 bits: the leftmost, wherever the text stands
+    m, grams = n - gram + 1, LENGTH - gram + 1
+    h = B.mix((sums[gram:] - sums[:m]) * B.powers(n + 1)[1][:m])
+    least = (h & ~_AT) | np.arange(m, dtype=B.U)  # equal up to 34 bits: the leftmost, wherever the text stands
     width = 1
-    while width * 2 <= GRAMS:
+    while width * 2 <= grams:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    least = np.minimum(least[: len(least) - (GRAMS - width)], least[GRAMS - width :])
-    at = (least & _AT).astype(np.int64)
-    doc = np.searchsorted(off, np.arange(len(at)), "right") - 1
-    ok = np.arange(len(at)) + LENGTH <= off[doc + 1]
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | ~ok[:-1]
+    least = np.minimum(least[: len(least) - (grams - width)], least[grams - width :])
+    at = (least & _AT).view(np.int64)
+    # a text's last strings start LENGTH bytes before its end
+    ok, new = np.zeros(len(at) + 1, np.int8), np.ones(len(at), bool)
+    starts, stops = off[:-1], off[1:] - LENGTH + 1
+    whole = np.flatnonzero(stops > starts)
+    np.add.at(ok, starts[whole], 1)
+    np.add.at(ok, stops[whole], -1)
+    ok = np.cumsum(ok[:-1], dtype=np.int8).astype(bool)
+    new[1:] = at[1:] != at[:-1]
+    new[starts[whole]] = True
     first = np.flatnonzero(new & ok)
-    run = np.cumsum(new & ok)
-    count = np.bincount(run[ok], minlength=len(first) + 1)[1:]
-    return doc[first], h[at[first]], first, count
+    count = np.add.reduceat(ok.astype(np.int64), first) if len(first) else none
+    return np.searchsorted(off, first, "right") - 1, h[at[first]], first, count
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of text in order of their first depth symbols at least. Larsson and Sadakane: groups of suffixes that
-    agree so far are refined by the rank of what follows, and the length that is known to agree doubles each time."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Suffixes of text in order. Larsson and Sadakane: groups of suffixes that agree so far are refined by the rank of
+    what follows, and the length that is known to agree doubles each time. (Kasai's walk needs the whole order.)"""
     n = len(text)
     packed = np.zeros(n, B.U)
-    wide = np.concatenate((text.astype(B.U), np.zeros(6, B.U)))
-    for j in range(6):  # symbols have nine bits
-        packed = (packed << B.U(10)) | wide[j : j + n]
-    order = np.argsort(packed, kind="stable")
+    wide = np.concatenate((text.astype(B.U), np.zeros(8, B.U)))
+    for j in range(8):
+        packed = (packed << B.U(8)) | wide[j : j + n]
+    order = np.argsort(packed)
     head = np.ones(n, bool)
     head[1:] = packed[order[1:]] != packed[order[:-1]]
-    group = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     rank = np.empty(n, np.int64)
-    rank[order] = group
-    known = 6
-    while known < depth:
-        size_one = head & np.append(head[1:], True)
-        open_at = np.flatnonzero(~size_one)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    known = 8
+    while True:
+        open_at = np.flatnonzero(~(head & np.append(head[1:], True)))
         if not len(open_at):
             break
         sub = order[open_at]
-        follow = np.where(sub + known < n, rank[np.minimum(sub + known, n - 1)], -1)
-        mine = rank[sub]
-        inner = np.lexsort((follow, mine))
-        sub, follow, mine = sub[inner], follow[inner], mine[inner]
+        follow = np.where(sub + known < n, rank[np.minimum(sub + known, n - 1)] + 1, 0)
+        key = rank[sub] * (n + 1) + follow
+        inner = np.argsort(key)
+        sub, key = sub[inner], key[inner]
         order[open_at] = sub
         fresh = np.ones(len(sub), bool)
-        fresh[1:] = (mine[1:] != mine[:-1]) | (follow[1:] != follow[:-1])
+        fresh[1:] = key[1:] != key[:-1]
         head[open_at] = fresh
         rank[sub] = np.maximum.accumulate(np.where(fresh, open_at, 0))
         known *= 2
@@ -140,14 +145,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, lim
 def again(pieces: list[tuple[int, int, int, bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For pieces (doc_id, at, starts, bytes) with unlike bytes: of each string whether it has an earlier equal, and
     the number of its run of equal strings."""
-    parts, starts, size = [], [], 0
-    for i, (_, _, _, data) in enumerate(pieces):
-        parts.append(np.frombuffer(data, np.uint8).astype(np.uint16) + 1)
-        parts.append(np.zeros(1, np.uint16))
-        starts.append(size)
-        size += len(data) + 1
-    text, starts = np.concatenate(parts), np.array(starts)
-    order = suffix_array(text, LENGTH)
+    text = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
+    size = np.array([len(p[3]) for p in pieces])
+    starts = np.cumsum(size) - size  # no string crosses a piece's end, so nothing need stand between pieces
+    order = suffix_array(text)
     lcp = common_prefixes(text, order, starts, LENGTH)
     count = np.array([p[2] for p in pieces])
     own = np.repeat(np.arange(len(pieces)), count)
@@ -170,7 +171,7 @@ def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 class Spans:
-    """Rows (doc_id, at, starts) of strings that have an earlier equal; the other columns are null."""
+    """Rows (doc_id, at, starts) of strings that have an earlier equal; there is no piece, and the id is the anchor."""
 
     def __init__(self):
         self.rows: list[tuple[int, int, int]] = []
@@ -181,7 +182,7 @@ class Spans:
     def batch(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
         cols = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), *cols, pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int32())], schema=SCHEMA)
+        return pa.RecordBatch.from_arrays([cols[0], *cols, pa.nulls(len(rows), pa.binary()), pa.array([-1] * len(rows), pa.int32())], schema=SCHEMA)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -199,16 +200,29 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long").checkpoint()
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """(anchor, n): occurrences, counted in each task first."""
+def longer(buf: np.ndarray, off: np.ndarray, doc: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As anchors(), for the strings of some pieces and with the longer anchors."""
+    size = count + LENGTH - 1
+    ends = np.cumsum(size)
+    where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - (ends - size), size)
+    piece, h, first, n = anchors(buf[where], np.concatenate(([0], ends)), LONG)
+    return doc[piece], h, where[first] if len(first) else first, n
+
+
+def _counts(docs: DataFrame, hot=None) -> DataFrame:
+    """(anchor, n): occurrences, counted in each task first; with a broadcast of hot anchors, of their strings' longer ones."""
     schema = pa.schema([("anchor", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             for _, _, buf, off in B.chunks(B.column(batch, "text")):
-                held.append(anchors(buf, off)[1])
-                size += len(held[-1])
+                doc, h, at, count = anchors(buf, off)
+                if hot is not None:
+                    keep = np.flatnonzero(_member(h, hot.value))
+                    h = longer(buf, off, doc[keep], at[keep], count[keep])[1]
+                held.append(h)
+                size += len(h)
                 if size > 4_000_000:
                     yield counted(held)
                     held, size = [], 0
@@ -218,23 +232,34 @@ def _counts(docs: DataFrame) -> DataFrame:
         h, n = np.unique(np.concatenate(held) if held else np.zeros(0, B.U), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(B.signed(h)), pa.array(n.astype(np.int64))], schema=schema)
 
-    return docs.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    return docs.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").checkpoint()
+
+
+def _sorted(counts: DataFrame) -> np.ndarray:
+    """The anchors of counts, many in a row on their way to the driver."""
+
+    def run(batches):
+        parts = [B.column(b, "anchor").to_numpy().tobytes() for b in batches]
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["packed"])
+
+    got = counts.select("anchor").mapInArrow(run, "packed binary").collect()  # 8 bytes for each of SENT anchors at most
+    return np.sort(np.frombuffer(b"".join(r["packed"] for r in got), B.U))
 
 
 def _pieces(docs: DataFrame, known) -> DataFrame:
     """Pieces with a repeated anchor. Equal pieces of a task are one, the first; the others are told as spans.
 
-    known: broadcast of the repeated anchors (sorted) and the hot ones, or null to give all pieces, without bytes.
+    known: broadcast of the repeated anchors, the hot ones, the repeated longer ones (null: all), and those to spread.
     """
 
     def run(batches):
         spans, seen, size = Spans(), {}, 0
-        repeated, hot = known.value
-        hot = set(hot.tolist())
+        repeated, hot, second, wide = known.value
+        wide = set(B.signed(wide).tolist())
 
         def flush():
             nonlocal seen, size
-            rows = [(a, d, at, n, p, hash(p) % 64 if a in hot else 0) for (a, p), (d, at, n) in seen.items()]
+            rows = [(a, d, at, n, p, zlib.crc32(p) % 64 if a in wide else -1) for (a, p), (d, at, n) in seen.items()]
             seen, size = {}, 0
             return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], SCHEMA.field(j).type) for j in range(6)], schema=SCHEMA)
 
@@ -242,9 +267,17 @@ def _pieces(docs: DataFrame, known) -> DataFrame:
             ids = B.column(batch, "doc_id").to_numpy()
             for lo, _, buf, off in B.chunks(B.column(batch, "text")):
                 doc, h, at, count = anchors(buf, off)
-                keep = np.flatnonzero(_member(h, repeated))
+                often = _member(h, hot)
+                keep = np.flatnonzero(_member(h, repeated) & ~often)
+                found = [x[keep] for x in (doc, h, at, count)]
+                if often.any():
+                    more = longer(buf, off, doc[often], at[often], count[often])
+                    if second is not None:
+                        more = [x[_member(more[1], second)] for x in more]
+                    found = [np.concatenate(x) for x in zip(found, more, strict=True)]
+                doc, h, at, count = found
                 data = buf.tobytes()
-                for a, d, p, n, base in zip(B.signed(h[keep]).tolist(), ids[lo + doc[keep]].tolist(), at[keep].tolist(), count[keep].tolist(), off[doc[keep]].tolist(), strict=True):
+                for a, d, p, n, base in zip(B.signed(h).tolist(), ids[lo + doc].tolist(), at.tolist(), count.tolist(), off[doc].tolist(), strict=True):
                     key = a, data[p : p + n + LENGTH - 1]
                     mine = d, p - base, n
                     old = seen.setdefault(key, mine)
@@ -270,8 +303,8 @@ def _member(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _sort_shards(pieces: DataFrame) -> DataFrame:
-    """Spans of the pieces' strings that have an earlier equal in the same shard. Hot anchors' pieces also come out as
-    single strings, the first of each shard, with their salt, for merging."""
+    """Spans of the pieces' strings that have an earlier equal in the same shard; spans among the rows pass through.
+    Spread pieces (salt 0 or above) also come out as single strings, the first of each shard, for merging."""
 
     def run(batches):
         spans, held, size = Spans(), [], 0
@@ -299,13 +332,16 @@ def _sort_shards(pieces: DataFrame) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            cols = [B.column(batch, c).to_pylist() for c in ("anchor", "salt", "doc_id", "at", "starts", "piece", "hot")]
-            for a, s, d, at, n, p, hot in zip(*cols, strict=True):
+            told = B.column(batch, "piece").is_null()
+            yield batch.filter(told)
+            batch = batch.filter(pc.invert(told))
+            cols = [B.column(batch, c).to_pylist() for c in ("anchor", "salt", "doc_id", "at", "starts", "piece")]
+            for a, s, d, at, n, p in zip(*cols, strict=True):
                 if (a, s) != key:
                     close()
                     if size >= SHARD_BYTES:
                         sort()
-                    key, salted = (a, s), hot
+                    key, salted = (a, s), s >= 0
                 mine = d, at, n
                 old = group.setdefault(p, mine)
                 if old is not mine:
@@ -358,23 +394,27 @@ def repeated(docs: DataFrame) -> DataFrame:
     firsts = told.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"))
     copies = told.where(F.col("n") >= LENGTH).join(firsts, ["d1", "d2"]).where("doc_id <> first").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
     unlike = keep_ids(known, copies, "doc_id", copies.count(), anti=True)
-    counts = _counts(unlike).checkpoint()
-    n_hot = counts.where(F.col("n") > HOT).count()
+    counts = _counts(unlike)
+    spread = 0
     if counts.count() <= SENT:
-        got = counts.toPandas()
-        shared = spark.sparkContext.broadcast((np.sort(got["anchor"].to_numpy(np.int64).view(B.U)), got["anchor"][got["n"] > HOT].to_numpy(np.int64)))
-        pieces = _pieces(unlike, shared).checkpoint()
+        share = spark.sparkContext.broadcast
+        hot = _sorted(counts.where(F.col("n") > HOT))
+        second, wide = np.zeros(0, B.U), np.zeros(0, B.U)
+        if len(hot):
+            more = _counts(unlike, share(hot))
+            second = _sorted(more) if more.count() <= SENT else None
+            wide = _sorted(more.where(F.col("n") > SPREAD))
+        spread = len(wide)
+        pieces = _pieces(unlike, share((_sorted(counts), hot, second, wide)))
     else:
-        pieces = _joined_pieces(unlike, counts).checkpoint()
-    spans = pieces.where("piece is null").select("doc_id", "at", "starts")
-    pieces = pieces.where("piece is not null")
-    hot = counts.where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))  # few: each has HOT occurrences
-    pieces = pieces.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if n_hot else pieces.withColumn("hot", F.lit(False))
+        spread = counts.where(F.col("n") > SPREAD).count()
+        pieces = _joined_pieces(unlike, counts)
     shards = _sort_shards(pieces)
-    if n_hot:
+    if spread:
         shards = shards.checkpoint()
-        spans = spans.unionByName(_merge(shards.where("piece is not null")).select("doc_id", "at", "starts"))
-    spans = spans.unionByName(shards.where("piece is null").select("doc_id", "at", "starts"))
+        merged_ = _merge(shards.where("piece is not null"))
+        shards = shards.where("piece is null").unionByName(merged_)
+    spans = shards.select("doc_id", "at", "starts")
     ranges = spans.select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("starts") + (LENGTH - 1)).alias("end"))
     per_doc = ranges.unionByName(copies).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
     return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "removed")
@@ -399,7 +439,7 @@ def _joined_pieces(docs: DataFrame, counts: DataFrame) -> DataFrame:
                 out += [(x["anchor"], x["doc_id"], x["at"], x["starts"], data[x["at"] : x["at"] + x["starts"] + LENGTH - 1], x["salt"]) for x in own]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], SCHEMA.field(j).type) for j in range(6)], schema=SCHEMA)
 
-    salt = F.when(F.col("n") > HOT, F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(0).cast("int")
+    salt = F.when(F.col("n") > SPREAD, F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(-1).cast("int")
     found = docs.mapInArrow(find, "anchor long, doc_id long, at long, starts int").join(counts, "anchor").withColumn("salt", salt).drop("n")
     own = found.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "doc_id", "at", "starts", "salt")).alias("own"))
     return docs.join(own, "doc_id").select("text", "own").mapInArrow(cut, PIECE)
