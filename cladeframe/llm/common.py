@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 4_000_000
 #: Rows that an Arrow batch holds at most: long texts must not make a batch too large for a worker.
 ARROW_ROWS = 512
+#: Edges of a graph that one task joins, at most (some 150 MB of its memory).
+TASK_EDGES = 1_000_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -53,12 +56,35 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, n_ids: int, anti: bool = F
     return df.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, key, "left_anti" if anti else "left_semi")
 
 
+def _join_edges(batches):
+    least: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (up := least.setdefault(root, root)) != root:
+            root = up
+        while x != root:
+            least[x], x = root, least[x]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            least[max(x, y)] = min(x, y)
+    nodes = list(least)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(find, nodes), pa.int64())], names=["node", "component"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (a, b): component is the smallest node that links reach.
 
-    Alternating large and small stars; each round is two grouped minima and two joins on single edges, so no
-    neighbourhood is ever gathered in one place. An empty input gives no rows; loops and repeated edges do no harm.
+    Up to TASK_EDGES edges, which are counted, are joined in one task. More of them go through alternating large and small
+    stars: each round is two grouped minima and two joins on single edges, so no neighbourhood is ever gathered in one
+    place. An empty input gives no rows; loops and repeated edges do no harm.
     """
+    edges = edges.select("a", "b").checkpoint()
+    if edges.count() <= TASK_EDGES:
+        return edges.coalesce(1).mapInArrow(_join_edges, "node long, component long")
     both = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct()
     now, before = both.checkpoint(), None
     while True:

@@ -446,7 +446,7 @@ def components(docs: DataFrame) -> DataFrame:
     led = members.where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
     pair = F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")
     first = _bounded(led.select(*pair).distinct(), points).checkpoint()
-    comps = connected_components(_verified(first, unlike))
+    comps = connected_components(_verified(first, unlike)).checkpoint()
     held = _held(members, comps).checkpoint()
     stars = held.where("comp <> led").select(*pair)
     more = _bounded(stars.unionByName(_tree_join(_residual(held, points))).distinct().join(first, ["a", "b"], "left_anti"), points).checkpoint()

@@ -450,3 +450,20 @@ def test_licences(spark):
         6: (None, "none", None), 7: ("MIT", "inherited", "a/LICENSE"), 8: (None, "none", None), 9: (None, "none", None), 10: ("MIT", "inherited", "a/LICENSE"), 11: (None, "none", None),
     }
     assert licenses.scan(files.limit(0)).count() == 0
+
+
+def test_connected_components(spark, monkeypatch):
+    from cladeframe.llm import common
+
+    rnd = random.Random(9)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(30)] + [(500, 501 + i) for i in range(40)] + [(7, 7), (-5, 3)]
+    expected = {x: x for e in edges for x in e}
+    for _ in expected:
+        for a, b in edges:
+            expected[a] = expected[b] = min(expected[a], expected[b])
+    df = common.prepare(spark).createDataFrame(edges, "a long, b long").repartition(3)
+    for most in (common.TASK_EDGES, 0):
+        monkeypatch.setattr(common, "TASK_EDGES", most)
+        got = {r["node"]: r["component"] for r in common.connected_components(df).collect()}
+        assert {n: got.get(n, n) for n in expected} == expected
+        assert common.connected_components(df.limit(0)).count() == 0
