@@ -152,6 +152,13 @@ class LabelTree:
         edges = [f"{i} {p}" for i, p in enumerate(self.parents) if i != p]
         return [str(len(self)), *self.names, *edges]
 
+    @classmethod
+    def from_dump(cls, lines: Sequence[str]) -> LabelTree:
+        """The tree of what dump() gave."""
+        n = int(lines[0])
+        edges = [(int(c), int(p)) for c, p in (x.split() for x in lines[n + 1 :] if x.strip())]
+        return cls.from_ids(n, edges, list(lines[1 : n + 1]))
+
     def taxonomy(self) -> tuple[list[str], list[str]]:
         """Lines of a names and of a nodes table of taxa: ids start at 1, the root, which is its own parent."""
         order = [self.root, *(i for i in range(len(self)) if i != self.root)]

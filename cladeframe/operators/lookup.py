@@ -51,6 +51,13 @@ def lookup(queries: DataFrame, index: Index, k: int | None = None, misses: bool
     return runs.join(queries.select("query_rank", "query_name"), "query_rank").select("query_rank", "query_name", "from_kmer", "to_kmer", "label", "label_name")
 
 
+def counted(queries: DataFrame, k: int, seconds: float | None = None) -> DataFrame:
+    """One row: n_queries, n_kmers (windows looked up) of queries (seq), and nanoseconds for each if a time is given."""
+    windows = F.sum(F.greatest(F.length("seq") - (kmers.check_k(k) - 1), F.lit(0))).cast("long")
+    row = queries.agg(F.count("*").alias("n_queries"), F.coalesce(windows, F.lit(0)).alias("n_kmers"))
+    return row if seconds is None else row.withColumn("ns_per_kmer", F.when(F.col("n_kmers") > 0, seconds * 1e9 / F.col("n_kmers")))
+
+
 def hits(queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """The distinct windows of queries (seq) that are in labels (kmer)."""
     return kmers.windows(queries.select(kmers.upper(F.col("seq")).alias("seq")), "seq", k).select("kmer").distinct().join(labels, "kmer", "left_semi")

@@ -13,6 +13,14 @@ def matrix_long(runs: DataFrame, query: str = "query", label: str = "label") ->
     return runs.groupBy(F.col(query).alias("query"), F.col(label).alias("label")).agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("bases"))
 
 
+def merge_labels(long: DataFrame, into: dict[str, str], column: str = "label", value: str = "bases") -> DataFrame:
+    """A long matrix with some labels counted as others."""
+    if not into:
+        return long
+    name = F.coalesce(F.create_map(*(F.lit(x) for pair in into.items() for x in pair))[F.col(column)], F.col(column))
+    return long.withColumn(column, name).groupBy("query", column).agg(F.sum(value).cast("long").alias(value))
+
+
 def pivot(long: DataFrame, labels: list[str] | None = None, row: str = "query", column: str = "label", value: str = "bases") -> DataFrame:
     """A row for each query in order of its name, a column for each label (sorted as strings), zeros for what is missing.
 

@@ -27,6 +27,11 @@ def histogram(index: Index) -> DataFrame:
     return nodes.join(counts, nodes["label"].eqNullSafe(counts["label"]), "left").select(nodes["label"], "label_name", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
 
 
+def sizes(index: Index) -> DataFrame:
+    """One row: n_mers, strings of s letters; n_positions, all strings of the index and the empty one."""
+    return index.positions.agg(F.count_if(F.length("mer") == index.s).alias("n_mers"), (F.count("*") + 1).alias("n_positions"))
+
+
 def run_sizes(rows: DataFrame, order: str = "rev", value: str = "label") -> DataFrame:
     """(n): lengths of the runs of equal value when all rows are sorted by order, a string column; null is a value.
 

@@ -145,6 +145,19 @@ def label_histogram(spark, d):
     return stats.histogram(build(spark, d, within=ix.universe(turns(spark, d), S)))
 
 
+def index_sizes(spark, d):
+    return stats.sizes(build(spark, d))
+
+
+def lookup_counts(spark, d):
+    return lk.counted(questions(spark, d), K)
+
+
+def matrix_merged(spark, d):
+    """The families of languages count as the root."""
+    return reports.merge_labels(matrix_long(spark, d), {"germanic": "root", "romance": "root"})
+
+
 def label_run_stats(spark, d):
     return stats.run_stats(build(spark, d))
 
@@ -240,7 +253,7 @@ def event_runs(spark, d):
 
 FUNCTIONS = (
     revcomp, acgt_runs, kmer_windows, kmer_pieces, kmer_distinct, index_build_k, index_positions, rollup_s_to_k, lookup_runs, lookup_runs_with_misses, lookup_rolled_up, lookup_forward_only, lookup_star,
-    lookup_with_breaks, lookup_debug, lookup_rendered, lookup_hits_semi, lookup_misses_anti, node_stats, node_stats_pct, label_histogram, label_run_stats, none_to_root, universe_left_join, rename_labels,
+    lookup_with_breaks, lookup_debug, lookup_rendered, lookup_hits_semi, lookup_misses_anti, node_stats, node_stats_pct, label_histogram, index_sizes, lookup_counts, matrix_merged, label_run_stats, none_to_root, universe_left_join, rename_labels,
     label_by_seq, hierarchy_paths, print_hierarchy, pairwise_lca, set_lca_by_part, set_lca_by_customer, matrix_long, matrix_pivot, matrix_diff, foreign_hits_to_runs, event_runs,
 )
 
@@ -376,6 +389,9 @@ def oracle_sql() -> dict[str, str]:
         "node_stats_pct": f"{_node_stats(S)} SELECT k, label_name, count, CAST(sum(count) OVER (PARTITION BY k) AS BIGINT) AS total, CASE WHEN sum(count) OVER (PARTITION BY k) > 0 THEN 100.0::DOUBLE * count / CAST(sum(count) OVER (PARTITION BY k) AS BIGINT) END AS percent FROM ns",
         "label_histogram": _hist(_within(S, False), "p"),
         "label_run_stats": f"WITH {_positions(S)}, o AS (SELECT reverse(mer) AS rev, label FROM lab UNION ALL SELECT '', NULL), f AS (SELECT rev, CASE WHEN rev <> '' AND label IS NOT DISTINCT FROM lag(label) OVER (ORDER BY rev) THEN 0 ELSE 1 END AS new FROM o), g AS (SELECT sum(new) OVER (ORDER BY rev) AS run FROM f), r AS (SELECT run, count(*) AS n FROM g GROUP BY run) SELECT (SELECT count(*) FROM lab WHERE length(mer) = {S}) AS n_mers, (SELECT count(*) FROM lab) AS labelled, CAST(1 AS BIGINT) AS unlabelled, min(n) AS run_min, max(n) AS run_max, CAST(sum(n) AS DOUBLE) / count(*) AS run_mean FROM r",
+        "index_sizes": f"WITH {_positions(S)} SELECT count(*) FILTER (length(mer) = {S}) AS n_mers, count(*) + 1 AS n_positions FROM lab",
+        "lookup_counts": f"WITH {ITEMS} SELECT count(*) AS n_queries, CAST(coalesce(sum(greatest(length(seq) - {K - 1}, 0)), 0) AS BIGINT) AS n_kmers FROM items",
+        "matrix_merged": _lookup(K, select=f", r AS ({RUNS_K}), m AS ({mlong}) SELECT query, CASE WHEN label IN ('germanic', 'romance') THEN 'root' ELSE label END AS label, CAST(sum(bases) AS BIGINT) AS bases FROM m GROUP BY ALL"),
         "none_to_root": _hist(_within(S, True), "p"),
         "universe_left_join": f"{_within(S, False)} SELECT mer, label FROM p",
         "rename_labels": _hist(f"WITH {_positions(S)}", "lab", "CASE name WHEN 'de' THEN 'German' WHEN 'root' THEN 'any language' WHEN 'romance' THEN 'Romance' ELSE name END"),

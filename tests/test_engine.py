@@ -158,6 +158,7 @@ def test_trees():
         LabelTree.from_edges(["a", "a"], [("a", "r")])
     with pytest.raises(HierarchyError):
         LabelTree.from_edges(["a", "none"], [("a", "r"), ("none", "r")])
+    assert LabelTree.from_dump(binary.dump()) == binary
     assert parse_edges(["a b ignored", "", "  c\td "]) == [("a", "b"), ("c", "d")]
 
 
