@@ -56,7 +56,8 @@ def windows(df: DataFrame, seq: str, k: int, out: str = "kmer", size: int = PIEC
 
 
 def both_strands(df: DataFrame, seq: str = "seq", forward_only: bool = False) -> DataFrame:
-    return df if forward_only else df.unionByName(df.withColumn(seq, revcomp(F.col(seq))))
+    """df with a second row for each sequence's other strand, from one scan."""
+    return df if forward_only else df.withColumn(seq, F.explode(F.array(F.col(seq), revcomp(F.col(seq)))))
 
 
 def runs_of(df: DataFrame, seq: str = "seq") -> DataFrame:
@@ -64,10 +65,12 @@ def runs_of(df: DataFrame, seq: str = "seq") -> DataFrame:
     return df.withColumn(seq, F.explode(acgt_runs(F.col(seq))))
 
 
-def with_prefixes(runs: DataFrame, seq: str, s: int, out: str = "mer") -> DataFrame:
-    """A row for each window of s letters of the runs, and for each of their prefixes of fewer letters."""
-    full = windows(runs, seq, s, out).drop("pos", "piece")
-    if s == 1:
-        return full
-    short = runs.withColumn("__n", F.explode(F.sequence(F.lit(1), F.least(F.length(seq), F.lit(s - 1)))))
-    return full.unionByName(short.withColumn(out, F.substring(seq, F.lit(1), F.col("__n"))).drop(seq, "__n"))
+def with_prefixes(runs: DataFrame, seq: str, s: int, out: str = "mer", size: int = PIECE) -> DataFrame:
+    """A row for each window of s letters of the runs, and for each of their prefixes of fewer letters, in one pass: a
+    window that starts before the run is a prefix."""
+    n = F.length(seq)
+    cut = runs.where(n > 0).withColumn("__offset", F.explode(F.sequence(F.lit(0), F.greatest(n - s, F.lit(0)), F.lit(size))))
+    cut = cut.withColumn(seq, F.substring(seq, F.col("__offset") + 1, F.lit(size + s - 1)))
+    first = F.when(F.col("__offset") == 0, F.lit(1 - s)).otherwise(F.lit(0))
+    each = cut.withColumn("__at", F.explode(F.sequence(first, F.length(seq) - s)))
+    return each.withColumn(out, F.substring(seq, F.greatest("__at", F.lit(0)) + 1, F.least(F.col("__at"), F.lit(0)) + s)).drop(seq, "__offset", "__at")
