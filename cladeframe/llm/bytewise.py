@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Text bytes worked on at once (a longer text is worked on alone): bounds the temporary arrays.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -38,7 +38,7 @@ K, LEAST, OF = 5, 75, 100  # links: OF * overlap >= LEAST * union
 #: Least number of groups of a count vector (a tree's), and the greatest that goes with each row of a block.
 GROUPS, FINE = 64, 2048
 #: Prefix hashes that a task holds before it passes them on, and about so many in a bucket.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Counters of hashes by their leading bits, by which frequent hashes come last in the order of prefixes; they are
 #: summed in PARTS parts.
 CELLS, PARTS = 1 << 20, 64
@@ -104,15 +104,19 @@ def _classes(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        counts, seen = np.zeros(CELLS, np.int64), set()
+        counts, seen, held = np.zeros(CELLS, np.int64), set(), []
         for ids, group in _each(batches):
             digests = [hashlib.blake2b(t.tobytes(), digest_size=16).digest() for t in group]
             new = [t for t, d in zip(group, digests, strict=True) if d not in seen and not seen.add(d)]
-            if new:
-                counts += np.bincount((np.concatenate(new) >> B.U(44)).astype(np.int64), minlength=CELLS)
+            held += new
+            if sum(map(len, held)) >= HELD:
+                counts += np.bincount((np.concatenate(held) >> B.U(44)).astype(np.int64), minlength=CELLS)
+                held = []
             pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(ids, pa.int64()), pa.array([len(t) for t in group], pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+        if held:
+            counts += np.bincount((np.concatenate(held) >> B.U(44)).astype(np.int64), minlength=CELLS)
         parts = [_pack(x) for x in counts.reshape(PARTS, -1)]
         none = pa.nulls(PARTS, pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(PARTS, np.int32)), none, none, none, none, pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(parts, pa.binary())], schema=schema)

@@ -39,7 +39,7 @@ LENGTH, GRAM, LONG = 100, 32, 90
 #: Occurrences of an anchor beyond which its strings get a longer one, and of that beyond which its pieces are spread.
 HOT, SPREAD = 2_000, 20_000
 #: Bytes of pieces in one suffix array, at most (one piece if it is longer), and bytes of pieces a task remembers.
-SHARD_BYTES, SEEN_BYTES = 1 << 20, 48 << 20
+SHARD_BYTES, SEEN_BYTES = 1 << 20, 24 << 20
 #: Repeated anchors that are sent out; more of them are joined to the pieces instead.
 SENT = BROADCAST_IDS
 _AT = B.U((1 << 30) - 1)
