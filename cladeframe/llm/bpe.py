@@ -22,6 +22,7 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from . import bytewise as B
 from .common import prepare
@@ -38,11 +39,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
 
 
+class Told(dict):
+    """Decimal ids (commas between) and what they decode to, of each piece."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, piece: str) -> tuple[str, bytes]:
+        ids = self.codec.piece(piece, remember=False)
+        out = ",".join(map(str, ids)), self.codec.decode(ids)
+        if len(piece) <= 64:
+            self[piece] = out
+        return out
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.texts = {r: str(r) for r in self.bytes_of}
+        self.told = Told(self)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         # only tokens that merging can make may stand in an encoded text
@@ -118,11 +134,11 @@ class Codec:
                     break
         return out
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def piece(self, text: str, remember: bool = True) -> tuple[int, ...]:
         data = text.encode()
         whole = self.ranks.get(data)
         ids = (whole,) if whole is not None else tuple(self.backtrack(data))
-        if len(text) <= 64:
+        if remember and len(text) <= 64:
             if len(self.pieces) >= REMEMBERED:
                 self.pieces.clear()
             self.pieces[text] = ids
@@ -154,11 +170,15 @@ class Codec:
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids (decimal, commas between), SHA-256 of what they decode to."""
         n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
-        for ids in self.encode_groups(text or ""):
-            if ids:
-                ids_hash.update(("," * (n > 0) + ",".join(map(self.texts.__getitem__, ids))).encode())
-                text_hash.update(self.decode(ids))
-                n += len(ids)
+        for group in self.groups(text or ""):
+            if group:
+                if len(self.told) >= REMEMBERED:
+                    self.told.clear()
+                told = [*map(self.told.__getitem__, group)]
+                ids = ",".join([x[0] for x in told])
+                ids_hash.update(("," * (n > 0) + ids).encode())
+                text_hash.update(b"".join([x[1] for x in told]))
+                n += ids.count(",") + 1
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
@@ -195,7 +215,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
             ids = pa.array((codec.encode(t) for t in B.column(batch, "text").to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
-    schema = docs.schema.add("ids", "array<int>")
+    schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))])
     return docs.mapInArrow(run, schema)
 
 
@@ -211,7 +231,7 @@ def decode(df: DataFrame, path: str | None = None) -> DataFrame:
             out = pa.array((b"".join(map(tokens.__getitem__, x or ())) for x in B.column(batch, "ids").to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "decoded"])
 
-    return df.mapInArrow(run, df.schema.add("decoded", "binary"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
