@@ -5,8 +5,9 @@ Text is lower-cased and cut to words: ASCII letters and digits, and all characte
 unless more than REACH further anchors stand among them. The set of the chains' hashes is the fingerprint, written as
 sorted hexadecimal numbers. Likeness is the Jaccard resemblance of two sets.
 
-A text without any chain (null, empty, very short, no anchor) has one signature, of its first words; so equal texts have
-equal fingerprints and two texts without words have likeness 1. Ids may be null (first) or repeat (ordered by text);
+A text without any chain (null, empty, very short, no anchor) has as signatures all its runs of CHAIN words, anchors
+too, or its fewer words as one; so equal texts have equal fingerprints, unlike ones differ wherever their words do, and
+two texts without words have likeness 1. Ids may be null (first) or repeat (ordered by text);
 the only document of a table is its own successor; an empty table gives no rows; other columns are ignored.
 """
 
@@ -35,7 +36,8 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with a column of that name: the sorted distinct hashes of the chains of the column text.
 
     Step by step, so that nothing is computed twice: words; anchors marked; segments (an anchor and the content words
-    up to the next one), of which the first CHAIN words count; the chain of each segment and the REACH next ones.
+    up to the next one), of which the first CHAIN words count; the chain of each segment and the REACH next ones; for
+    texts without chains the words again, for their runs.
     """
     common = sorted(set(ANCHORS.split()))
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), BETWEEN)
@@ -46,10 +48,12 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
         F.slice("__heads", F.lit(2), F.greatest(F.size("__heads") - 1, F.lit(0))),
         lambda h, i: F.substring_index(F.concat(h, *(F.coalesce(F.get("__tails", i + 2 + j), F.lit("")) for j in range(REACH))), " ", CHAIN + 1),
     )
-    whole = F.xxhash64(F.lit("whole"), F.array_join("__heads", MARK))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("__words") - CHAIN + 1, F.lit(1)))
+    runs = F.transform(starts, lambda i: F.xxhash64(F.lit("run"), F.array_join(F.slice("__words", i, F.lit(CHAIN)), " ")))
     hashes = F.transform(F.filter("__chains", lambda c: ~c.endswith(" ")), lambda c: F.xxhash64(c))
     df = df.withColumn("__heads", heads).withColumn("__tails", tails).withColumn("__chains", chains).withColumn("__hashes", F.sort_array(F.array_distinct(hashes)))
-    return df.withColumn(name, F.when(F.size("__hashes") > 0, F.col("__hashes")).otherwise(F.array(whole))).drop("__heads", "__tails", "__chains", "__hashes")
+    df = df.withColumn("__words", F.when(F.size("__hashes") == 0, F.filter(words, lambda w: w != "")))
+    return df.withColumn(name, F.when(F.size("__hashes") > 0, F.col("__hashes")).otherwise(F.sort_array(F.array_distinct(runs)))).drop("__heads", "__tails", "__chains", "__hashes", "__words")
 
 
 def fingerprint(sigs: Column) -> Column:

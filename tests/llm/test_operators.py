@@ -365,6 +365,17 @@ def test_spotsigs_similar(docs):
     assert {frozenset(p) for p in got if set(p) <= rep_ids} == expected and expected
 
 
+def test_spotsigs_without_chains(spark):
+    # no anchor words: every word counts, not the first ones only
+    words = [f"слово{i}" for i in range(400)]
+    texts = [" ".join(words[:200]), " ".join(words[:3] + words[200:400]), " ".join(words[:200]), " ".join([*words[:100], "другое", *words[101:200]]), "x", "x y"]
+    got = {r["doc_id"]: r for r in spotsigs.compare_neighbours(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len({got[i]["fingerprint"] for i in range(6)}) == 5 and got[0]["fingerprint"] == got[2]["fingerprint"]
+    assert got[0]["near_next"] == pytest.approx(2 / (199 + 202 - 2))
+    assert got[2]["near_next"] == pytest.approx(197 / 201)
+    assert got[0]["near_edited"] < 0.7 and got[4]["near_next"] == 0
+
+
 # op1
 
 
