@@ -1,7 +1,7 @@
 """Licence scans of files: similarity to templates, then inheritance from directories.
 
-The notices of a file are its runs of lines that hold a telling word, that is a word of the templates which few
-documents have. Each is compared with all templates by the cosine of sparse TF-IDF vectors, whose document frequencies
+The notices of a file are its runs of lines that hold a telling word, that is a word of the templates which is neither
+a number nor one of COMMON, however many files have it. Each is compared with all templates by the cosine of sparse TF-IDF vectors, whose document frequencies
 come from all files; the best one of LEAST or more is the file's own licence. A file named like LICENSE or COPYING
 gives its licence to its directory. A file without a licence of its own has that of the nearest directory above it
 (its own included) which has one; of several in one directory the most similar counts, then the smallest path.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ from . import bytewise as B
 from .common import prepare
 
 LEAST = 0.6
-#: Share of the files that have a telling word, at most.
-TELLING = 0.2
+# Words of the templates that stand in any text; a line needs another one to be looked at.
+COMMON = frozenset("a all an and any are as at be by can for have in is it may not of or so that the this to with you your".split())
+#: Judged parts that a task remembers (headers repeat), and the letters of one that is remembered, at most.
+REMEMBERED, SHORT = 4096, 1000
 # Notices of licences.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -56,6 +59,7 @@ def words_of(text: str) -> list[str]:
 
 
 TERMS = sorted({w for _, t in TEMPLATES for w in words_of(t)})
+TELLING = np.array([t not in COMMON and not t.isdigit() for t in TERMS])
 
 
 def _term_hashes() -> np.ndarray:
@@ -94,13 +98,15 @@ class Matcher:
         self.rare = math.log(n + 1) + 1  # of words that no template has
         self.vectors = [(name, self.vector(Counter(words_of(t)))) for name, t in TEMPLATES]
         self.norms = [math.sqrt(sum(x * x for x in v.values())) for _, v in self.vectors]
-        most = max(1, TELLING * n)
-        self.telling = np.array([d <= most and not t.isdigit() for t, d in zip(TERMS, df.tolist(), strict=True)], bool)
+        self.short = lru_cache(REMEMBERED)(self._best)
 
     def vector(self, counts: Counter) -> dict[str, float]:
         return {w: (1 + math.log(c)) * self.idf.get(w, self.rare) for w, c in counts.items()}
 
     def best(self, text: str) -> tuple[float, str | None]:
+        return self.short(text) if len(text) <= SHORT else self._best(text)
+
+    def _best(self, text: str) -> tuple[float, str | None]:
         v = self.vector(Counter(words_of(text)))
         norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         found = max((sum(x * v.get(w, 0.0) for w, x in t.items()) / (norm * tn), -i) for i, ((_, t), tn) in enumerate(zip(self.vectors, self.norms, strict=True)))
@@ -135,7 +141,7 @@ def own_licences(files: DataFrame) -> DataFrame:
 
     def run(batches):
         match = Matcher(*shared.value)
-        hashes = np.sort(_term_hashes()[match.telling])
+        hashes = np.sort(_term_hashes()[TELLING])
         for batch in batches:
             ids, paths = B.column(batch, "doc_id"), B.column(batch, "path")
             for lo, hi, buf, off in B.chunks(B.column(batch, "text")):

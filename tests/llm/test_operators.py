@@ -463,6 +463,18 @@ def test_licences(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_licences_in_every_file(spark):
+    header = "# Licensed under the Apache License, Version 2.0.\n"
+    schema = "doc_id long, path string, text string"
+    hot = [(i, f"r/{i}/x.py", header + prose(random.Random(i), 30)) for i in range(20)] + [(20, "m/LICENSE", "Released under the MIT License."), (21, "m/a/x.py", None), (22, "p/x", "All rights reserved.")]
+    got = {r["doc_id"]: (r["licence"], r["origin"]) for r in licenses.scan(spark.createDataFrame(hot, schema)).collect()}
+    assert got == {**{i: ("Apache-2.0", "own") for i in range(20)}, 20: ("MIT", "own"), 21: ("MIT", "inherited"), 22: ("proprietary", "own")}
+    few = spark.createDataFrame([(1, "a/x", "Released under the MIT License."), (2, "b/x", "Released under the MIT License.")], schema)
+    assert [r["licence"] for r in licenses.scan(few).collect()] == ["MIT", "MIT"]
+    telling = {t for t, x in zip(licenses.TERMS, licenses.TELLING, strict=True) if x}
+    assert all(telling & set(licenses.words_of(t)) for _, t in licenses.TEMPLATES)
+
+
 def test_connected_components(spark, monkeypatch):
     from cladeframe.llm import common
 
