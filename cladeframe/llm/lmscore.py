@@ -1,12 +1,16 @@
 """Cross-entropy difference of two n-gram models of one vocabulary.
 
-The vocabulary has the VOCABULARY most frequent words of all documents; other words are one unknown word. Both models,
-of the target documents and of all others, are bigram models of the same form: counts of words and of pairs from every
-document, pairs in CELLS hashed cells (so that a model's size does not grow with the corpus), each pair's estimate
+The vocabulary has all words of all documents, and one unknown word. Both models, of the target documents and of all
+others, are bigram models of the same form: exact counts of words and of pairs from every document, each pair's estimate
 drawn to that of the word alone by PRIOR counts, and that to the even spread by one count for each word. A document's
 score is the mean over its words of the target model's loss less the background model's: the lower, the more like the
 target. A word's loss depends on the word before it; the first word stands alone.
 
+Words and pairs (grams) are told by hashes of 63 bits. Documents are dealt to parts. A part sends each of its distinct
+grams once, with its counts, to the bucket of the gram's hash; a bucket sums the counts over all parts and answers each
+part in the part's own order, and the part scores its documents. So no table of counts is gathered or broadcast, and
+parts and buckets grow in number, not in size. How many there are does not change results.
+
 Null texts and texts without words have no loss and a null score; unlabelled documents and ids without a document do
 no harm; ids that repeat are scored row by row; without target documents that model is the even spread. Empty tables
 give no rows; other columns are ignored.
@@ -22,122 +26,105 @@ from pyspark.sql import functions as F
 from . import bytewise as B
 from .common import BROADCAST_IDS, prepare
 
-VOCABULARY = 1 << 15
-CELLS = 1 << 18
 PRIOR = 20.0
-
-COUNTS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
-
-
-def _word_counts(docs: DataFrame) -> DataFrame:
-    def counted(held):
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        return h, n
-
-    def run(batches):
-        held, keys, sums = [], np.zeros(0, B.U), np.zeros(0, np.int64)
-        size = 0
-
-        def fold():
-            nonlocal held, keys, sums, size
-            h, n = counted(held) if held else (keys[:0], sums[:0])
-            every, at = np.unique(np.concatenate((keys, h)), return_inverse=True)
-            sums = np.bincount(at, np.concatenate((sums, n)), len(every)).astype(np.int64)
-            keys, held, size = every, [], 0
-
-        for batch in batches:
-            for _, _, buf, off in B.chunks(B.column(batch, "text")):
-                held.append(B.Words(buf, off, B.ALNUM).hash)
-                size += len(held[-1])
-                if size > 2_000_000:
-                    fold()
-            if len(keys) > 2_000_000:
-                yield rows(keys, sums)
-                keys, sums = keys[:0], sums[:0]
-        fold()
-        yield rows(keys, sums)
-
-    def rows(keys, sums):
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(B.signed(keys)), pa.array(sums)], schema=COUNTS)
-
-    return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def word_ids(words: B.Words, vocabulary: np.ndarray) -> np.ndarray:
-    """Place in the sorted vocabulary of each word; its length for an unknown one."""
-    if not len(vocabulary):
-        return np.zeros(len(words.hash), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, words.hash), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == words.hash, at, len(vocabulary))
-
-
-def pair_cells(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the words that follow another one in their text, and the cells of these pairs."""
-    at = np.flatnonzero(doc[1:] == doc[:-1]) + 1 if len(ids) else np.zeros(0, np.int64)
-    return at, (B.mix(ids[at - 1].astype(B.U) * B.U(0x9E3779B97F4A7C15) + ids[at].astype(B.U)) >> B.U(64 - 18)).astype(np.int64) % CELLS
-
-
-def _gram_counts(docs: DataFrame, shared) -> DataFrame:
-    """Counts of words (kind 0: background, 1: target) and of pairs' cells (2 and 3), summed in each task first."""
-
-    def run(batches):
-        vocabulary = shared.value
-        size = len(vocabulary) + 1
-        ones, pairs = np.zeros((2, size), np.int64), np.zeros((2, CELLS), np.int64)
-        for batch in batches:
-            target = B.column(batch, "target").to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi, buf, off in B.chunks(B.column(batch, "text")):
-                words = B.Words(buf, off, B.ALNUM)
-                ids, side = word_ids(words, vocabulary), target[lo:hi][words.doc]
-                ones += np.bincount(side * size + ids, minlength=2 * size).reshape(2, -1)
-                at, cell = pair_cells(ids, words.doc)
-                pairs += np.bincount(side[at] * CELLS + cell, minlength=2 * CELLS).reshape(2, -1)
-        for kind, counts in enumerate((*ones, *pairs)):
-            key = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(counts[key])], schema=COUNTS)
-
-    return docs.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    def __init__(self, ones: np.ndarray, pairs: np.ndarray):
-        self.ones, self.pairs = ones, pairs
-        self.alone = (ones + 1.0) / (ones.sum() + len(ones))
-
-    def loss(self, ids: np.ndarray, at: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        p = self.alone[ids]
-        before = self.ones[ids[at - 1]]
-        p[at] = (np.minimum(self.pairs[cell], before) + PRIOR * p[at]) / (before + PRIOR)
-        return -np.log(p)
+#: Bytes of text in a part, and of text for which there is a bucket, about.
+PART_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+
+SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWER = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("totals", pa.list_(pa.int64()))])
+SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts (2 x n) as planes of bytes, lowest first: small numbers leave planes of zeros, which compress well."""
+    return np.ascontiguousarray(counts, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").reshape(2, -1)
+
+
+class Grams:
+    """The words of a part's rows in order, and its distinct grams; keys of words are odd, those of pairs even."""
+
+    def __init__(self, table: pa.Table):
+        held, rows = [], []
+        self.count = np.zeros(len(table), np.int64)
+        texts = table.column("text").combine_chunks()
+        for lo, hi, buf, off in B.chunks(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts):
+            words = B.Words(buf, off, B.ALNUM)
+            held.append(words.hash)
+            rows.append(words.doc + lo)
+            self.count[lo:hi] = words.count
+        own = np.concatenate(held) if held else np.zeros(0, B.U)
+        self.row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.at = np.flatnonzero(self.row[1:] == self.row[:-1]) + 1  # words that follow another one in their text
+        pairs = B.mix(own[self.at - 1] * B.U(0xD6E8FEB86659FD93) + own[self.at])
+        self.keys, place = np.unique(np.concatenate((own | B.U(1), pairs & ~B.U(1))), return_inverse=True)
+        self.word, self.pair = place[: len(own)], place[len(own) :]
+
+    def cuts(self, buckets: int) -> np.ndarray:
+        """Where each bucket's keys begin; buckets are ranges of hashes."""
+        bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], B.U)
+        return np.concatenate(([0], np.searchsorted(self.keys, bounds), [len(self.keys)]))
+
+
+def _send(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        g = Grams(table)
+        target = table.column("target").to_numpy().astype(np.int64)[g.row]
+        n = len(g.keys)
+        both = np.bincount(target * n + g.word, minlength=2 * n) + np.bincount(target[g.at] * n + g.pair, minlength=2 * n)
+        both, cuts, part = both.reshape(2, -1), g.cuts(buckets), table.column("part")[0].as_py()
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        # a row for every bucket, as each answers with its totals too
+        return pa.Table.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([part] * buckets, pa.int32()), pa.array([g.keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([packed(both[:, a:b]) for a, b in spans], pa.binary())], schema=SENT)
+
+    return run
+
+
+def _sum(table: pa.Table) -> pa.Table:
+    keys = [np.frombuffer(x, B.U) for x in table.column("keys").to_pylist()]
+    counts = np.concatenate([unpacked(x) for x in table.column("counts").to_pylist()], axis=1)
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.zeros((2, len(every)), np.int64)
+    for side in (0, 1):
+        np.add.at(sums[side], place, counts[side])
+    words = (every & B.U(1)).astype(bool)
+    totals = [int(words.sum()), int(sums[0, words].sum()), int(sums[1, words].sum())]
+    ends = np.cumsum([len(k) for k in keys])
+    back = [packed(sums[:, place[e - len(k) : e]]) for k, e in zip(keys, ends.tolist(), strict=True)]
+    return pa.Table.from_arrays([table.column("part"), table.column("bucket"), pa.array(back, pa.binary()), pa.array([totals] * len(keys), pa.list_(pa.int64()))], schema=ANSWER)
+
+
+def _score(table: pa.Table, answers: pa.Table) -> pa.Table:
+    g, n = Grams(table), len(table)
+    if not n:
+        return SCORES.empty_table()
+    rows = sorted(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist(), answers.column("totals").to_pylist(), strict=True), key=lambda r: r[0])
+    counts = np.concatenate([unpacked(r[1]) for r in rows], axis=1)
+    vocabulary, *totals = np.sum([r[2] for r in rows], axis=0).tolist()
+    none, losses = g.count == 0, []
+    for side in (1, 0):
+        ones, pairs = counts[side][g.word], counts[side][g.pair]
+        p = (ones + 1.0) / (totals[side] + vocabulary + 1)
+        p[g.at] = (pairs + PRIOR * p[g.at]) / (ones[g.at - 1] + PRIOR)
+        losses.append(np.bincount(g.row, -np.log(p), n) / np.maximum(g.count, 1))
+    t, b = losses
+    return pa.Table.from_arrays([table.column("doc_id"), pa.array(g.count), *(pa.array(x, mask=none) for x in (t, b, t - b))], schema=SCORES)
 
 
 def scores(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss, score of each row; target_ids (doc_id) names the target documents."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     ids = target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    docs = docs.select("doc_id", "text")
-    marked = docs.join(ids, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    top = _word_counts(docs).orderBy(F.desc("n"), "key").limit(VOCABULARY).select("key").toPandas()  # VOCABULARY rows at most
-    vocabulary = spark.sparkContext.broadcast(np.sort(top["key"].to_numpy(np.int64).view(B.U)))
-    counts = _gram_counts(marked, vocabulary).toPandas()  # 2 * (VOCABULARY + 1 + CELLS) rows at most
-    size = len(vocabulary.value) + 1
-    tables = [np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)]
-    for kind, own in counts.groupby("kind"):
-        tables[kind][own["key"].to_numpy()] = own["n"].to_numpy()
-    models = spark.sparkContext.broadcast((Model(tables[1], tables[3]), Model(tables[0], tables[2])))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
-
-    def run(batches):
-        for batch in batches:
-            names = B.column(batch, "doc_id")
-            for lo, hi, buf, off in B.chunks(B.column(batch, "text")):
-                words = B.Words(buf, off, B.ALNUM)
-                own = word_ids(words, vocabulary.value)
-                at, cell = pair_cells(own, words.doc)
-                sums = [np.bincount(words.doc, m.loss(own, at, cell), hi - lo) for m in models.value]
-                none = words.count == 0
-                t, b = (s / np.maximum(words.count, 1) for s in sums)
-                yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), pa.array(words.count.astype(np.int64)), *(pa.array(x, mask=none) for x in (t, b, t - b))], schema=schema)
-
-    return docs.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    parts, buckets = (int(size // b) + 1 for b in (PART_BYTES, BUCKET_BYTES))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
+    # the part is told by the row alone, so both readings of the texts make the same parts
+    dealt = docs.join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"), part.alias("part")).repartition(parts, "part")
+    sent = dealt.groupBy("part").applyInArrow(_send(buckets), "bucket int, part int, keys binary, counts binary").repartition(buckets, "bucket")
+    answers = sent.groupBy("bucket").applyInArrow(_sum, "part int, bucket int, counts binary, totals array<long>").repartition(parts, "part")
+    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score, "doc_id long, n_words long, target_loss double, background_loss double, score double")

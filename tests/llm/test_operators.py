@@ -1,6 +1,7 @@
 """The operators against plain versions of what they promise, and on awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -444,6 +445,23 @@ def test_lm_scores(docs, none, spark):
     assert lmscore.scores(docs, target.limit(0)).count() == len(ROWS)
 
 
+def test_lm_scores_are_exact(spark, monkeypatch):
+    # more words and pairs than any table of a fixed size holds; parts and buckets do not change results
+    words = [f"w{i}" for i in range(40_000)]
+    rows = [(i, " ".join(words[100 * i : 100 * i + 100])) for i in range(400)] + [(400, "w0 w1"), (None, None), (401, "")]
+    docs, target = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0,)], "doc_id long")
+    run = lambda: {r["doc_id"]: r for r in lmscore.scores(docs, target).collect()}
+    got = run()
+    assert len(got) == len(rows) and got[None]["score"] is None and got[401]["n_words"] == 0
+    for side, total, ones, pair in (("target_loss", 100, 1, 1), ("background_loss", 39_902, 1, 1)):
+        p = (ones + 1) / (total + 40_000 + 1)
+        assert got[400][side] == pytest.approx(-(math.log(p) + math.log((pair + lmscore.PRIOR * p) / (ones + lmscore.PRIOR))) / 2)
+    monkeypatch.setattr(lmscore, "PART_BYTES", 30_000)
+    monkeypatch.setattr(lmscore, "BUCKET_BYTES", 70_000)
+    again = run()
+    assert set(again) == set(got) and all(again[d][1:] == pytest.approx(got[d][1:]) for d in got if got[d]["score"] is not None)
+
+
 # op5
 
 
