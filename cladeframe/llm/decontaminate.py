@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .common import prepare
+from .common import prepare, stored
 
 WINDOW, K = 10, 6
 W = WINDOW - K + 1
@@ -133,34 +133,34 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, n_words, maximal runs of hit words [hit_start, hit_end), ids of the items.
+    """One row for each row of docs: doc_id, n_words, maximal runs of hit words [hit_start, hit_end), ids of the items.
 
-    The benchmark is a stated query set: it is read in blocks of INDEX_BYTES, and only a block at a time is sent out.
+    A benchmark of more than INDEX_BYTES is dealt to blocks, of which the driver holds one at a time; the documents are
+    stored with a number for each row, scanned for each block, and the blocks' answers are merged by that number.
     """
     prepare(docs.sparkSession)
-    told = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null").withColumn("size", F.octet_length("text"))
-    blocks, block, size = [], [], 0
-    for row in told.toLocalIterator():  # the driver holds the index's texts, a block for each INDEX_BYTES of them
-        if block and size + row["size"] > INDEX_BYTES:
-            blocks.append(block)
-            block, size = [], 0
-        block.append((row["item_id"], row["text"]))
-        size += row["size"]
-    parts = [_scan(docs, x) for x in [*blocks, block]]
-    if len(parts) == 1:
-        return parts[0]
-    numbered = [p.withColumn("block", F.lit(i)) for i, p in enumerate(parts)]
-    every = numbered[0]
-    for p in numbered[1:]:
-        every = every.unionByName(p)
+    told = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null")
+    size = told.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // INDEX_BYTES)
+    if blocks <= 1:
+        return _scan(docs, [tuple(r) for r in told.toLocalIterator()])  # INDEX_BYTES at most
+    rows = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    told = stored(told.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
+    every = None
+    for i in range(blocks):
+        items = [(r["item_id"], r["text"]) for r in told.where(F.col("block") == i).toLocalIterator()]  # about INDEX_BYTES
+        # a row's number stands for its id until the blocks are merged
+        found = _scan(rows.select(F.col("row").alias("doc_id"), "text"), items).withColumnRenamed("doc_id", "row")
+        part = stored(found.where("size(hit_start) > 0") if i else found, "hits")
+        every = part if every is None else every.unionByName(part)
     runs = F.flatten(F.collect_list(F.arrays_zip("hit_start", "hit_end")))
-    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(runs).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(runs).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     empty = F.array().cast("array<struct<hit_start:bigint,hit_end:bigint>>")
     joined = F.aggregate(
         "runs", empty,
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["hit_end"] >= x["hit_start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["hit_start"].alias("hit_start"), F.greatest(F.element_at(acc, -1)["hit_end"], x["hit_end"]).alias("hit_end"))))).otherwise(F.concat(acc, F.array(x))),
     )
-    merged = merged.withColumn("runs", joined)
+    merged = merged.withColumn("runs", joined).join(rows.select("row", "doc_id"), "row")
     return merged.select("doc_id", "n_words", F.col("runs.hit_start").alias("hit_start"), F.col("runs.hit_end").alias("hit_end"), "items")
 
 

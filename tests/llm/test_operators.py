@@ -199,6 +199,17 @@ def test_decontaminate(docs, none, spark, monkeypatch):
     assert empty == naive_hits(ROWS, [])
 
 
+def test_decontaminate_answers_each_row(spark, monkeypatch):
+    items = [(i, prose(random.Random(100 + i), 30)) for i in range(6)]
+    texts = [items[0][1], "filler text " * 20, items[1][1] + " " + items[4][1], None]
+    docs = spark.createDataFrame([(d, t) for d in (None, 7, 8) for t in texts] + [(7, texts[0])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    run = lambda: sorted((str(tuple(r)) for r in decontaminate.hits(docs, bench).collect()))
+    whole = run()
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 200)  # the benchmark in blocks
+    assert run() == whole and len(whole) == 13
+
+
 # op4
 
 
