@@ -86,9 +86,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     wide = np.concatenate((text.astype(B.U), np.zeros(8, B.U)))
     for j in range(8):
         packed = (packed << B.U(8)) | wide[j : j + n]
-    order = np.argsort(packed)
+    # behind a last NUL the padding is like text: there the shorter of two suffixes is told by its length
+    left = np.minimum(np.arange(n, 0, -1), 8) if n and text[-1] == 0 else None
+    order = np.argsort(packed) if left is None else np.lexsort((left, packed))
     head = np.ones(n, bool)
     head[1:] = packed[order[1:]] != packed[order[:-1]]
+    if left is not None:
+        head[1:] |= left[order[1:]] != left[order[:-1]]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     known = 8

@@ -89,6 +89,14 @@ def test_suffixes(docs, none, spark, monkeypatch):
     assert run(none) == {}
 
 
+def test_suffix_array_of_nuls():
+    import numpy as np
+
+    rnd = random.Random(5)
+    for data in (b"\0\0", b"a\0\0", b"\0" * 40, b"ab\0\0ab\0\0", b"a\0\0\0\0\0\0\0b a", *(bytes(rnd.choice(b"\0\0\0a") for _ in range(rnd.randint(1, 60))) for _ in range(200))):
+        assert suffixes.suffix_array(np.frombuffer(data, np.uint8)).tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+
+
 def test_suffixes_hot(docs, monkeypatch):
 
     monkeypatch.setattr(suffixes, "HOT", 2)  # longer anchors
