@@ -9,7 +9,7 @@ import pytest
 
 from cladeframe.llm import language
 from cladeframe.llm.queries import oracle_sql, queries
-from test_operators import ROWS, naive_components, naive_hits, naive_units, prose
+from test_llm_operators import ROWS, naive_components, naive_hits, naive_units, prose
 
 TABLES = "/root/testdata/sf0.001"
 
