@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LONGEST = 256
-#: Windows that one piece of a sequence yields: pieces spread a long sequence over tasks and keep substrings cheap.
-PIECE = 2048
+#: Windows that one piece of a sequence yields: every window copies its piece once, so pieces are short.
+PIECE = 256
+#: Windows of the long pieces by which sequences are dealt out to tasks before they are cut to short ones.
+DEALT = 1 << 16
+# Printable ASCII characters and white space that are no A, C, G, T, in either case.
+OTHERS = "0123456789BDEFHIJKLMNOPQRSUVWXYZbdefhijklmnopqrsuvwxyz \t\n\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def check_k(k: int, s: int | None = None) -> int:
@@ -25,7 +29,8 @@ def upper(seq: Column) -> Column:
 
 def bases(text: Column) -> Column:
     """The letters A, C, G and T of a text, in upper case, without what stands between."""
-    return F.regexp_replace(upper(text), "[^ACGT]", "")
+    # translate drops most of what is to go, and leaves the pattern little to do
+    return F.regexp_replace(F.translate(text, "acgt" + OTHERS, "ACGT"), "[^ACGT]+", "")
 
 
 def revcomp(seq: Column) -> Column:
@@ -38,21 +43,38 @@ def acgt_runs(seq: Column) -> Column:
     return F.regexp_extract_all(upper(seq), F.lit("[ACGT]+"), F.lit(0))
 
 
+def _cut(df: DataFrame, seq: str, at: Column, place: str, size: Column) -> DataFrame:
+    """A row for each of the places at (from 0), with the size letters of seq from there. The bytes of a sequence that
+    is all ASCII are reached at once, however far in; whether it is, is told once for each sequence."""
+    told = df.withColumn("__plain", F.octet_length(seq) == F.length(seq)).withColumn(place, F.explode(at))
+    part = F.when(F.col("__plain"), F.substring(F.col(seq).cast("binary"), F.col(place) + 1, size).cast("string")).otherwise(F.substring(seq, F.col(place) + 1, size))
+    return told.withColumn(seq, part).drop("__plain")
+
+
 def pieces(df: DataFrame, seq: str, k: int, size: int = PIECE) -> DataFrame:
     """df with piece and offset, and seq cut to pieces that overlap by k - 1, so each has up to size windows of its own.
 
     Sequences shorter than k give no row.
     """
     n = F.length(seq)
-    cut = df.where(n >= k).withColumn("offset", F.explode(F.sequence(F.lit(0), n - k, F.lit(size))))
-    return cut.withColumn("piece", (F.col("offset") / size).cast("long")).withColumn(seq, F.substring(seq, F.col("offset") + 1, F.lit(size + k - 1)))
+    cut = _cut(df.where(n >= k), seq, F.sequence(F.lit(0), n - k, F.lit(size)), "offset", F.lit(size + k - 1))
+    return cut.withColumn("piece", (F.col("offset") / size).cast("long"))
 
 
 def windows(df: DataFrame, seq: str, k: int, out: str = "kmer", size: int = PIECE) -> DataFrame:
     """A row for each window of k letters, with pos (from 0) and piece in place of the sequence."""
     cut = pieces(df, seq, check_k(k), size)
-    each = cut.withColumn("__at", F.explode(F.sequence(F.lit(0), F.length(seq) - k)))
-    return each.withColumn(out, F.substring(seq, F.col("__at") + 1, F.lit(k))).withColumn("pos", (F.col("offset") + F.col("__at")).cast("long")).drop(seq, "offset", "__at")
+    each = _cut(cut, seq, F.sequence(F.lit(0), F.length(seq) - k), "__at", F.lit(k))
+    return each.withColumn(out, F.col(seq)).withColumn("pos", (F.col("offset") + F.col("__at")).cast("long")).drop(seq, "offset", "__at")
+
+
+def dealt(runs: DataFrame, seq: str, overlap: int) -> DataFrame:
+    """Runs of A, C, G, T cut to pieces of DEALT letters, which share overlap letters with the next one, and dealt to
+    all tasks; first tells whether a piece is the beginning of its run. A chromosome is many pieces."""
+    cut = runs.withColumn(seq, F.col(seq).cast("binary")).withColumn("__from", F.explode(F.sequence(F.lit(0), F.greatest(F.length(seq) - overlap - 1, F.lit(0)), F.lit(DEALT))))
+    cut = cut.withColumn(seq, F.substring(seq, F.col("__from") + 1, F.lit(DEALT + overlap))).withColumn("first", F.col("__from") == 0).drop("__from")
+    spark = runs.sparkSession
+    return cut.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
 def both_strands(df: DataFrame, seq: str = "seq", forward_only: bool = False) -> DataFrame:
@@ -65,12 +87,21 @@ def runs_of(df: DataFrame, seq: str = "seq") -> DataFrame:
     return df.withColumn(seq, F.explode(acgt_runs(F.col(seq))))
 
 
+def run_windows(runs: DataFrame, seq: str, k: int, out: str = "kmer", size: int = PIECE) -> DataFrame:
+    """A row for each window of k letters of runs of A, C, G, T, without its place."""
+    cut = dealt(runs.where(F.length(seq) >= check_k(k)), seq, k - 1).drop("first")
+    cut = cut.withColumn("__offset", F.explode(F.sequence(F.lit(0), F.length(seq) - k, F.lit(size))))
+    cut = cut.withColumn(seq, F.substring(seq, F.col("__offset") + 1, F.lit(size + k - 1))).drop("__offset")
+    each = cut.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(seq) - k + 1)))
+    return each.withColumn(out, F.substring(seq, F.col("__at"), F.lit(k)).cast("string")).drop(seq, "__at")
+
+
 def with_prefixes(runs: DataFrame, seq: str, s: int, out: str = "mer", size: int = PIECE) -> DataFrame:
     """A row for each window of s letters of the runs, and for each of their prefixes of fewer letters, in one pass: a
     window that starts before the run is a prefix."""
-    n = F.length(seq)
-    cut = runs.where(n > 0).withColumn("__offset", F.explode(F.sequence(F.lit(0), F.greatest(n - s, F.lit(0)), F.lit(size))))
+    cut = dealt(runs.where(F.length(seq) > 0), seq, s - 1)
+    cut = cut.withColumn("__offset", F.explode(F.sequence(F.lit(0), F.greatest(F.length(seq) - s, F.lit(0)), F.lit(size))))
     cut = cut.withColumn(seq, F.substring(seq, F.col("__offset") + 1, F.lit(size + s - 1)))
-    first = F.when(F.col("__offset") == 0, F.lit(1 - s)).otherwise(F.lit(0))
+    first = F.when(F.col("first") & (F.col("__offset") == 0), F.lit(1 - s)).otherwise(F.lit(0))
     each = cut.withColumn("__at", F.explode(F.sequence(first, F.length(seq) - s)))
-    return each.withColumn(out, F.substring(seq, F.greatest("__at", F.lit(0)) + 1, F.least(F.col("__at"), F.lit(0)) + s)).drop(seq, "__offset", "__at")
+    return each.withColumn(out, F.substring(seq, F.greatest("__at", F.lit(0)) + 1, F.least(F.col("__at"), F.lit(0)) + s).cast("string")).drop(seq, "first", "__offset", "__at")

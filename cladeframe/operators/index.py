@@ -23,14 +23,19 @@ class Index:
     labels: LabelTree
     s: int
 
-    def kmer_labels(self, k: int | None = None) -> DataFrame:
-        """(kmer, label) of all distinct strings of k letters; a null label marks a string of an unlabelled universe."""
+    def kmer_labels(self, k: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+        """(kmer, label) of all distinct strings of k letters; a null label marks a string of an unlabelled universe.
+
+        asked: (kmer) distinct strings, few enough to be sent to every executor. Only their labels are given, and the
+        positions are filtered by them where they are read, before any of them is moved.
+        """
         k = kmers.check_k(k or self.s, self.s)
         held = self.positions.where(F.length("mer") >= k)
-        if k == self.s:
-            spans = held.withColumnRenamed("mer", "kmer")
-        else:
-            spans = held.groupBy(F.right("mer", F.lit(k)).alias("kmer")).agg(*tree.merge_spans())
+        spans = held.withColumnRenamed("mer", "kmer") if k == self.s else held.withColumn("kmer", F.right("mer", F.lit(k))).drop("mer")
+        if asked is not None:
+            spans = spans.join(F.broadcast(asked.select("kmer")), "kmer", "left_semi")
+        if k != self.s:
+            spans = spans.groupBy("kmer").agg(*tree.merge_spans())
         return tree.with_lca(spans, self.labels)
 
     def position_labels(self) -> DataFrame:
@@ -90,5 +95,5 @@ def direct(sequences: DataFrame, labels: LabelTree, k: int, forward_only: bool =
     """(kmer, label) for one k without an index."""
     known = tree.with_tin(sequences.select("label", "seq"), labels)
     strands = kmers.runs_of(kmers.both_strands(known, "seq", forward_only))
-    spans = kmers.windows(strands, "seq", k).groupBy("kmer").agg(*tree.span(F.col("tin")))
+    spans = kmers.run_windows(strands, "seq", k).groupBy("kmer").agg(*tree.span(F.col("tin")))
     return tree.with_lca(spans, labels)

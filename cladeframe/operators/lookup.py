@@ -10,6 +10,8 @@ from ..functions import kmers, tree
 from .hierarchy import LabelTree
 from .index import Index
 
+#: Windows of all queries up to which the index is read for their strings only.
+ASKED = 1_000_000
 
 def run_lengths(df: DataFrame, keys: list[str], order: str, value: str, length: str | None = None) -> DataFrame:
     """keys, start, end (half open) and value of each run of rows with equal value (null equals null) in order.
@@ -44,7 +46,10 @@ def annotate(queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
 def lookup(queries: DataFrame, index: Index, k: int | None = None, misses: bool = False) -> DataFrame:
     """(query_rank, query_name, from_kmer, to_kmer, label, label_name) of queries (query_rank, query_name, seq)."""
     k = kmers.check_k(k or index.s, index.s)
-    runs = annotate(queries, index.kmer_labels(k), k)
+    asked = None
+    if counted(queries, k).first()["n_kmers"] <= ASKED:
+        asked = kmers.windows(queries.select(kmers.upper(F.col("seq")).alias("seq")), "seq", k).select("kmer").distinct()
+    runs = annotate(queries, index.kmer_labels(k, asked), k)
     if not misses:
         runs = runs.where("label is not null")
     runs = tree.with_name(runs, index.labels)

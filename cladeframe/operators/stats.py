@@ -32,34 +32,36 @@ def sizes(index: Index) -> DataFrame:
     return index.positions.agg(F.count_if(F.length("mer") == index.s).alias("n_mers"), (F.count("*") + 1).alias("n_positions"))
 
 
-def run_sizes(rows: DataFrame, order: str = "rev", value: str = "label") -> DataFrame:
+def run_sizes(rows: DataFrame, order: str = "rev", value: str = "label", sums: tuple[str, ...] = ()) -> DataFrame:
     """(n): lengths of the runs of equal value when all rows are sorted by order, a string column; null is a value.
+    Of the columns in sums each run has the sum.
 
     The order is dealt out by leading letters, so runs are found in many tasks; only the first and the last run of
     each part, at most two for each beginning of DEALT letters, meet in one to be joined.
     """
     within = Window.partitionBy("part").orderBy(order)
-    rows = rows.select(order, value, F.substring(order, 1, DEALT).alias("part"))
+    rows = rows.select(order, value, *sums, F.substring(order, 1, DEALT).alias("part"))
     same = F.col(value).eqNullSafe(F.lag(value).over(within)) & F.lag(F.lit(True), 1, False).over(within)
     rows = rows.withColumn("new", (~same).cast("int")).withColumn("run", F.sum("new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy("part", "run").agg(F.count("*").alias("n"), F.first(value).alias(value))
-    runs = runs.withColumn("edge", (F.col("run") == 1) | (F.col("run") == F.max("run").over(Window.partitionBy("part")))).persist()
+    runs = rows.groupBy("part", "run").agg(F.count("*").alias("n"), F.first(value).alias(value), *(F.sum(c).alias(c) for c in sums))
+    runs = runs.withColumn("edge", (F.col("run") == 1) | (F.col("run") == F.max("run").over(Window.partitionBy("part"))))
     across = Window.orderBy("part", "run")  # edges only
     joins = F.col(value).eqNullSafe(F.lag(value).over(across)) & (F.col("part") != F.lag("part").over(across))
     edges = runs.where("edge").withColumn("new", (~F.coalesce(joins, F.lit(False))).cast("int"))
-    edges = edges.withColumn("id", F.sum("new").over(across.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id").agg(F.sum("n").alias("n"))
-    return runs.where("not edge").select("n").unionByName(edges.select("n"))
+    edges = edges.withColumn("id", F.sum("new").over(across.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums))
+    return runs.where("not edge").select("n", *sums).unionByName(edges.select("n", *sums))
 
 
 def run_stats(index: Index) -> DataFrame:
     """One row: n_mers (of s letters), labelled and unlabelled positions; least, greatest, mean length of the runs of
     equal labels when positions (and the empty string) are sorted from their right ends."""
-    sizes = run_sizes(_with_empty(index).select(F.reverse("mer").alias("rev"), "label"))
-    lengths = sizes.agg(F.min("n").alias("run_min"), F.max("n").alias("run_max"), (F.sum("n") / F.count("*")).alias("run_mean"))
-    counts = index.position_labels().agg(
-        F.count_if(F.length("mer") == index.s).alias("n_mers"), F.count_if(F.col("label").isNotNull()).alias("labelled"), (F.count_if(F.col("label").isNull()) + 1).alias("unlabelled")
+    whole = (F.length("mer") == index.s).cast("long").alias("n_mers")
+    rows = _with_empty(index).select(F.reverse("mer").alias("rev"), "label", whole, F.col("label").isNotNull().cast("long").alias("labelled"))
+    runs = run_sizes(rows, sums=("n_mers", "labelled"))
+    return runs.agg(
+        F.sum("n_mers").alias("n_mers"), F.sum("labelled").alias("labelled"), (F.sum("n") - F.sum("labelled")).alias("unlabelled"),
+        F.min("n").alias("run_min"), F.max("n").alias("run_max"), (F.sum("n") / F.count("*")).alias("run_mean"),
     )
-    return counts.withColumn("one", F.lit(1)).join(lengths.withColumn("one", F.lit(1)), "one").drop("one")  # a row each
 
 
 def node_stats(index: Index) -> DataFrame:

@@ -26,10 +26,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(label, seq) of the documents whose language has a label."""
     of = F.create_map(*(x for i in range(4) for x in (F.lit(LANGS.names[i]), F.lit(i))))
-    return _table(spark, sf_dir, "documents").select(of[F.col("lang")].alias("label"), kmers.bases(F.col("text")).alias("seq")).where("label is not null and seq is not null")
+    docs = _table(spark, sf_dir, "documents").select(of[F.col("lang")].alias("label"), "text").where("label is not null and text is not null")
+    return docs.repartition(_tasks(spark)).select("label", kmers.bases(F.col("text")).alias("seq"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +43,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "conversations").select(kmers.bases(F.col("text")).alias("seq")).where("seq is not null")
+    return _table(spark, sf_dir, "conversations").where("text is not null").select(kmers.bases(F.col("text")).alias("seq"))
 
 
 def nations(spark: SparkSession, sf_dir: str) -> LabelTree:
