@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,7 +29,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith(("local[", "local")):
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
@@ -50,6 +51,33 @@ def _ship(sc) -> None:
     sc._cladeframe_shipped = True
 
 
+def free(columns, name: str) -> str:
+    """name, with as many underscores as it takes to be none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str, DataFrame]:
+    """docs with a further column, its name, and the documents (doc_id, text) that it names, it standing for doc_id.
+
+    Where no id repeats, which is counted, the column is the id. Else rows of one id are told apart by their texts:
+    documents are then numbered in the order of id and of a hash of the text (null texts count as empty ones), and rows
+    equal in both are one document. Rows without an id have null there and are no document.
+    """
+    key, digest = free(docs.columns, "__document"), free(docs.columns, "__digest")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.withColumn(key, F.col("doc_id").cast("long"))
+        return docs, key, docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), "text")
+    told = docs.withColumn(digest, F.xxhash64(F.coalesce("text", F.lit(""))))
+    # numbers rise over the ranges of a sort and within them; written down, they stay what they are
+    order = told.where("doc_id is not null").select("doc_id", digest).distinct().orderBy("doc_id", digest)
+    order = stored(order.withColumn(key, F.monotonically_increasing_id()), "keys")
+    docs = told.join(order, ["doc_id", digest], "left").select(*docs.columns, key)
+    return docs, key, docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), "text").dropDuplicates(["doc_id"])
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, key: str, n_ids: int, anti: bool = False) -> DataFrame:
     """Rows of df whose key is (anti: is not) in ids, which has n_ids rows. A counted small set goes to each executor."""
     ids = ids.select(key)

@@ -3,15 +3,17 @@
 Features are hashed counts of one to three neighbouring bytes of the lower-cased text, where all that is neither an
 ASCII letter nor beyond ASCII counts as one blank. Linear support vector machines (squared hinge loss, dual coordinate
 descent) tell families one against the rest, and within a family every two languages apart; votes, then margins,
-decide. All weights are learned from a sample of labelled rows, of at most PER_LANGUAGE rows of each language, that a
-hash of the id chooses.
+decide. All weights are learned, in one task, from a sample of labelled rows, of at most PER_LANGUAGE rows of each
+language, that a hash of id and text chooses.
 
-Texts that are null or have no letter are `und` with score 0; without any labelled row every text is `und`. Rows with
-equal ids, equal texts, further columns and empty tables need no care: each row is answered by its own text alone.
+Texts that are null or have no letter are `und` with score 0; without any labelled row every text is `und`. Each row is
+answered by its own text alone, so ids may be null or repeat. Rows that are equal in id and text are drawn for the
+sample together, up to the bound. Empty tables give no rows; other columns are ignored, and kept by accepted().
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -65,18 +67,19 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 15) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine for labels -1 and 1; both classes weigh alike."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
     c = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * cost
-    w, alpha, diag = np.zeros(x.shape[1]), np.zeros(len(x)), 0.5 / c
-    norms, rng = (x**2).sum(1) + diag, np.random.default_rng(7)
+    w, bias, alpha, diag = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(x)), 0.5 / c
+    norms, rng = np.einsum("ij,ij->i", x, x) + 1.0 + diag, np.random.default_rng(7)
     for _ in range(rounds):
         for i in rng.permutation(len(x)):
-            step = (y[i] * (x[i] @ w) - 1 + diag[i] * alpha[i]) / norms[i]
+            step = (y[i] * (float(x[i] @ w) + bias) - 1 + diag[i] * alpha[i]) / norms[i]
             new = max(alpha[i] - step, 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                by = float((new - alpha[i]) * y[i])
+                w += np.float32(by) * x[i]
+                bias += by
                 alpha[i] = new
-    return w
+    return np.append(w, bias).astype(np.float32)
 
 
 @dataclass
@@ -143,17 +146,14 @@ def held_out() -> Column:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model fitted on rows of docs (doc_id, text, lang) that are not held out; null without such rows."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
-    if not counts:
-        return None
-    draw = F.xxhash64(F.lit(11), "doc_id")
-    # a first cut by the hash leaves few rows more than needed, so that ranking them moves little
-    share = F.lit(2.0**63)
-    near = F.lit(False)
-    for lang, n in counts.items():
-        near = near | ((F.col("lang") == lang) & ((draw.cast("double") + share) / 2.0**64 <= min(1.0, 2 * (per_language + 20) / n)))
-    ranked = rows.where(near).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", "text"))).where(F.col("rank") <= per_language)
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.select("lang", "text", F.xxhash64(F.lit(11), "doc_id", "text").alias("draw"))
+    least = Window.partitionBy("lang").orderBy("draw")  # each task passes on its own least ones only
+    first = rows.select("lang", "draw").withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= per_language)
+    last = first.groupBy("lang").agg(F.max("draw").alias("last"))  # a row for each language
+    near = rows.join(F.broadcast(last), "lang").where("draw <= last")
+    # rows with one draw are equal ones: the bound holds for them, too
+    sample = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("rank") <= per_language)
 
     def run(batches):
         for batch in batches:
@@ -162,9 +162,28 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
                 x = features(buf, off).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([langs.slice(lo, hi - lo), pa.array([r.tobytes() for r in x])], names=["lang", "x"])
 
-    sample = ranked.select("lang", "rank", "text").mapInArrow(run, "lang string, x binary").toPandas().sort_values(["lang", "x"])
-    x = np.frombuffer(b"".join(sample["x"]), np.float16).reshape(-1, DIM).astype(np.float32)
-    return Model.train(x, sample["lang"].tolist())
+    def learn(batches):
+        pairs = sorted((lang, x) for batch in batches for lang, x in zip(B.column(batch, "lang").to_pylist(), B.column(batch, "x").to_pylist(), strict=True))
+        if pairs:
+            x = np.frombuffer(b"".join(x for _, x in pairs), np.float16).reshape(-1, DIM).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model.train(x, [lang for lang, _ in pairs]))])], names=["model"])
+
+    # per_language rows of each language are all that meets in one task
+    found = sample.select("lang", "text").mapInArrow(run, "lang string, x binary").repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
+
+
+def judged(batches, shared):
+    """Of each batch: language and score of its rows' texts."""
+    m = shared.value
+    for batch in batches:
+        langs, scores = [], []
+        for _, _, buf, off in B.chunks(B.column(batch, "text")):
+            known = has_letter(buf, off)
+            own, score = m.predict(features(buf, off)) if m else (["und"] * len(known), np.zeros(len(known)))
+            langs += [a if k else "und" for a, k in zip(own, known, strict=True)]
+            scores.append(np.where(known, score, 0.0).astype(np.float64))
+        yield batch, langs, np.concatenate(scores) if scores else np.zeros(0)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -173,16 +192,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
-        m = shared.value
-        for batch in batches:
-            ids, out = B.column(batch, "doc_id"), B.column(batch, "held_out")
-            for lo, hi, buf, off in B.chunks(B.column(batch, "text")):
-                known = has_letter(buf, off)
-                langs, score = m.predict(features(buf, off)) if m else (["und"] * (hi - lo), np.zeros(hi - lo))
-                langs = [a if k else "und" for a, k in zip(langs, known, strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), out.slice(lo, hi - lo), pa.array(langs, pa.string()), pa.array(np.where(known, score, 0.0))], schema=schema)
+        for batch, langs, score in judged(batches, shared):
+            yield pa.RecordBatch.from_arrays([B.column(batch, "doc_id"), B.column(batch, "held_out"), pa.array(langs, pa.string()), pa.array(score)], schema=schema)
 
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -192,6 +205,12 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 
 def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in a learned language. A row without an id has no answer and stays."""
-    rejected = identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    """The rows of docs, with all their columns, whose text is in a learned language; one pass, each row by itself."""
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+
+    def run(batches):
+        for batch, langs, score in judged(batches, shared):
+            yield batch.filter(pa.array([a != "und" and s >= min_score for a, s in zip(langs, score.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
