@@ -100,7 +100,10 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN u USING (doc_id)
 OP4 = r"""
 WITH u AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\n]*?(?:[.!?] |\n)|[^\n]+$')) AS s, generate_subscripts(regexp_extract_all(text, '[^\n]*?(?:[.!?] |\n)|[^\n]+$'), 1) AS i FROM documents),
 w AS (SELECT *, regexp_extract_all(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS x FROM u),
-r AS (SELECT *, row_number() OVER (PARTITION BY array_to_string(x, ' ') ORDER BY doc_id, i) > 1 AND len(x) >= 6 AS gone FROM w),
+e AS (SELECT doc_id, i, len(x) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS o, row_number() OVER (PARTITION BY array_to_string(x, ' ') ORDER BY doc_id, i) > 1 AS again FROM w WHERE len(x) > 0),
+k AS (SELECT *, o - row_number() OVER (PARTITION BY doc_id ORDER BY o) AS run FROM e WHERE again),
+t AS (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id, run) >= 20 AS gone FROM k),
+r AS (SELECT u.*, coalesce(t.gone, false) AS gone FROM u LEFT JOIN t ON t.doc_id = u.doc_id AND t.i = u.i),
 g AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed_units, sum(strlen(s)) FILTER (gone) AS n_removed, string_agg(s, '' ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(n_removed_units, 0) AS BIGINT) AS n_removed_units, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(kept, '') AS kept_text
 FROM documents d LEFT JOIN g USING (doc_id)

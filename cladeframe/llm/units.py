@@ -2,11 +2,16 @@
 
 A text falls into units: a unit ends behind a line feed, or behind the blank that follows a full stop, exclamation or
 question mark. A unit is normalised to its lower-cased words (runs of ASCII letters and digits and of characters beyond
-ASCII), whose digests of 128 bits are grouped over all documents. Of the units of LEAST_WORDS words or more with one
-digest the earliest by (doc_id, offset) stays, all others go; offsets are those of the original text in UTF-8 bytes.
-
-Shorter units always stay. Null texts have no units; a text may lose all of them and is empty then; rows without an id
-lose nothing; rows with one id are ranked by offset and treated as one document; other columns are carried along.
+ASCII), whose digests of 128 bits are grouped over all documents. Of the units with one digest the earliest by
+(doc_id, offset) stays; the others are repeats. Repeats go in runs: neighbouring repeats (units without words between
+them do not count) that have LEAST_WORDS words or more together are removed, whatever the length of each. So a short
+unit that a text has in common with others by chance stays, and one inside a repeated passage goes. Offsets are those
+of the original text in UTF-8 bytes.
+
+Units without words always stay. Null texts have no units; a text may lose all of them and is empty then; rows without
+an id lose nothing; rows with one id are told apart by their texts, in the order of a hash of them, and rows equal in id
+and text are one document, whose answer all of them get; an empty table gives no rows; other columns, whatever their
+names, are carried along.
 """
 
 from __future__ import annotations
@@ -17,11 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import bytewise as B
-from .common import prepare
+from .common import free, keyed, prepare
 
-LEAST_WORDS = 6
+#: Words that a run of neighbouring repeated units has at least if it is removed.
+LEAST_WORDS = 20
 
 
 def spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,7 +48,8 @@ def spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+    """(h1, h2, doc_id, start, size, place, words) of each unit with words; place counts those of a document."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int32()) for c in ("start", "size", "place", "words"))])
 
     def run(batches):
         for batch in batches:
@@ -50,27 +58,34 @@ def _units(docs: DataFrame) -> DataFrame:
                 words = B.Words(buf, off, B.ALNUM)
                 doc, start, end = spans(buf, off)
                 a, b = np.searchsorted(words.start, start), np.searchsorted(words.start, end)
-                keep = b - a >= LEAST_WORDS
+                keep = b > a
                 doc, start, end, a, b = doc[keep], start[keep], end[keep], a[keep], b[keep]
-                at = off[doc]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (B.signed(words.run_hash(a, b)), B.signed(words.run_hash(a, b, 0x5851F42D4C957F2D)), ids[lo + doc], start - at, end - at))], schema=schema)
+                place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                ints = (x.astype(np.int32) for x in (start - off[doc], end - start, place, b - a))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (B.signed(words.run_hash(a, b)), B.signed(words.run_hash(a, b, 0x5851F42D4C957F2D)), ids[lo + doc], *ints))], schema=schema)
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "h1 long, h2 long, doc_id long, start long, end long")
+    return docs.where("text is not null").mapInArrow(run, "h1 long, h2 long, doc_id long, start int, size int, place int, words int")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """docs with all its columns and removed array<struct<start, end>>: the units that go, in order; null without any."""
+def repeated(docs: DataFrame, name: str = "removed") -> DataFrame:
+    """docs with all its columns and removed array<struct<start, end>>: the units that go, in order; null without any.
+    A column of that name is replaced."""
     prepare(docs.sparkSession)
-    units = _units(docs)
+    docs = docs.drop(name)
+    rows, key, known = keyed(docs)
+    units = _units(known)
     many = units.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "kept")
     gone = units.join(many, ["h1", "h2"]).where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("start") != F.col("kept.start")))
-    gone = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    return docs.drop("removed").join(gone, "doc_id", "left").select(*docs.drop("removed").columns, "removed")
+    # neighbours have one difference of place and rank; all of it in the order of one shuffle by document
+    gone = gone.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("doc_id").orderBy("place")))
+    gone = gone.withColumn("together", F.sum("words").over(Window.partitionBy("doc_id", "run"))).where(F.col("together") >= LEAST_WORDS)
+    gone = gone.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("end")))).alias(name))
+    return rows.join(gone, key, "left").select(*docs.columns, name)
 
 
-def _kept(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, str]]:
+def _kept(batch: pa.RecordBatch, name: str = "removed") -> Iterator[tuple[int, int, int, str]]:
     """Count of units, units removed, bytes removed, text that stays, of each row."""
-    removed = B.column(batch, "removed").to_pylist()
+    removed = B.column(batch, name).to_pylist()
     for lo, hi, buf, off in B.chunks(B.column(batch, "text")):
         doc, _, _ = spans(buf, off)
         count = np.bincount(doc, minlength=hi - lo)
@@ -97,14 +112,15 @@ def digest(found: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated units cut from text, n_chars (if there is one) counted anew; texts cut to nothing go."""
-    found = repeated(docs)
+    name = free(docs.columns, "__removed")
+    found = repeated(docs, name)
 
     def run(batches):
         for batch in batches:
-            texts = [None if t is None else r[3] for t, r in zip(B.column(batch, "text").to_pylist(), _kept(batch), strict=True)]
-            keep = pa.array([bool(t) or not r for t, r in zip(texts, B.column(batch, "removed").to_pylist(), strict=True)])
+            texts = [None if t is None else r[3] for t, r in zip(B.column(batch, "text").to_pylist(), _kept(batch, name), strict=True)]
+            keep = pa.array([bool(t) or not r for t, r in zip(texts, B.column(batch, name).to_pylist(), strict=True)])
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).filter(keep)
 
-    out = found.mapInArrow(run, found.schema).drop("removed")
+    out = found.mapInArrow(run, found.schema).drop(name)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
