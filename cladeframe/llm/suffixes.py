@@ -13,11 +13,12 @@ the same document. Strings are those of the UTF-8 bytes of the input; they never
    LENGTH bytes in common has its first occurrence.
 4. The strings of an anchor that occurs more than HOT times get a second, longer one (LONG bytes) and go by that: what
    surrounds a frequent short line tells its strings apart. A second anchor that occurs more than SPREAD times is
-   spread over several shards; each sorts its pieces and keeps its first occurrences, and the shards' sorted lists are
-   merged by binary search in ranges of the strings' hashes.
+   spread over several shards; each sorts its pieces and keeps its first occurrences. The shards' sorted lists are dealt
+   out in ranges of strings, and in each range every list is looked up by binary search in those merged before it.
 
 Null and empty texts have no bytes; rows without an id are answered by nothing else than their own length and are
-never removed; rows with one id are ordered by offset; other columns are ignored; an empty table gives no rows.
+never removed; rows with one id are told apart by their texts, in the order of a hash of them, and rows equal in id and
+text are one document, whose answer all of them get; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .common import BROADCAST_IDS, keep_ids, prepare
+from .common import BROADCAST_IDS, keep_ids, keyed, prepare
 
 LENGTH, GRAM, LONG = 100, 32, 90
 #: Occurrences of an anchor beyond which its strings get a longer one, and of that beyond which its pieces are spread.
-HOT, SPREAD = 2_000, 20_000
+HOT, SPREAD = 2_000, 8_000
+#: Strings in a range of the shards' lists, about.
+RANGE = 200_000
 #: Bytes of pieces in one suffix array, at most (one piece if it is longer), and bytes of pieces a task remembers.
 SHARD_BYTES, SEEN_BYTES = 1 << 20, 24 << 20
 #: Repeated anchors that are sent out; more of them are joined to the pieces instead.
@@ -319,7 +322,7 @@ def _sort_shards(pieces: DataFrame) -> DataFrame:
             """Ends an anchor's group: unlike pieces wait for the next suffix array."""
             nonlocal size
             if len(group) > 1 or salted:
-                held.extend((d, at, n, p, salted) for p, (d, at, n) in group.items())
+                held.extend((d, at, n, p, key) for p, (d, at, n) in group.items())
                 size += sum(map(len, group))
             group.clear()
 
@@ -328,11 +331,11 @@ def _sort_shards(pieces: DataFrame) -> DataFrame:
             size = 0
             if not held:
                 return
-            for (d, at, _, p, hot), (later, _) in zip(held, again([x[:4] for x in held]), strict=True):
+            for (d, at, _, p, (anchor, salt)), (later, _) in zip(held, again([x[:4] for x in held]), strict=True):
                 for lo, hi in _runs(later):
                     spans.add(d, at + lo, hi - lo)
-                if hot:
-                    out.extend((d, at + i, p[i : i + LENGTH]) for i in np.flatnonzero(~later).tolist())
+                if salt >= 0:  # the first of the shard's equal strings; its list is named by its salt
+                    out.extend((d, at + i, p[i : i + LENGTH], salt) for i in np.flatnonzero(~later).tolist())
             held.clear()
 
         for batch in batches:
@@ -362,38 +365,57 @@ def _sort_shards(pieces: DataFrame) -> DataFrame:
         yield first(out)
 
     def first(out):
-        batch = pa.RecordBatch.from_arrays([pa.nulls(len(out), pa.int64()), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([1] * len(out), pa.int32()), pa.array([r[2] for r in out], pa.binary()), pa.nulls(len(out), pa.int32())], schema=SCHEMA)
+        batch = pa.RecordBatch.from_arrays([pa.array([r[3] for r in out], pa.int64()), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([1] * len(out), pa.int32()), pa.array([r[2] for r in out], pa.binary()), pa.nulls(len(out), pa.int32())], schema=SCHEMA)
         out.clear()
         return batch
 
     return pieces.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(run, PIECE)
 
 
-def _merge(strings: DataFrame) -> DataFrame:
-    """Spans of the shards' single strings that have an earlier equal: ranges of the strings' hashes are sorted, and
-    each string is looked up among the first ones by binary search."""
+def merge(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Of sorted lists of strings with their places (strings, doc_id, at), no string twice in a list: doc_id and at of
+    the strings that stand in several lists, but for the earliest of each. Each list is looked up by binary search in
+    those merged so far."""
+    again = [np.zeros((2, 0), np.int64)]
+    text, doc, at = lists[0]
+    for more, d, a in lists[1:]:
+        place = np.searchsorted(text, more)
+        same = np.flatnonzero(text[np.minimum(place, len(text) - 1)] == more) if len(text) else np.zeros(0, np.int64)
+        mine = place[same]
+        later = (d[same] > doc[mine]) | ((d[same] == doc[mine]) & (a[same] > at[mine]))
+        again.append(np.where(later, (d[same], a[same]), (doc[mine], at[mine])))
+        doc[mine], at[mine] = np.where(later, doc[mine], d[same]), np.where(later, at[mine], a[same])
+        fresh = np.ones(len(more), bool)
+        fresh[same] = False
+        text, doc, at = (np.insert(x, place[fresh], y[fresh]) for x, y in ((text, more), (doc, d), (at, a)))
+    return np.concatenate(again, axis=1)
+
+
+def _merge(strings: DataFrame, n: int) -> DataFrame:
+    """Spans of the n single strings of the shards' sorted lists that have an earlier equal in another list."""
 
     def run(batches):
-        first = np.zeros(0, f"S{LENGTH}")
+        lists: dict[int, list] = {}
         for batch in batches:
+            # a byte behind each string keeps numpy from dropping NULs
             p = np.array([x + b"\1" for x in B.column(batch, "piece").to_pylist()], f"S{LENGTH + 1}")
-            d, at = B.column(batch, "doc_id").to_numpy(), B.column(batch, "at").to_numpy()
-            # rows come in order of string, doc_id, at: the last string of a batch is all that is carried on
-            place = np.searchsorted(first, p)
-            old = (place < len(first)) & (first[np.minimum(place, max(len(first) - 1, 0))] == p) if len(first) else np.zeros(len(p), bool)
-            old[1:] |= p[1:] == p[:-1]
-            keep = np.flatnonzero(old)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(keep), pa.int64()), pa.array(d[keep]), pa.array(at[keep]), pa.array(np.ones(len(keep), np.int32)), pa.nulls(len(keep), pa.binary()), pa.nulls(len(keep), pa.int32())], schema=SCHEMA)
-            first = p[-1:]
+            shard, d, at = (B.column(batch, c).to_numpy() for c in ("anchor", "doc_id", "at"))
+            for s in np.unique(shard).tolist():
+                lists.setdefault(s, []).append((p[shard == s], d[shard == s], at[shard == s]))
+        if lists:
+            doc, at = merge([tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for parts in lists.values()])
+            none = pa.nulls(len(doc), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(doc), pa.array(at), pa.array(np.ones(len(doc), np.int32)), pa.nulls(len(doc), pa.binary()), none.cast(pa.int32())], schema=SCHEMA)
 
-    return strings.repartition(F.xxhash64("piece")).sortWithinPartitions("piece", "doc_id", "at").mapInArrow(run, PIECE)
+    # a string is in a list once and in as many lists as there are shards at most, so ranges are even
+    return strings.repartitionByRange(n // RANGE + 1, "piece").sortWithinPartitions("anchor", "piece").mapInArrow(run, PIECE)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, text and removed array<struct<start, end>> of each row: the maximal runs of bytes that go, in order."""
     spark = prepare(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    known = docs.where("doc_id is not null and text is not null")
+    docs, name, known = keyed(docs.select("doc_id", "text"))
+    known = known.where("text is not null")
     told = _documents(known)
     firsts = told.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"))
     copies = told.where(F.col("n") >= LENGTH).join(firsts, ["d1", "d2"]).where("doc_id <> first").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
@@ -416,12 +438,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     shards = _sort_shards(pieces)
     if spread:
         shards = shards.checkpoint()
-        merged_ = _merge(shards.where("piece is not null"))
-        shards = shards.where("piece is null").unionByName(merged_)
+        single = shards.where("piece is not null")
+        shards = shards.where("piece is null").unionByName(_merge(single, single.count()))
     spans = shards.select("doc_id", "at", "starts")
     ranges = spans.select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("starts") + (LENGTH - 1)).alias("end"))
     per_doc = ranges.unionByName(copies).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "removed")
+    return docs.join(per_doc.withColumnRenamed("doc_id", name), name, "left").select("doc_id", "text", "removed")
 
 
 def _joined_pieces(docs: DataFrame, counts: DataFrame) -> DataFrame:
