@@ -1,68 +1,97 @@
 """Sharding by a two-pass external shuffle, in DataFrame functions only.
 
-First pass: a seeded hash deals the records into CELLS cells, whose rows and bytes are counted; neighbouring cells are
-put together to buckets of about bucket_bytes, so each bucket fits into memory whatever the sizes of the records.
-Second pass: the records go to their buckets, each bucket is put into a seeded order that does not depend on how its
-rows arrived and then shuffled by Fisher and Yates. The buckets one after the other are the shuffled corpus, whose
-position p goes to shard p * n_shards // n: counts differ by one at most (law `rows`), slots have no gaps.
-
-A record's cell comes from its id, or from its text where the id is null. Null texts have no bytes; empty tables give
-no rows; rows that are equal throughout are kept, each with a slot of its own; further columns are carried along.
+First pass: a seeded hash of id and text scatters the records uniformly into as many buckets as keep each at about
+bucket_bytes; rows and bytes of the buckets are counted. Records that repeat so often that they would fill a bucket by
+themselves are numbered, and their copies scattered, too. Second pass: each bucket goes to a task of its own, is put
+into a seeded order that does not depend on how its rows arrived, and is then shuffled by Fisher and Yates. The buckets
+one after the other are the shuffled corpus, whose position p goes to shard p * n_shards // n: counts differ by one at
+most (law `rows`), slots have no gaps.
+
+Null ids and texts are hashed like others, null texts have no bytes; empty tables give no rows; rows that are equal
+throughout are kept, each with a slot of its own; further columns, of any type and name, are carried along (shard and
+slot are replaced). Rows equal in all columns that can be hashed are dealt among their places as they arrive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
+from pyspark.sql.window import Window
+
+from .common import free, prepare, stored
 
-#: Cells of the first pass; so many counts reach the driver, and no more, whatever the size of the corpus.
-CELLS = 1 << 16
-BUCKET_BYTES = 16 << 20
+#: Bytes of records in a bucket: the least; the most; and the number of buckets from which they grow from least to most.
+LEAST_BYTES, MOST_BYTES, BUCKETS = 2 << 20, 256 << 20, 4096
+#: Buckets whose counts go to each executor; those of more are joined.
+SENT_BUCKETS = 1 << 20
 SEED = 2029
-_CELL, _BUCKET, _AT, _REC, _BASE = "__cell", "__bucket", "__at", "__record", "__base"
 
 
 def record_bytes() -> Column:
     return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + F.lit(16)
 
 
-def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
-    """The records of docs with __bucket and __at (place in the bucket) and __base (places before the bucket); their count."""
-    spark: SparkSession = docs.sparkSession
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.col("text"))).otherwise(F.xxhash64(F.lit(seed), F.col("doc_id")))
-    dealt = docs.withColumn(_CELL, F.pmod(key, F.lit(CELLS)).cast("int"))
-    counts = dealt.groupBy(_CELL).agg(F.count("*").alias("n"), F.sum(record_bytes()).alias("b")).orderBy(_CELL).collect()  # CELLS rows at most
-    place, bucket, held, base, before = [], 0, 0, 0, 0
-    for row in counts:
-        if held and held + row["b"] > bucket_bytes:
-            bucket, held, base = bucket + 1, 0, before
-        place.append((row[_CELL], bucket, base))
-        held += row["b"]
-        before += row["n"]
-    cells = spark.createDataFrame(place, f"{_CELL} int, {_BUCKET} int, {_BASE} long")
-    record = F.struct(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text")).alias("__order"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return (
-        dealt.select(_CELL, record.alias(_REC))
-        .join(F.broadcast(cells), _CELL)
-        .repartition(bucket + 1, _BUCKET)
-        .sortWithinPartitions(_BUCKET)
-        .groupBy(_BUCKET, _BASE)
-        .agg(F.sort_array(F.collect_list(_REC)).alias(_REC))
-        .select(_BUCKET, _BASE, F.posexplode(F.shuffle(_REC, seed)).alias(_AT, _REC))
-        .select(f"{_REC}.row.*", _BUCKET, _BASE, _AT),
-        before,
+def hashable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return hashable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(hashable(f.dataType) for f in kind)
+    return not isinstance(kind, MapType | VariantType)
+
+
+def scattered(docs: DataFrame, seed: int, bucket_bytes: int | None) -> tuple[DataFrame, DataFrame, int, int, str]:
+    """docs with a bucket, the buckets' counts (bucket, n, b), number of buckets and of rows, name of the column."""
+    bucket, key, number = free(docs.columns, "__bucket"), free(docs.columns, "__key"), free(docs.columns, "__number")
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(record_bytes()), F.lit(0))).first()
+    most = bucket_bytes or min(MOST_BYTES, max(LEAST_BYTES, size // BUCKETS))
+    buckets = int(-(-size // most)) or 1
+
+    def dealt(df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+        df = df.withColumn(bucket, F.pmod(key, F.lit(buckets)).cast("int"))
+        return df, df.groupBy(bucket).agg(F.count("*").alias("n"), F.sum(record_bytes()).alias("b")).checkpoint()
+
+    same = F.xxhash64(F.lit(seed), "doc_id", "text")
+    out, counts = dealt(docs, same)
+    if not counts.where(F.col("b") > 4 * most).isEmpty():
+        # a record repeats, or is as long: copies of the former get numbers, which are written down to stay as they are
+        numbered = stored(docs.withColumn(key, same).withColumn(number, F.monotonically_increasing_id()), "numbered")
+        often = numbered.groupBy(key).agg(F.sum(record_bytes()).alias("b"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("b") > most)).select(key)  # at most one for each bucket
+        told = numbered.join(F.broadcast(often.withColumn("__often", F.lit(True))), key, "left")
+        out, counts = dealt(told, F.when(F.col("__often"), F.xxhash64(F.lit(seed), key, number)).otherwise(F.col(key)))
+        out = out.select(*docs.columns, bucket)
+    return out, counts, buckets, rows, bucket
+
+
+def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int | None = None) -> tuple[DataFrame, int, str]:
+    """The records of docs with their place in the shuffled corpus, their count, and the name of the place's column."""
+    prepare(docs.sparkSession)
+    dealt, counts, buckets, rows, bucket = scattered(docs, seed, bucket_bytes)
+    place = free([*docs.columns, bucket], "__place")
+    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    bases = counts.select(F.col(bucket), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    record, order = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(F.lit(seed + 1), "doc_id", "text")
+    rest = F.xxhash64(F.lit(seed + 1), *(F.col(f"`{f.name}`") for f in docs.schema if hashable(f.dataType)))
+    held = (
+        dealt.select(bucket, order.alias("order"), rest.alias("rest"), record.alias("record"))
+        .repartitionById(buckets, bucket)  # bucket i is task i, whose number seeds Fisher and Yates
+        .sortWithinPartitions(bucket, "order", "rest")
+        .groupBy(bucket)
+        .agg(F.collect_list("record").alias("records"))  # a bucket's bytes
     )
+    held = held.join(F.broadcast(bases) if buckets <= SENT_BUCKETS else bases, bucket)
+    each = held.select("base", F.posexplode(F.shuffle("records", seed)).alias("at", "record"))
+    return each.select("record.*", (F.col("base") + F.col("at")).alias(place)), rows, place
 
 
-def shard(docs: DataFrame, n_shards: int = 40, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 40, seed: int = SEED, bucket_bytes: int | None = None) -> DataFrame:
     """The records of docs with shard (0 to n_shards - 1) and slot (0, 1, ... in each shard). Law `rows`."""
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
-    rows, n = shuffled(docs, seed, bucket_bytes)
-    place = F.col(_BASE) + F.col(_AT)
-    to = F.expr(f"cast((cast({_BASE} as decimal(38,0)) + {_AT}) * {n_shards} div {max(n, 1)} as int)")
+    rows, n, place = shuffled(docs, seed, bucket_bytes)
+    to = F.expr(f"cast(cast({place} as decimal(38,0)) * {n_shards} div {max(n, 1)} as int)")
     first = F.expr(f"cast((cast(shard as decimal(38,0)) * {max(n, 1)} + {n_shards - 1}) div {n_shards} as bigint)")
-    return rows.withColumn("shard", to).withColumn("slot", place - first).drop(_BUCKET, _BASE, _AT)
+    return rows.withColumn("shard", to).withColumn("slot", F.col(place) - first).drop(place)
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40, seed: int = SEED) -> None:

@@ -107,3 +107,28 @@ def test_language_predicts_as_its_weights_say(spark):
     x = np.zeros((1, language.DIM), np.float32)
     flat = language.Model({"germanic": ["de", "en"]}, {}, {("de", "en"): np.zeros(language.DIM + 1, np.float32)})
     assert flat.predict(x)[0] == ["de"]
+
+
+def test_sharding_of_twins(spark, twins):
+    rows, docs = twins
+    got = sharding.shard(docs, 3, bucket_bytes=300)
+    assert set(got.columns) == {*docs.columns, "shard", "slot"}
+    got = got.collect()
+    assert sorted(((r["doc_id"], r["text"], r["m"]["k"]) for r in got), key=str) == sorted(((r[0], r[1], r[-2]["k"]) for r in rows), key=str)
+    assert all(r["__cell"] == 2 and r["__bucket"] == 3 and r["__at"] == 4 and r["__heads"] == "z" for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert sorted(map(len, by.values())) == [3, 4, 4] and all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
+def test_sharding_spreads_a_record_that_repeats(spark):
+    """A third and more of the rows are one record: its copies fill many buckets, none of them much more than others."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("t"), "id")).otherwise(F.lit("the same")).alias("text"))
+    _, counts, buckets, n, _ = sharding.scattered(docs, 1, 2000)
+    assert n == 3000 and buckets > 20 and counts.agg(F.max("b")).first()[0] < 5000
+    rows = sharding.shard(docs, 4, bucket_bytes=2000).collect()
+    assert len(rows) == 3000 and sum(r["doc_id"] is None for r in rows) == 1500
+    assert sorted(r["slot"] for r in rows if r["shard"] == 2) == list(range(750))
+    copies = [r["shard"] for r in rows if r["doc_id"] is None]
+    assert all(300 < copies.count(i) < 450 for i in range(4))
