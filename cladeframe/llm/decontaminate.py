@@ -1,17 +1,23 @@
 """Benchmark decontamination by winnowing.
 
-Words of K consecutive words (grams) are hashed; of every W neighbouring grams the least is kept as a fingerprint. A
-span of K + W - 1 = WINDOW words shared by a document and an item always shares a fingerprint. Fingerprints of both
-sides are joined, and every joined gram is extended: all windows of WINDOW words that hold it are compared word by
-word. Items of fewer words are one window, found among the grams of their own length.
+Runs of K words (grams) are hashed. A window of WINDOW words has W grams, the least of which is its fingerprint: windows
+with equal words have equal fingerprints, and neighbouring windows mostly share one. Fingerprints of both sides are
+joined; what they hit is extended to all windows of the document that have the fingerprint, whose words are compared
+by digests of 128 bits. Items of fewer words are one window, and the gram of their length is its fingerprint.
+
+The fingerprints of the benchmark go to each executor as sorted numbers if they are few (SENT, counted); more of them
+are joined with the documents' by a shuffle. Windows of both sides are always joined by Spark, so no text of the
+benchmark goes through the driver. Both ways give the same rows.
 
 Items without words match nothing, nulls have no words, items with equal words all count, a document may be empty or
-of any length. Other columns of either table are ignored, ids of documents may repeat (each row is answered).
+of any length; an empty benchmark hits nothing, an empty table gives no rows. Ids of documents may be null or repeat:
+each row is answered by its own text. Items of one id are one item that has the windows of all its texts; items without
+an id are none. Other columns of either table are ignored, and those of documents kept by clean().
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,94 +26,187 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .common import prepare, stored
+from .common import BROADCAST_IDS, free, prepare
 
 WINDOW, K = 10, 6
 W = WINDOW - K + 1
-#: Bytes of benchmark texts up to which the benchmark's index goes to each executor; a larger benchmark is split into
-#: blocks of about this size, each of which meets all documents.
-INDEX_BYTES = 4 << 20
+#: Fingerprints of the benchmark that are sent to each executor at most, windows, and ids of documents to remove.
+SENT, SENT_WINDOWS, SENT_ROWS = BROADCAST_IDS, 200_000, 1_000_000
 
-HITS = "doc_id long, n_words long, hit_start array<long>, hit_end array<long>, items array<string>"
+#: Windows that start one after the other and have one fingerprint: print, first word, number, size in words.
+FOUND = pa.schema([("print", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("size", pa.int32())])
 
 
-def winnow(words: B.Words) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of the grams that are least in some group of W neighbours in their text."""
+def fingerprints(words: B.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint of each group of neighbouring windows of WINDOW words with one and the same least gram, the first
+    word of the group's first window, and the number of its windows."""
     at, h = words.grams(K)
     n = len(h) - W + 1
+    none = np.zeros(0, np.int64)
     if n <= 0:
-        return at[:0], h[:0]
-    least = h[:n]
+        return none.view(B.U), none, none
+    least, place = h[:n].copy(), np.zeros(n, np.int64)
     for j in range(1, W):
-        least = np.minimum(least, h[j : j + n])
-    whole = at[W - 1 :] - at[:n] == W - 1
-    whole &= words.doc[at[:n]] == words.doc[at[W - 1 :]]
-    keep = np.zeros(len(h), bool)
-    for j in range(W):
-        keep[j : j + n] |= whole & (h[j : j + n] == least)
-    return at[keep], h[keep]
-
-
-class Index:
-    """Fingerprints of items, and the items that hold each window of words."""
-
-    def __init__(self, items: list[tuple[str, str]]):
-        data = [t.encode() for _, t in items]
-        off = np.concatenate(([0], np.cumsum([len(x) for x in data]))).astype(np.int64)
-        buf = np.frombuffer(b"".join(data), np.uint8)
-        words = B.Words(buf, off, B.ALNUM)
-        self.prints = np.unique(winnow(words)[1])
-        self.windows: dict[bytes, set[str]] = defaultdict(set)
-        self.short: dict[int, np.ndarray] = {}
-        short = defaultdict(set)
-        low = bytes(B.LOWER[buf])
-        for i, (item, _) in enumerate(items):
-            a, b = words.first[i], words.first[i + 1]
-            text = [low[words.start[j] : words.end[j]] for j in range(a, b)]
-            size = min(WINDOW, len(text))
-            for j in range(len(text) - size + 1 if size else 0):
-                self.windows[b" ".join(text[j : j + size])].add(item)
-            if 0 < size < WINDOW:
-                short[size].add(i)
-        for size, rows in short.items():
-            at, h = words.grams(size)
-            self.short[size] = np.unique(h[np.isin(words.doc[at], list(rows))])
-        at, h = words.grams(WINDOW)
-        self.full = np.unique(h)
-
-    def hits(self, buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, list, list, list]]:
-        """For each text: number, count of words, starts and ends of the maximal runs of hit words, items."""
-        words = B.Words(buf, off, B.ALNUM)
-        at, h = winnow(words)
-        at = at[member(h, self.prints)]
-        # extend: every window of WINDOW words of the same text that holds the gram
-        start = (at[:, None] - np.arange(W)).ravel()
-        doc = np.repeat(words.doc[at], W)
-        ok = (start >= words.first[doc]) & (start + WINDOW <= words.first[doc + 1])
-        found = [(np.unique(start[ok]), WINDOW)] if len(at) else []
-        for size, known in self.short.items():
-            at, h = words.grams(size)
-            found.append((at[member(h, known)], size))
-        marks: dict[int, list] = defaultdict(list)
-        low = None
-        for starts, size in found:
-            for s in starts.tolist():
-                if low is None:
-                    low = B.LOWER[buf].tobytes()
-                got = self.windows.get(b" ".join(low[words.start[j] : words.end[j]] for j in range(s, s + size)))
-                if got:
-                    marks[int(words.doc[s])].append((s, s + size, got))
-        for i in range(len(off) - 1):
-            starts, ends, items = [], [], set()
-            for s, e, got in sorted(marks.get(i, ()), key=lambda x: x[:2]):
-                s, e = s - int(words.first[i]), e - int(words.first[i])
-                items |= got
-                if ends and s <= ends[-1]:
-                    ends[-1] = max(ends[-1], e)
-                else:
-                    starts.append(s)
-                    ends.append(e)
-            yield i, int(words.count[i]), starts, ends, sorted(items)
+        less = h[j : j + n] < least
+        least[less], place[less] = h[j : j + n][less], j
+    whole = np.flatnonzero((at[W - 1 :] - at[:n] == W - 1) & (words.doc[at[:n]] == words.doc[at[W - 1 :]]))
+    if not len(whole):
+        return none.view(B.U), none, none
+    least, gram, start = least[whole], at[whole] + place[whole], at[whole]
+    new = np.ones(len(start), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    return least[first], start[first], np.diff(np.append(first, len(start)))
+
+
+def short_prints(words: B.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and fingerprint of each run of size words; runs of unlike sizes are told apart."""
+    at, h = words.grams(size)
+    return at, B.mix(h + B.U(size))
+
+
+def _low(words: B.Words, buf: np.ndarray) -> bytes:
+    return B.LOWER[buf].tobytes()
+
+
+def window_digest(low: bytes, words: B.Words, start: int, size: int) -> bytes:
+    return hashlib.blake2b(b" ".join([low[words.start[j] : words.end[j]] for j in range(start, start + size)]), digest_size=16).digest()
+
+
+def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+    """(print, d1, d2, size, items): the distinct windows of the items, with their fingerprint, digest and ids."""
+    schema = pa.schema([("item_id", pa.string()), ("print", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("size", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            ids = B.column(batch, "item_id").to_pylist()
+            for lo, hi, buf, off in B.chunks(B.column(batch, "text")):
+                words = B.Words(buf, off, B.ALNUM)
+                low, out = _low(words, buf), []
+                for p, start, count in zip(*fingerprints(words), strict=True):
+                    out += [(int(words.doc[start]), p, s, WINDOW) for s in range(start, start + count)]
+                for size in range(1, WINDOW):
+                    mine = set(np.flatnonzero(words.count == size).tolist())
+                    if mine:
+                        out += [(int(words.doc[s]), p, s, size) for s, p in zip(*short_prints(words, size), strict=True) if int(words.doc[s]) in mine]
+                digests = np.frombuffer(b"".join(window_digest(low, words, s, n) for _, _, s, n in out), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[lo + i] for i, *_ in out], pa.string()), pa.array(np.array([x[1] for x in out], B.U).view(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([x[3] for x in out], pa.int32())], schema=schema
+                )
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null")
+    each = items.mapInArrow(run, "item_id string, print long, d1 long, d2 long, size int")
+    return each.groupBy("print", "d1", "d2", "size").agg(F.collect_set("item_id").alias("items")).checkpoint()
+
+
+def _prints(known: DataFrame) -> dict[int, np.ndarray]:
+    """Sorted fingerprints of each size of windows: SENT numbers at most, packed on their way to the driver."""
+
+    def run(batches):
+        for batch in batches:
+            sizes, prints = B.column(batch, "size").to_numpy(), B.column(batch, "print").to_numpy()
+            for size in np.unique(sizes):
+                yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([prints[sizes == size].tobytes()], pa.binary())], names=["size", "prints"])
+
+    out: dict[int, list[bytes]] = {}
+    for row in known.select("size", "print").distinct().mapInArrow(run, "size int, prints binary").collect():
+        out.setdefault(row["size"], []).append(bytes(row["prints"]))
+    return {size: np.sort(np.frombuffer(b"".join(parts), B.U)) for size, parts in out.items()}
+
+
+def candidates(words: B.Words, sizes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each size of windows: size, fingerprints, first words of the first window, numbers of windows."""
+    for size in sizes:
+        if size == WINDOW:
+            yield size, *fingerprints(words)
+        else:
+            at, h = short_prints(words, size)
+            yield size, h, at, np.ones(len(at), np.int64)
+
+
+ROWS = "doc_id long, digest long, n_words long"
+WINDOWS = "array<struct<start:int,size:int,d1:long,d2:long>>"
+
+
+def _windows(words: B.Words, buf: np.ndarray, rows: int, found: list[tuple[int, int, int]]) -> list[list[dict]]:
+    """For each text its windows (start, count, size) of found, one by one, with starts within the text."""
+    out: list[list[dict]] = [[] for _ in range(rows)]
+    low = _low(words, buf) if found else b""
+    for start, count, size in found:
+        doc = int(words.doc[start])
+        for s in range(start, start + count):
+            d1, d2 = np.frombuffer(window_digest(low, words, s, size), np.int64).tolist()
+            out[doc].append({"start": s - int(words.first[doc]), "size": size, "d1": d1, "d2": d2})
+    return out
+
+
+def _scan(docs: DataFrame, prints: dict[int, np.ndarray]) -> DataFrame:
+    """doc_id, digest, n_words and the windows whose fingerprint is among prints, of each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(prints)
+    kinds = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_words", pa.int64()), ("windows", kinds)])
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            ids, digests = B.column(batch, "doc_id"), B.column(batch, "digest")
+            for lo, hi, buf, off in B.chunks(B.column(batch, "text")):
+                words = B.Words(buf, off, B.ALNUM)
+                found = []
+                for size, h, start, count in candidates(words, known):
+                    keep = member(h, known[size])
+                    found += [(int(s), int(c), size) for s, c in zip(start[keep], count[keep], strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), digests.slice(lo, hi - lo), pa.array(words.count), pa.array(_windows(words, buf, hi - lo, found), kinds)], schema=schema)
+
+    return docs.mapInArrow(run, f"{ROWS}, windows {WINDOWS}")
+
+
+def _joined(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """_scan for more fingerprints than are sent out: the documents' are joined with them, then with their texts."""
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # WINDOW rows at most
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), *FOUND])
+
+    def find(batches):
+        for batch in batches:
+            ids, digests = B.column(batch, "doc_id"), B.column(batch, "digest")
+            for lo, _, buf, off in B.chunks(B.column(batch, "text")):
+                words = B.Words(buf, off, B.ALNUM)
+                for size, h, start, count in candidates(words, sizes):
+                    doc = words.doc[start]
+                    rows = pa.array(lo + doc)
+                    yield pa.RecordBatch.from_arrays([ids.take(rows), digests.take(rows), pa.array(B.signed(h)), *(pa.array(x.astype(np.int32)) for x in (start - words.first[doc], count, np.full(len(doc), size)))], schema=schema)
+
+    def cut(batches):
+        for batch in batches:
+            places = B.column(batch, "places").to_pylist()
+            out = []
+            counts = []
+            for lo, hi, buf, off in B.chunks(B.column(batch, "text")):
+                words = B.Words(buf, off, B.ALNUM)
+                found = [(int(words.first[i]) + x["start"], x["count"], x["size"]) for i in range(hi - lo) for x in places[lo + i] or ()]
+                out += _windows(words, buf, hi - lo, found)
+                counts.append(words.count)
+            ids = [B.column(batch, c) for c in ("doc_id", "digest")]
+            kinds = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64)), pa.array(out, kinds)], names=["doc_id", "digest", "n_words", "windows"])
+
+    found = docs.mapInArrow(find, "doc_id long, digest long, print long, start int, count int, size int")
+    met = found.join(known.select("print", "size").distinct(), ["print", "size"], "left_semi")
+    places = met.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "count", "size")).alias("places"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.digest") == F.col("b.digest"))
+    return docs.alias("a").join(places.alias("b"), same, "left").select("a.doc_id", "a.digest", "a.text", "b.places").mapInArrow(cut, f"{ROWS}, windows {WINDOWS}")
+
+
+def runs_of(windows) -> tuple[list[int], list[int]]:
+    """Starts and ends of the maximal runs of words that the windows (start, size) cover; runs that touch are one."""
+    starts, ends = [], []
+    for start, size in sorted(windows):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], start + size)
+        else:
+            starts.append(start)
+            ends.append(start + size)
+    return starts, ends
 
 
 def member(h: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -117,51 +216,33 @@ def member(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit_start", pa.list_(pa.int64())), ("hit_end", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, digest (of the text), n_words, hit_start, hit_end, items of each row of docs."""
+    prepare(docs.sparkSession)
+    known = benchmark_windows(benchmark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    told = (_scan(docs, _prints(known)) if known.select("size", "print").distinct().count() <= SENT else _joined(docs, known)).checkpoint()
+    each = told.where("size(windows) > 0").select("doc_id", "digest", F.explode("windows").alias("w")).select("doc_id", "digest", "w.*").distinct()
+    windows = known.select("d1", "d2", "size", "items")
+    met = each.join(F.broadcast(windows) if known.count() <= SENT_WINDOWS else windows, ["d1", "d2", "size"])
+    own = met.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "size")).alias("windows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("hit_start", pa.list_(pa.int64())), ("hit_end", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches):
-        index = Index(shared.value)
         for batch in batches:
-            ids = B.column(batch, "doc_id")
-            for lo, hi, buf, off in B.chunks(B.column(batch, "text")):
-                rows = list(index.hits(buf, off))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *(pa.array([r[j] for r in rows], schema.field(j).type) for j in range(1, 5))], schema=schema)
+            spans = [runs_of([(w["start"], w["size"]) for w in x]) for x in B.column(batch, "windows").to_pylist()]
+            yield pa.RecordBatch.from_arrays([B.column(batch, "doc_id"), B.column(batch, "digest"), *(pa.array([s[j] for s in spans], schema.field(2 + j).type) for j in (0, 1)), B.column(batch, "items").cast(pa.list_(pa.string()))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, HITS)
+    own = own.mapInArrow(run, "doc_id long, digest long, hit_start array<long>, hit_end array<long>, items array<string>")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.digest") == F.col("b.digest"))
+    hit = told.where("size(windows) > 0").alias("a").join(own.alias("b"), same, "left").select("a.doc_id", "a.digest", "n_words", *(F.coalesce(f"b.{c}", F.array().cast(t)).alias(c) for c, t in (("hit_start", "array<long>"), ("hit_end", "array<long>"), ("items", "array<string>"))))
+    rest = told.where("size(windows) = 0").select("doc_id", "digest", "n_words", F.array().cast("array<long>").alias("hit_start"), F.array().cast("array<long>").alias("hit_end"), F.array().cast("array<string>").alias("items"))
+    return hit.unionByName(rest)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, maximal runs of hit words [hit_start, hit_end), ids of the items.
-
-    A benchmark of more than INDEX_BYTES is dealt to blocks, of which the driver holds one at a time; the documents are
-    stored with a number for each row, scanned for each block, and the blocks' answers are merged by that number.
-    """
-    prepare(docs.sparkSession)
-    told = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null")
-    size = told.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // INDEX_BYTES)
-    if blocks <= 1:
-        return _scan(docs, [tuple(r) for r in told.toLocalIterator()])  # INDEX_BYTES at most
-    rows = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
-    told = stored(told.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
-    every = None
-    for i in range(blocks):
-        items = [(r["item_id"], r["text"]) for r in told.where(F.col("block") == i).toLocalIterator()]  # about INDEX_BYTES
-        # a row's number stands for its id until the blocks are merged
-        found = _scan(rows.select(F.col("row").alias("doc_id"), "text"), items).withColumnRenamed("doc_id", "row")
-        part = stored(found.where("size(hit_start) > 0") if i else found, "hits")
-        every = part if every is None else every.unionByName(part)
-    runs = F.flatten(F.collect_list(F.arrays_zip("hit_start", "hit_end")))
-    merged = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(runs).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    empty = F.array().cast("array<struct<hit_start:bigint,hit_end:bigint>>")
-    joined = F.aggregate(
-        "runs", empty,
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["hit_end"] >= x["hit_start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["hit_start"].alias("hit_start"), F.greatest(F.element_at(acc, -1)["hit_end"], x["hit_end"]).alias("hit_end"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    merged = merged.withColumn("runs", joined).join(rows.select("row", "doc_id"), "row")
-    return merged.select("doc_id", "n_words", F.col("runs.hit_start").alias("hit_start"), F.col("runs.hit_end").alias("hit_end"), "items")
+    """One row for each row of docs: doc_id, n_words, maximal runs of hit words [hit_start, hit_end), ids of the items."""
+    return _hits(docs, benchmark).select("doc_id", "n_words", "hit_start", "hit_end", "items")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -171,7 +252,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no window of an item. Rows without an id stay."""
-    bad = hits(docs, benchmark).where("size(hit_start) > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
-
+    """The rows of docs, with all their columns, that hold no window of an item; each row by its own text."""
+    bad = _hits(docs, benchmark).where("size(hit_start) > 0").select("doc_id", "digest").distinct().checkpoint()
+    bad = F.broadcast(bad) if bad.count() <= SENT_ROWS else bad
+    digest = free(docs.columns, "__digest")
+    told = docs.withColumn(digest, F.xxhash64("text")).alias("a")
+    same = F.col("a.doc_id").cast("long").eqNullSafe(F.col("b.doc_id")) & (F.col(f"a.{digest}") == F.col("b.digest"))
+    return told.join(bad.alias("b"), same, "left_anti").drop(digest)

@@ -201,8 +201,10 @@ def test_decontaminate(docs, none, spark, monkeypatch):
     assert run(docs) == expected
     assert run(none) == {}
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {d for d, x in expected.items() if not x[-1]}
-    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 100)  # the benchmark in blocks
+    monkeypatch.setattr(decontaminate, "SENT", 0)  # fingerprints are joined
+    monkeypatch.setattr(decontaminate, "SENT_WINDOWS", 0)
     assert run(docs) == expected
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {d for d, x in expected.items() if not x[-1]}
     empty = {r[0]: tuple(r)[1:] for r in decontaminate.digest(decontaminate.hits(docs, bench.limit(0))).collect()}
     assert empty == naive_hits(ROWS, [])
 
@@ -214,7 +216,7 @@ def test_decontaminate_answers_each_row(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     run = lambda: sorted((str(tuple(r)) for r in decontaminate.hits(docs, bench).collect()))
     whole = run()
-    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 200)  # the benchmark in blocks
+    monkeypatch.setattr(decontaminate, "SENT", 0)  # fingerprints are joined
     assert run() == whole and len(whole) == 13
 
 
