@@ -182,18 +182,27 @@ class Codec:
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
+#: Codecs that a worker keeps, the latest ones.
+KEPT = 2
+_codecs: dict[tuple[str, str], Codec] = {}
 
 
 def _codec(shared, pattern: str) -> Codec:
-    """One codec for each worker and vocabulary."""
-    ranks = shared.value
-    key = (hash((len(ranks), *list(ranks)[:1000:97])), pattern)
+    """One codec for each worker, vocabulary (told by the digest of all its tokens and ranks) and pattern."""
+    digest, ranks = shared.value
+    key = digest, pattern
     if key not in _codecs:
+        while len(_codecs) >= KEPT:
+            del _codecs[next(iter(_codecs))]
         _codecs[key] = Codec(ranks, pattern)
     return _codecs[key]
 
 
+def _vocabulary(path: str) -> tuple[str, dict[bytes, int]]:
+    ranks = read_ranks(path)
+    return hashlib.sha256(b"".join(b"%d:%d:%b" % (r, len(t), t) for t, r in sorted(ranks.items()))).hexdigest(), ranks
+
+
 def _defaults(path: str | None, pattern: str | None) -> tuple[str, str]:
     if path is None or pattern is None:
         import public_tokenizers as P
@@ -206,7 +215,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     """docs with all its columns and ids array<int>, the text's token ids. path: the vocabulary file."""
     path, pattern = _defaults(path, pattern)
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(read_ranks(path))  # a vocabulary, of fixed size
+    shared = spark.sparkContext.broadcast(_vocabulary(path))  # of fixed size
     docs = docs.drop("ids")
 
     def run(batches):
@@ -237,7 +246,7 @@ def decode(df: DataFrame, path: str | None = None) -> DataFrame:
 def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row's text."""
     path, pattern = _defaults(path, pattern)
-    shared = prepare(docs.sparkSession).sparkContext.broadcast(read_ranks(path))
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(_vocabulary(path))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
@@ -246,4 +255,4 @@ def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None)
             rows = [codec.digest(t.as_py()) for t in B.column(batch, "text")]
             yield pa.RecordBatch.from_arrays([B.column(batch, "doc_id"), *(pa.array([r[j] for r in rows], schema.field(j + 1).type) for j in range(3))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cladeframe.llm import decontaminate, jaccard, language, sharding, spotsigs, suffixes, units
+from cladeframe.llm import bpe, decontaminate, jaccard, language, sharding, spotsigs, suffixes, units
 from test_llm_operators import prose
 
 CLASH = "removed string, __removed long, __document string, __cell long, __bucket int, __at long, __heads string, __digest string, m map<string,int>, n_chars long"
@@ -132,3 +132,32 @@ def test_sharding_spreads_a_record_that_repeats(spark):
     assert sorted(r["slot"] for r in rows if r["shard"] == 2) == list(range(750))
     copies = [r["shard"] for r in rows if r["doc_id"] is None]
     assert all(300 < copies.count(i) < 450 for i in range(4))
+
+
+def test_decontamination_of_twins(spark, twins):
+    """Each row by its own text; what goes and what stays has all its columns."""
+    rows, docs = twins
+    a = rows[0][1].split(" ")
+    bench = spark.createDataFrame([("x", " ".join(a[2:14])), ("x", "short"), (None, rows[1][1]), ("y", None)], "item_id string, text string")
+    got = sorted(((r["doc_id"], r["n_words"], len(r["hit_start"]), r["items"]) for r in decontaminate.hits(docs, bench).collect()), key=str)
+    hit = {rows[0][1], "short"}
+    assert [bool(x[2]) for x in got].count(True) == sum(r[1] in hit for r in rows) and len(got) == len(rows)
+    assert all(x[3] == (["x"] if x[2] else []) for x in got)
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"], r["m"]["k"]) for r in kept.collect()), key=str) == sorted(((r[0], r[1], r[-2]["k"]) for r in rows if r[1] not in hit), key=str)
+
+
+def test_vocabularies_that_differ_in_two_ranks(spark, tmp_path):
+    """The same tokens in another order are another vocabulary: a worker doesn't take one codec for the other."""
+    import base64
+
+    tokens = [bytes([i]) for i in range(256)] + [b"ab", b"bc", b"abc"]
+    swapped = [*tokens[:256], b"bc", b"ab", b"abc"]
+    docs = spark.createDataFrame([(1, "abc abcd"), (1, None), (None, "bc")], "doc_id long, text string")
+    for name, own in (("one", tokens), ("two", swapped)):
+        (tmp_path / name).write_bytes(b"".join(b"%b %d\n" % (base64.b64encode(t), i) for i, t in enumerate(own)))
+    got = [{r["text"]: r["ids"] for r in bpe.encode(docs, str(tmp_path / x), r"\w+| ").collect()} for x in ("one", "two")]
+    ab, bc = tokens.index(b"ab"), tokens.index(b"bc")
+    assert got[0]["bc"] == [bc] and got[1]["bc"] == [swapped.index(b"bc")] and got[0][None] == []
+    assert got[0]["abc abcd"] == [258, 32, 258, 100] and got[1]["abc abcd"] == [258, 32, 258, 100] and ab != bc
