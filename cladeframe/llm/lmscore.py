@@ -1,10 +1,12 @@
 """Cross-entropy difference of two n-gram models of one vocabulary.
 
-The vocabulary has all words of all documents, and one unknown word. Both models, of the target documents and of all
-others, are bigram models of the same form: exact counts of words and of pairs from every document, each pair's estimate
-drawn to that of the word alone by PRIOR counts, and that to the even spread by one count for each word. A document's
-score is the mean over its words of the target model's loss less the background model's: the lower, the more like the
-target. A word's loss depends on the word before it; the first word stands alone.
+The vocabulary has all words of all documents, the end of a text, and one unknown word. Both models, of the target
+documents and of all others, are bigram models of the same form: exact counts of words and of pairs from every document,
+each pair's estimate drawn to that of the word alone by PRIOR counts, and that to the even spread by one count for each
+word; as every word is followed by another one or by the end, the estimates behind each word sum to 1. The model that a
+document is part of scores it without the document's own counts. A document's score is the mean over its words and its
+end of the target model's loss less the background model's: the lower, the more like the target. The first word stands
+alone.
 
 Words and pairs (grams) are told by hashes of 63 bits. Documents are dealt to parts. A part sends each of its distinct
 grams once, with its counts, to the bucket of the gram's hash; a bucket sums the counts over all parts and answers each
@@ -12,8 +14,9 @@ part in the part's own order, and the part scores its documents. So no table of
 parts and buckets grow in number, not in size. How many there are does not change results.
 
 Null texts and texts without words have no loss and a null score; unlabelled documents and ids without a document do
-no harm; ids that repeat are scored row by row; without target documents that model is the even spread. Empty tables
-give no rows; other columns are ignored.
+no harm; ids that repeat are scored row by row, and all rows of a target id are target documents; rows without an id
+are background; without target documents that model is the even spread. Empty tables give no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from . import bytewise as B
 from .common import BROADCAST_IDS, prepare
 
 PRIOR = 20.0
+#: What stands for the end of a text among the hashes of words.
+END = B.U(0x3C6EF372FE94F82B)
 #: Bytes of text in a part, and of text for which there is a bucket, about.
 PART_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 
@@ -53,8 +58,9 @@ class Grams:
         texts = table.column("text").combine_chunks()
         for lo, hi, buf, off in B.chunks(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts):
             words = B.Words(buf, off, B.ALNUM)
-            held.append(words.hash)
-            rows.append(words.doc + lo)
+            full = np.flatnonzero(words.count)
+            held.append(np.insert(words.hash, words.first[full + 1], END))
+            rows.append(np.insert(words.doc, words.first[full + 1], full) + lo)
             self.count[lo:hi] = words.count
         own = np.concatenate(held) if held else np.zeros(0, B.U)
         self.row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
@@ -63,12 +69,27 @@ class Grams:
         self.keys, place = np.unique(np.concatenate((own | B.U(1), pairs & ~B.U(1))), return_inverse=True)
         self.word, self.pair = place[: len(own)], place[len(own) :]
 
+    def own(self, place: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """For each of some grams, how often it stands among those of its own row."""
+        _, at, n = np.unique(row * np.int64(len(self.keys)) + place, return_inverse=True, return_counts=True)
+        return n[at]
+
     def cuts(self, buckets: int) -> np.ndarray:
         """Where each bucket's keys begin; buckets are ranges of hashes."""
         bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], B.U)
         return np.concatenate(([0], np.searchsorted(self.keys, bounds), [len(self.keys)]))
 
 
+def alone(ones, total, vocabulary):
+    """Estimate of a word by its count, the count of all, and the number of unlike words (one more is unknown)."""
+    return (ones + 1.0) / (total + vocabulary + 1)
+
+
+def behind(pairs, before, p):
+    """Estimate of a word behind another one by the counts of the pair and of the other, and its estimate alone."""
+    return (pairs + PRIOR * p) / (before + PRIOR)
+
+
 def _send(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         g = Grams(table)
@@ -105,11 +126,14 @@ def _score(table: pa.Table, answers: pa.Table) -> pa.Table:
     counts = np.concatenate([unpacked(r[1]) for r in rows], axis=1)
     vocabulary, *totals = np.sum([r[2] for r in rows], axis=0).tolist()
     none, losses = g.count == 0, []
+    target = table.column("target").to_numpy().astype(np.int64)[g.row]
+    own, own_pairs, length = g.own(g.word, g.row), g.own(g.pair, g.row[g.at]), np.bincount(g.row, minlength=n)
     for side in (1, 0):
-        ones, pairs = counts[side][g.word], counts[side][g.pair]
-        p = (ones + 1.0) / (totals[side] + vocabulary + 1)
-        p[g.at] = (pairs + PRIOR * p[g.at]) / (ones[g.at - 1] + PRIOR)
-        losses.append(np.bincount(g.row, -np.log(p), n) / np.maximum(g.count, 1))
+        mine = (target == side).astype(np.int64)  # a document is not scored by its own counts
+        ones, pairs = counts[side][g.word] - own * mine, counts[side][g.pair] - own_pairs * mine[g.at]
+        p = alone(ones, totals[side] - length[g.row] * mine, vocabulary)
+        p[g.at] = behind(pairs, ones[g.at - 1], p[g.at])
+        losses.append(np.bincount(g.row, -np.log(p), n) / np.maximum(length, 1))
     t, b = losses
     return pa.Table.from_arrays([table.column("doc_id"), pa.array(g.count), *(pa.array(x, mask=none) for x in (t, b, t - b))], schema=SCORES)
 

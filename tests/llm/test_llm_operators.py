@@ -432,57 +432,68 @@ def test_language(spark):
 # op3
 
 
-def test_lm_scores(docs, none, spark):
-    import math
+def counted(texts):
+    ones, pairs = {}, {}
+    for t in texts:
+        for i, w in enumerate(t):
+            ones[w] = ones.get(w, 0) + 1
+            if i:
+                pairs[t[i - 1], w] = pairs.get((t[i - 1], w), 0) + 1
+    return ones, pairs
+
 
+def test_lm_scores(docs, none, spark):
     target = spark.createDataFrame([(r[0],) for r in ROWS[:10]] + [(99999,), (None,)], "doc_id long")
     got = {r["doc_id"]: r for r in lmscore.scores(docs, target).collect()}
     tokens = {r[0]: ALNUM.findall(lower(r[1])) for r in ROWS}
+    tokens = {d: [*t, "</>"] if t else [] for d, t in tokens.items()}
     chosen = {r[0] for r in ROWS[:10]}
-    models = []
     vocabulary = {w for t in tokens.values() for w in t}
-    for side in (True, False):
-        ones, pairs = {}, {}
-        for d, t in tokens.items():
-            if (d in chosen) == side:
-                for i, w in enumerate(t):
-                    ones[w] = ones.get(w, 0) + 1
-                    if i:
-                        pairs[t[i - 1], w] = pairs.get((t[i - 1], w), 0) + 1
-        models.append((ones, pairs, sum(ones.values())))
     for d, t in tokens.items():
         r = got[d]
-        assert r["n_words"] == len(t)
+        assert r["n_words"] == max(0, len(t) - 1)
         if not t:
             assert r["score"] is None
             continue
         losses = []
-        for ones, pairs, total in models:
-            loss = 0.0
+        for side in (True, False):
+            ones, pairs = counted(x for e, x in tokens.items() if (e in chosen) == side and e != d)
+            total, loss = sum(ones.values()), 0.0
             for i, w in enumerate(t):
                 p = (ones.get(w, 0) + 1) / (total + len(vocabulary) + 1)
                 if i:
-                    before = ones.get(t[i - 1], 0)
-                    p = (pairs.get((t[i - 1], w), 0) + lmscore.PRIOR * p) / (before + lmscore.PRIOR)
+                    p = (pairs.get((t[i - 1], w), 0) + lmscore.PRIOR * p) / (ones.get(t[i - 1], 0) + lmscore.PRIOR)
                 loss -= math.log(p)
             losses.append(loss / len(t))
-        # pairs may share a cell
-        assert r["target_loss"] == pytest.approx(losses[0], rel=0.02) and r["background_loss"] == pytest.approx(losses[1], rel=0.02)
+        assert (r["target_loss"], r["background_loss"], r["score"]) == pytest.approx((*losses, losses[0] - losses[1]), rel=1e-9, abs=1e-9)
     assert lmscore.scores(none, target).count() == 0
     assert lmscore.scores(docs, target.limit(0)).count() == len(ROWS)
 
 
+def test_lm_estimates_sum_to_one():
+    texts = [[*t, "</>"] for r in ROWS if (t := ALNUM.findall(lower(r[1])))]
+    ones, pairs = counted(texts)
+    total, words = sum(ones.values()), [*ones, "unknown"]
+    p = {w: lmscore.alone(ones.get(w, 0), total, len(ones)) for w in words}
+    assert sum(p.values()) == pytest.approx(1)
+    for before in [w for w in ones if w != "</>"][:50]:
+        assert sum(lmscore.behind(pairs.get((before, w), 0), ones[before], p[w]) for w in words) == pytest.approx(1)
+
+
 def test_lm_scores_are_exact(spark, monkeypatch):
     # more words and pairs than any table of a fixed size holds; parts and buckets do not change results
     words = [f"w{i}" for i in range(40_000)]
-    rows = [(i, " ".join(words[100 * i : 100 * i + 100])) for i in range(400)] + [(400, "w0 w1"), (None, None), (401, "")]
+    rows = [(i, " ".join(words[100 * i : 100 * i + 100])) for i in range(400)] + [(400, "w0 w1"), (None, None), (401, ""), (None, "w5"), (402, "w5"), (402, "w5")]
     docs, target = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0,)], "doc_id long")
-    run = lambda: {r["doc_id"]: r for r in lmscore.scores(docs, target).collect()}
+    run = lambda: {(r["doc_id"], r["n_words"]): r for r in lmscore.scores(docs, target).collect()}
     got = run()
-    assert len(got) == len(rows) and got[None]["score"] is None and got[401]["n_words"] == 0
-    for side, total, ones, pair in (("target_loss", 100, 1, 1), ("background_loss", 39_902, 1, 1)):
-        p = (ones + 1) / (total + 40_000 + 1)
-        assert got[400][side] == pytest.approx(-(math.log(p) + math.log((pair + lmscore.PRIOR * p) / (ones + lmscore.PRIOR))) / 2)
+    assert len(got) == len(rows) - 1 and got[None, 0]["score"] is None and got[401, 0]["n_words"] == 0
+    V = 40_001
+    alone = lambda n, total: (n + 1) / (total + V + 1)
+    t = [alone(1, 101), (1 + lmscore.PRIOR * alone(1, 101)) / (1 + lmscore.PRIOR), lmscore.PRIOR * alone(1, 101) / (1 + lmscore.PRIOR)]
+    b = [alone(0, 399 * 101 + 6), alone(0, 399 * 101 + 6), alone(399 + 3, 399 * 101 + 6)]
+    assert got[400, 2]["target_loss"] == pytest.approx(-sum(map(math.log, t)) / 3)
+    assert got[400, 2]["background_loss"] == pytest.approx(-sum(map(math.log, b)) / 3)
     monkeypatch.setattr(lmscore, "PART_BYTES", 30_000)
     monkeypatch.setattr(lmscore, "BUCKET_BYTES", 70_000)
     again = run()
