@@ -14,6 +14,7 @@ sample together, up to the bound. Empty tables give no rows; other columns are i
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -148,11 +149,22 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model fitted on rows of docs (doc_id, text, lang) that are not held out; null without such rows."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select("lang", "text", F.xxhash64(F.lit(11), "doc_id", "text").alias("draw"))
-    least = Window.partitionBy("lang").orderBy("draw")  # each task passes on its own least ones only
-    first = rows.select("lang", "draw").withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= per_language)
-    last = first.groupBy("lang").agg(F.max("draw").alias("last"))  # a row for each language
-    near = rows.join(F.broadcast(last), "lang").where("draw <= last")
-    # rows with one draw are equal ones: the bound holds for them, too
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    if not counts:
+        return None
+    # a first cut by the hash leaves some times the rows that are needed, so that ranking them moves little
+    shares = {lang: min(1.0, 4 * (per_language + 50) / n) for lang, n in counts.items()}
+    model, drawn = _fitted(rows, shares, per_language)
+    short = {lang for lang, n in counts.items() if drawn.get(lang, 0) < min(n, per_language)}
+    # many equal rows have one draw, and may all be cut: then all rows of their language are ranked
+    return _fitted(rows, shares | dict.fromkeys(short, 1.0), per_language)[0] if short else model
+
+
+def _fitted(rows: DataFrame, shares: dict[str, float], per_language: int) -> tuple[Model | None, dict[str, int]]:
+    """A model from the least draws of each language among its share of all draws, and the rows drawn for each."""
+    spark = rows.sparkSession
+    cuts = spark.createDataFrame([(lang, min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))) for lang, share in shares.items()], "lang string, cut long")
+    near = rows.join(F.broadcast(cuts), "lang").where("draw <= cut")
     sample = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("rank") <= per_language)
 
     def run(batches):
@@ -166,11 +178,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
         pairs = sorted((lang, x) for batch in batches for lang, x in zip(B.column(batch, "lang").to_pylist(), B.column(batch, "x").to_pylist(), strict=True))
         if pairs:
             x = np.frombuffer(b"".join(x for _, x in pairs), np.float16).reshape(-1, DIM).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model.train(x, [lang for lang, _ in pairs]))])], names=["model"])
+            langs = [lang for lang, _ in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((Model.train(x, langs), dict(Counter(langs))))])], names=["model"])
 
     # per_language rows of each language are all that meets in one task
     found = sample.select("lang", "text").mapInArrow(run, "lang string, x binary").repartition(1).mapInArrow(learn, "model binary").collect()
-    return pickle.loads(found[0]["model"]) if found else None
+    return pickle.loads(found[0]["model"]) if found else (None, {})
 
 
 def judged(batches, shared):
