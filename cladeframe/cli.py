@@ -104,14 +104,16 @@ def build(spark: SparkSession, a: argparse.Namespace) -> None:
     index.save(a.output)
 
 
-def lookup(spark: SparkSession, index: ix.Index, a: argparse.Namespace, k: int | None) -> None:
-    runs = lk.lookup(readers.read_queries(spark, a.query), index, k, a.report_misses)
+def lookup(spark: SparkSession, index: ix.Index, a: argparse.Namespace, k: int | None, labels=None) -> None:
+    runs = lk.lookup(readers.read_queries(spark, a.query), index, k, a.report_misses, labels)
     writers.write(lk.render(runs, a.report_query_names, a.report_label_ids), a.output, not a.no_header)
 
 
 def prompt(spark: SparkSession, a: argparse.Namespace, lines=None) -> None:
-    """One lookup for each line of options; the index stays in memory, and what goes wrong does not end the session."""
-    index = ix.load(spark, a.index).cache()
+    """One lookup for each line of options; the labels of the strings of k letters are rolled up once and kept, and what
+    goes wrong does not end the session."""
+    index = ix.load(spark, a.index)
+    labels = index.kmer_labels(a.k).persist()
     options = argparse.ArgumentParser(prog="", add_help=False, exit_on_error=False)
     _lookup_options(options)
     for line in lines if lines is not None else sys.stdin:
@@ -122,7 +124,7 @@ def prompt(spark: SparkSession, a: argparse.Namespace, lines=None) -> None:
             print(options.format_help())
             continue
         try:
-            lookup(spark, index, options.parse_args(words), a.k)
+            lookup(spark, index, options.parse_args(words), a.k, labels)
         except (Exception, SystemExit) as error:  # noqa: BLE001
             print(f"error: {error}", file=sys.stderr)
 
@@ -138,7 +140,7 @@ def print_stats(index: ix.Index) -> None:
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     threads = getattr(a, "threads", None)
-    spark = spark or session(**({"spark.master": f"local[{threads}]"} if threads else {}))
+    spark = spark or session(threads=threads)
     try:
         if a.command == "build":
             build(spark, a)

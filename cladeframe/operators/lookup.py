@@ -43,13 +43,19 @@ def annotate(queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     return whole.select("query_rank", F.col("start").alias("from_kmer"), F.col("end").alias("to_kmer"), "label")
 
 
-def lookup(queries: DataFrame, index: Index, k: int | None = None, misses: bool = False) -> DataFrame:
-    """(query_rank, query_name, from_kmer, to_kmer, label, label_name) of queries (query_rank, query_name, seq)."""
+def lookup(queries: DataFrame, index: Index, k: int | None = None, misses: bool = False, labels: DataFrame | None = None) -> DataFrame:
+    """(query_rank, query_name, from_kmer, to_kmer, label, label_name) of queries (query_rank, query_name, seq).
+
+    labels: the index's kmer_labels(k), if many lookups share them. Without, the index is read for the queries' own
+    strings if these are few, so nothing else of it is moved.
+    """
     k = kmers.check_k(k or index.s, index.s)
-    asked = None
-    if counted(queries, k).first()["n_kmers"] <= ASKED:
-        asked = kmers.windows(queries.select(kmers.upper(F.col("seq")).alias("seq")), "seq", k).select("kmer").distinct()
-    runs = annotate(queries, index.kmer_labels(k, asked), k)
+    if labels is None:
+        asked = None
+        if counted(queries, k).first()["n_kmers"] <= ASKED:
+            asked = kmers.windows(queries.select(kmers.upper(F.col("seq")).alias("seq")), "seq", k).select("kmer").distinct()
+        labels = index.kmer_labels(k, asked)
+    runs = annotate(queries, labels, k)
     if not misses:
         runs = runs.where("label is not null")
     runs = tree.with_name(runs, index.labels)

@@ -16,6 +16,8 @@ from .operators import index as ix
 from .operators import lookup as lk
 from .operators import reports, stats
 from .operators.hierarchy import LabelTree
+from .plans.session import scratch
+from .sources import readers, writers
 from .sources.readers import hits_to_runs
 
 LANGS = LabelTree.from_edges(["de", "en", "es", "fr"], [("de", "germanic"), ("en", "germanic"), ("es", "romance"), ("fr", "romance"), ("germanic", "root"), ("romance", "root")])
@@ -256,7 +258,150 @@ def event_runs(spark, d):
     return lk.run_lengths(placed, ["user_id"], "place", "event_type")
 
 
+# files
+
+
+def _lines(df: DataFrame, path: str) -> str:
+    """One column of text written as the lines of a folder's files."""
+    df.write.text(path)
+    return path
+
+
+def _fasta(rows: DataFrame, path: str, name: str = "name", seq: str = "seq", width: int = 60) -> str:
+    """Records with sequences in lines of width letters."""
+    body = F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")
+    return _lines(rows.select(F.concat(F.lit(">"), name, F.lit(" of benchmark\n"), body)), path)
+
+
+def fasta_records(spark, d):
+    """Benchmark items written as FASTA and read again."""
+    path = _fasta(questions(spark, d).withColumnRenamed("query_name", "name").where("length(seq) > 0"), scratch(spark, "fasta"))
+    return readers.read_sequences(spark, path).select("name", "seq")
+
+
+def fastq_records(spark, d):
+    """Benchmark items written as FASTQ, whose qualities may look like headers, and read again with their numbers."""
+    items = questions(spark, d).where("length(seq) > 0").repartitionByRange(1, "query_rank").sortWithinPartitions("query_rank")
+    path = _lines(items.select(F.concat_ws("\n", F.concat(F.lit("@"), "query_name", F.lit(" read")), "seq", F.lit("+"), F.expr("repeat('@', length(seq))"))), scratch(spark, "fastq"))
+    return readers.read_sequences(spark, path).select("seq_rank", "name", "seq")
+
+
+def label_by_file(spark, d):
+    """The documents of each language written to files of their own, one label for each file."""
+    top, paths = scratch(spark, "languages"), []
+    docs = labelled(spark, d).where("length(seq) > 0").select("label", F.concat(F.lit(">x\n"), "seq").alias("value"))
+    docs.write.partitionBy("label").text(top)
+    paths = [f"{top}/label={i}" for i in range(4)]
+    files, names = [], []
+    for i, path in enumerate(paths):
+        found = spark.read.text(path).inputFiles()  # the files that the list names
+        files, names = files + found, names + [LANGS.names[i]] * len(found)
+    listed = _lines(spark.createDataFrame([("\n".join(files),)], "value string").coalesce(1), scratch(spark, "list"))
+    sequences, paths = readers.label_by_file(spark, listed)
+    places = {p: LANGS.names.index(n) for p, n in zip(files, names, strict=True)}
+    label = F.array(*(F.lit(places[p]) for p in paths))[F.col("label")]
+    return ix.direct(sequences.withColumn("label", label), LANGS, K)
+
+
+def lookup_saved_index(spark, d):
+    """An index that is written down, read again and asked for a shorter k."""
+    path = scratch(spark, "index")
+    build(spark, d, 10).save(path)
+    return lk.lookup(questions(spark, d), ix.load(spark, path), 9, misses=True)
+
+
+def saved_universe(spark, d):
+    """The strings of the conversations, written down and read as the universe of the documents' labels."""
+    path = scratch(spark, "universe")
+    ix.universe(turns(spark, d), S).write.parquet(path)
+    return build(spark, d, within=spark.read.parquet(path)).position_labels()
+
+
+def intervals_read(spark, d):
+    """Annotation runs written as tab-separated lines and read as intervals."""
+    path = scratch(spark, "runs")
+    writers.write_tsv(lk.render(lk.lookup(questions(spark, d), build(spark, d), K, misses=True), query_names=True), path)
+    return readers.read_intervals(spark, path).where("query <> 'query_name'")
+
+
+def matrix_read(spark, d):
+    """The matrix of runs written as a wide table and read again."""
+    path = scratch(spark, "matrix")
+    writers.write_tsv(matrix_pivot(spark, d), path)
+    return readers.read_matrix(spark, path)
+
+
+def hierarchy_read(spark, d):
+    """The tree of nations written as an edge list and read again, and that tree dumped and read."""
+    t = nations(spark, d)
+    plain = [n.replace(" ", "~") for n in t.names]  # blanks part the columns
+    edges = [(f"{plain[i]} {plain[p]}",) for i, p in enumerate(t.parents) if i != p]
+    path = _lines(spark.createDataFrame(edges, "value string").coalesce(1), scratch(spark, "edges"))
+    read = readers.read_hierarchy(spark, path, plain[: len(set(range(len(t))) - set(t.parents))])
+    again = LabelTree.from_dump(read.dump())
+    return again.nodes(spark).select(F.translate("name", "~", " ").alias("name"), "depth", (F.col("tout") - F.col("tin") + 1).alias("n_below"))
+
+
+def taxonomy_export(spark, d):
+    """The tree of nations as the two tables of a taxonomy: ids from 1 at the root."""
+    names, nodes = nations(spark, d).taxonomy()
+    lines = spark.createDataFrame(list(zip(names, nodes, strict=True)), "a string, b string")
+    a, b = F.split("a", r"\t\|\t"), F.split("b", r"\t\|\t")
+    return lines.select(b[0].cast("long").alias("taxid"), b[1].cast("long").alias("parent_taxid"), a[1].alias("name"), F.regexp_replace(b[2], r"\t\|$", "").alias("rank"))
+
+
+def labels_translated(spark, d):
+    """Label ids of runs as names; what has no label is novel."""
+    runs = lk.lookup(questions(spark, d), build(spark, d), K, misses=True)
+    ids = F.coalesce(F.col("label").cast("string"), F.lit("-"))
+    return runs.select("query_name", "from_kmer", reports.translate(ids, F.col("label_name")).alias("label"))
+
+
+def queries_ordered(spark, d):
+    """The queries' places when some go first in a given order."""
+    from pyspark.sql.window import Window
+
+    first = ["item7", "item3", "item9"]
+    place = F.array_position(F.array(*map(F.lit, first)), F.col("query_name"))
+    shown = reports.display_order(questions(spark, d).select("query_name"), "query_name", first)
+    return shown.select("query_name", F.row_number().over(Window.orderBy(F.when(place > 0, place).otherwise(len(first) + 1), "query_name")).cast("long").alias("place"))  # a report's rows
+
+
+def bench_logs(spark, d):
+    """Run logs made of the regions' keys, read and summed up: seconds, memory, speedup against one thread."""
+    r = _table(spark, d, "region").select((F.col("r_regionkey").cast("int") + 1).alias("t"))
+    top = scratch(spark, "logs")
+    for row in r.collect():  # a log for each region
+        t = row["t"]
+        text = f"k-mers\n{400.0 / t} ns/bp\nElapsed (wall clock) time (h:mm:ss or m:ss): {t}:0{t}.50\nMaximum resident set size (kbytes): {t * 524288}"
+        _lines(spark.createDataFrame([(text,)], "value string").coalesce(1), f"{top}/log{t}")
+    logs = [readers.read_bench_logs(spark, f"{top}/log{row['t']}").drop("name", "threads").withColumns({"name": F.lit("run"), "threads": F.lit(row["t"])}) for row in r.collect()]
+    every = logs[0]
+    for log in logs[1:]:
+        every = every.unionByName(log)
+    return reports.bench_summary(every)
+
+
+# the reference's own lengths
+
+
+def index_k31(spark, d):
+    return ix.direct(labelled(spark, d), LANGS, 31)
+
+
+def rollup_s31_to_k15(spark, d):
+    return build(spark, d, 31).kmer_labels(15)
+
+
+def lookup_k31(spark, d):
+    """Documents of one language asked for by the strings of the others and their own."""
+    asked = _table(spark, d, "documents").where("lang = 'fr' and doc_id % 10 = 0 and text is not null").repartition(_tasks(spark))
+    asked = asked.select(F.col("doc_id").alias("query_rank"), F.concat(F.lit("doc"), "doc_id").alias("query_name"), kmers.bases(F.col("text")).alias("seq"))
+    return lk.lookup(asked, build(spark, d, 63), 31, misses=True)
+
+
 FUNCTIONS = (
+    fasta_records, fastq_records, label_by_file, lookup_saved_index, saved_universe, intervals_read, matrix_read, hierarchy_read, taxonomy_export, labels_translated, queries_ordered, bench_logs, index_k31, rollup_s31_to_k15, lookup_k31,
     revcomp, acgt_runs, kmer_windows, kmer_pieces, kmer_distinct, index_build_k, index_positions, rollup_s_to_k, lookup_runs, lookup_runs_with_misses, lookup_rolled_up, lookup_forward_only, lookup_star,
     lookup_with_breaks, lookup_debug, lookup_rendered, lookup_hits_semi, lookup_misses_anti, node_stats, node_stats_pct, label_histogram, index_sizes, lookup_counts, matrix_merged, label_run_stats, none_to_root, universe_left_join, rename_labels,
     label_by_seq, hierarchy_paths, print_hierarchy, pairwise_lca, set_lca_by_part, set_lca_by_customer, matrix_long, matrix_pivot, matrix_diff, foreign_hits_to_runs, event_runs,
@@ -371,7 +516,25 @@ def oracle_sql() -> dict[str, str]:
     tree_sql = f"WITH {NATION}, nodes AS (SELECT id, name, (SELECT r.id FROM reg2 r WHERE r.region = t.region) AS parent, 2 AS depth FROM t UNION ALL SELECT id, region, (SELECT 25 + count(*) FROM reg2), 1 FROM reg2 UNION ALL SELECT 25 + count(*), 'world', 25 + count(*), 0 FROM reg2)"
     home = "anc AS (SELECT n.id AS node, n.id AS up, 2 AS depth FROM nodes n WHERE depth = 2 UNION ALL SELECT id, parent, 1 FROM nodes WHERE depth = 2 UNION ALL SELECT id, (SELECT id FROM nodes WHERE depth = 0), 0 FROM nodes WHERE depth = 2)"
     placed = "lab2 AS (SELECT key, name AS label_name FROM lab JOIN nodes ON nodes.id = lab.label)"
+    known31 = f"asked AS (SELECT doc_id AS query_rank, 'doc' || doc_id AS query_name, {_bases('text')} AS seq FROM documents WHERE lang = 'fr' AND doc_id % 10 = 0 AND text IS NOT NULL)"
+    below = "SELECT name, CAST(depth AS INTEGER) AS depth, CAST(CASE depth WHEN 2 THEN 1 WHEN 1 THEN 1 + (SELECT count(*) FROM nodes c WHERE c.parent = nodes.id) ELSE (SELECT count(*) FROM nodes) END AS INTEGER) AS n_below FROM nodes"
+    taxa = "tax AS (SELECT id, name, parent, depth, CASE depth WHEN 0 THEN 1 ELSE id + 2 END AS taxid FROM nodes)"
     return {
+        "fasta_records": f"WITH {ITEMS} SELECT query_name AS name, seq FROM items WHERE length(seq) > 0",
+        "fastq_records": f"WITH {ITEMS} SELECT row_number() OVER (ORDER BY query_rank) - 1 AS seq_rank, query_name AS name, seq FROM items WHERE length(seq) > 0",
+        "label_by_file": f"WITH {_tree(LANGS)}, {DOCS}, {_occ(K)}, {_lab()} SELECT kmer, CAST(label AS INTEGER) AS label FROM lab",
+        "lookup_saved_index": _lookup(9),
+        "saved_universe": f"{_within(S, False)} SELECT mer, label FROM p",
+        "intervals_read": _lookup(K, select="SELECT query_name AS query, from_kmer AS start, to_kmer AS \"end\", coalesce(name, 'none') AS label FROM runs LEFT JOIN names ON id = label"),
+        "matrix_read": _lookup(K, select=f", r AS ({RUNS_K}), m AS ({mlong}), q AS (SELECT DISTINCT query FROM m), c AS (SELECT name AS label FROM names UNION ALL SELECT 'none') SELECT q.query, c.label, CAST(coalesce(m.bases, 0) AS DOUBLE) AS bases FROM q CROSS JOIN c LEFT JOIN m ON m.query = q.query AND m.label = c.label"),
+        "hierarchy_read": f"{tree_sql} {below}",
+        "taxonomy_export": f"{tree_sql}, {taxa} SELECT a.taxid, b.taxid AS parent_taxid, a.name, CASE a.depth WHEN 0 THEN 'no rank' ELSE 'clade' END AS rank FROM tax a JOIN tax b ON b.id = a.parent",
+        "labels_translated": _lookup(K, select="SELECT query_name, from_kmer, coalesce(name, 'novel') AS label FROM runs LEFT JOIN names ON id = label"),
+        "queries_ordered": f"WITH {ITEMS} SELECT query_name, row_number() OVER (ORDER BY CASE query_name WHEN 'item7' THEN 1 WHEN 'item3' THEN 2 WHEN 'item9' THEN 3 ELSE 4 END, query_name) AS place FROM items",
+        "bench_logs": "WITH t AS (SELECT CAST(r_regionkey AS INTEGER) + 1 AS t FROM region) SELECT 'run' AS name, t AS threads, 400.0::DOUBLE / t AS ns_per_bp, 60.0::DOUBLE * t + t + 0.5 AS wall_s, t * 0.5::DOUBLE AS rss_gib, 400.0::DOUBLE / (400.0::DOUBLE / t) AS speedup FROM t",
+        "index_k31": f"WITH {_tree(LANGS)}, {DOCS}, {_occ(31)}, {_lab()} SELECT kmer, CAST(label AS INTEGER) AS label FROM lab",
+        "rollup_s31_to_k15": f"WITH {_tree(LANGS)}, {DOCS}, {_occ(15)}, {_lab()} SELECT kmer, CAST(label AS INTEGER) AS label FROM lab",
+        "lookup_k31": f"WITH {_tree(LANGS)}, {DOCS}, {known31}, {_occ(31)}, {_lab()}, {_rle(31, items='asked')} {_named_runs()}",
         "revcomp": f"SELECT doc_id, translate(reverse({_bases('text')}), 'ACGT', 'TGCA') AS rc FROM documents",
         "acgt_runs": "SELECT doc_id, CAST(generate_subscripts(r, 1) - 1 AS INTEGER) AS run_no, unnest(r) AS run FROM (SELECT doc_id, regexp_extract_all(upper(text), '[ACGT]+') AS r FROM documents)",
         "kmer_windows": f"WITH {ITEMS} {_windows(K, 'items', 'query_rank')}",

@@ -2,27 +2,60 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.hierarchy import LabelTree, parse_edges
 
 
+#: Endings of file names that tell FASTQ and FASTA; files with others are told by their first letter.
+FASTQ, FASTA = (".fastq", ".fq"), (".fasta", ".fa", ".fna", ".ffn", ".fas")
+
+
+def _is_fastq(spark: SparkSession, path: str) -> bool:
+    name = path.lower().removesuffix(".gz")
+    if name.endswith(FASTQ) or name.endswith(FASTA):
+        return name.endswith(FASTQ)
+    first = spark.read.text(path).first()
+    return first is not None and first["value"].startswith("@")
+
+
+def _placed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows (file, block, at, ...) with rank, the number of a row in its file from 0; at rises within a block.
+
+    Blocks are the splits of the files; only their counts are gathered and summed up, the rows stay where they are.
+    """
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows.join(F.broadcast(blocks), ["file", "block"]).withColumn("rank", F.col("base") + F.col("at") - F.col("first")).drop("base", "first", "block", "at")
+
+
 def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, seq_rank, name, seq) of FASTA or FASTQ files, gzipped or not; seq_rank counts the records of a file from 0.
 
-    A file that begins with @ is FASTQ (four lines a record), else FASTA. A name is a header up to white space.
+    Files that are not named like either are FASTQ (four lines a record) if they begin with @, else FASTA. A name is a
+    header up to white space. Files are split: a row holds one record (2 GB at most), whatever the size of its file.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r", "").alias("value"))
-    fasta = files.where(~F.col("value").startswith("@"))
-    records = fasta.select("file", F.posexplode(F.filter(F.split("value", "(?m)^>"), lambda x: F.trim(x) != "")).alias("seq_rank", "rec"))
-    body = F.regexp_replace(F.when(F.col("rec").contains("\n"), F.regexp_replace("rec", r"^[^\n]*\n", "")).otherwise(""), r"\s", "")
-    fasta = records.select("file", F.col("seq_rank").cast("long").alias("seq_rank"), F.regexp_extract("rec", r"^(\S*)", 1).alias("name"), body.alias("seq"))
-    lines = files.where(F.col("value").startswith("@")).select("file", F.split(F.rtrim("value"), "\n").alias("l"))
-    at = lines.select("file", "l", F.explode(F.sequence(F.lit(0), F.greatest(F.floor(F.size("l") / 4) - 1, F.lit(0)).cast("int"))).alias("seq_rank"))
-    fastq = at.select("file", F.col("seq_rank").cast("long").alias("seq_rank"), F.regexp_extract(F.get("l", F.col("seq_rank") * 4), r"^@(\S*)", 1).alias("name"), F.trim(F.get("l", F.col("seq_rank") * 4 + 1)).alias("seq"))
-    return fasta.unionByName(fastq)
+    kinds = {p: _is_fastq(spark, p) for p in paths}
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    empty = spark.createDataFrame([], "file string, seq_rank long, name string, seq string")
+    out = []
+    if fasta := [p for p in paths if not kinds[p]]:
+        records = spark.read.text(fasta, lineSep="\n>").select(*place, F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", "").alias("rec")).where(F.trim(F.regexp_replace("rec", r"\s+", " ")) != "")
+        records = _placed(spark, records.withColumn("at", F.monotonically_increasing_id()))
+        body = F.regexp_replace(F.when(F.col("rec").contains("\n"), F.regexp_replace("rec", r"^[^\n]*\n", "")).otherwise(""), r"\s", "")
+        out.append(records.select("file", F.col("rank").alias("seq_rank"), F.regexp_extract("rec", r"^(\S*)", 1).alias("name"), body.alias("seq")))
+    if fastq := [p for p in paths if kinds[p]]:
+        lines = _placed(spark, spark.read.text(fastq).select(*place, F.regexp_replace("value", "\r", "").alias("value"), F.monotonically_increasing_id().alias("at")))
+        lines = lines.where("rank % 4 < 2").groupBy("file", F.floor(F.col("rank") / 4).alias("seq_rank"))
+        lines = lines.agg(F.max(F.when(F.expr("rank % 4 = 0"), F.col("value"))).alias("head"), F.max(F.when(F.expr("rank % 4 = 1"), F.col("value"))).alias("seq")).where("seq is not null")
+        out.append(lines.select("file", F.col("seq_rank").cast("long").alias("seq_rank"), F.regexp_extract("head", r"^@(\S*)", 1).alias("name"), F.trim("seq").alias("seq")))
+    return reduce(DataFrame.unionByName, out, empty) if len(out) != 1 else out[0]
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -48,11 +81,17 @@ def label_by_file(spark: SparkSession, list_path: str, labels_path: str | None =
     names = read_lines(spark, labels_path) if labels_path else files
     if len(names) != len(files):
         raise ValueError(f"{len(names)} labels for {len(files)} files")
-    parts = [read_sequences(spark, f).select(F.lit(i).alias("label"), "seq") for i, f in enumerate(files)]
-    out = parts[0] if parts else spark.createDataFrame([], "label int, seq string")
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, names
+    rows = read_sequences(spark, list(dict.fromkeys(files)))  # one scan for all files, whose labels are joined
+    labels = spark.createDataFrame([(_qualified(spark, f), i) for i, f in enumerate(files)], "file string, label int")
+    labels = labels.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))
+    return rows.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/")).join(F.broadcast(labels), "file").select("label", "seq"), names
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's readers name it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
 
 
 def label_by_seq(spark: SparkSession, path: str, labels_path: str | None = None) -> tuple[DataFrame, list[str]]:

@@ -15,17 +15,18 @@ from ..operators.lookup import lookup
 def watch(spark: SparkSession, folder: str, index: Index, sink: Callable[[DataFrame, int], None], checkpoint: str, k: int | None = None, misses: bool = False, files_per_batch: int = 16) -> StreamingQuery:
     """Each new file of folder (FASTA records) is looked up and handed to sink(runs, batch id).
 
-    Runs are found inside a batch, as a record never spans two; the index's strings of k letters are computed once.
+    Runs are found inside a batch, as a record never spans two; the labels of the index's strings of k letters are kept
+    by the executors from the first batch on, and rolled up anew only where an executor is lost.
     Files that are there at the start count as new; the query ends when it has read what is there.
     """
     k = k or index.s
-    held = Index(index.positions, index.labels, index.s)
+    labels = index.kmer_labels(k).persist()
     records = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
     def batch(df: DataFrame, number: int) -> None:
         each = df.select("file", F.posexplode(F.filter(F.split("value", "(?m)^>"), lambda x: F.trim(x) != "")).alias("rank", "rec"))
         seq = F.regexp_replace(F.regexp_replace("rec", r"^[^\n]*\n?", ""), r"\s", "")
         queries = each.select(F.xxhash64("file", "rank").alias("query_rank"), F.regexp_extract("rec", r"^(\S*)", 1).alias("query_name"), seq.alias("seq"))
-        sink(lookup(queries, held, k, misses), number)
+        sink(lookup(queries, index, k, misses, labels), number)
 
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -132,7 +132,7 @@ def test_universe_none_to_root_and_forward_only(spark):
 
 @pytest.mark.parametrize(
     ("n", "edges"),
-    [(0, []), (3, [(0, 1)]), (2, [(0, 5)]), (3, [(0, 0), (1, 2)]), (3, [(0, 1), (0, 2)]), (4, [(0, 1), (1, 0), (2, 3)])],
+    [(0, []), (4, [(3, 1), (0, 1)]), (3, [(1, 0), (2, 7)]), (4, [(1, 3), (2, 2), (0, 3)]), (4, [(3, 0), (3, 1), (2, 0)]), (5, [(2, 4), (4, 3), (3, 2), (1, 0)])],
     ids=["no node", "edges", "range", "loop", "two parents", "cycle"],
 )
 def test_invalid_trees(n, edges):
@@ -143,11 +143,14 @@ def test_invalid_trees(n, edges):
 def test_trees():
     single = LabelTree.from_ids(1, [])
     assert (single.root, single.lca(0, 0)) == (0, 0)
-    binary = LabelTree.from_ids(7, [(0, 4), (1, 4), (2, 5), (3, 5), (4, 6), (5, 6)])
-    assert [binary.lca(*x) for x in ((0, 1), (2, 3), (0, 2), (0, 4), (4, 5))] == [4, 5, 6, 4, 6]
-    path = LabelTree.from_ids(5, [(i, i + 1) for i in range(4)])
-    assert (path.lca(0, 4), path.lca(1, 3)) == (4, 3)
-    for tree in (binary, path, random_tree(random.Random(1), 20)):
+    comb = LabelTree.from_ids(9, [(2, 8), (8, 5), (5, 1), (0, 8), (3, 5), (7, 1), (4, 7), (6, 7)])
+    broad = LabelTree.from_ids(6, [(i, 3) for i in (0, 1, 2, 4, 5)])
+    for tree in (comb, broad, random_tree(random.Random(8), 30)):
+        up = [set(tree.path(i)) for i in range(len(tree))]
+        for a in range(len(tree)):
+            for b in range(len(tree)):
+                assert tree.lca(a, b) == max(up[a] & up[b], key=lambda n: len(up[n]))
+    for tree in (comb, broad, random_tree(random.Random(1), 20)):
         for a in range(len(tree)):
             for b in range(len(tree)):
                 assert tree.lca(a, b) == tree.lca(b, a)
@@ -158,7 +161,7 @@ def test_trees():
         LabelTree.from_edges(["a", "a"], [("a", "r")])
     with pytest.raises(HierarchyError):
         LabelTree.from_edges(["a", "none"], [("a", "r"), ("none", "r")])
-    assert LabelTree.from_dump(binary.dump()) == binary
+    assert LabelTree.from_dump(comb.dump()) == comb
     assert parse_edges(["a b ignored", "", "  c\td "]) == [("a", "b"), ("c", "d")]
 
 
@@ -251,3 +254,72 @@ def test_streaming(spark, tmp_path):
     got = []
     watch(spark, f"{tmp_path}/in", index, lambda df, _: got.extend(df.collect()), f"{tmp_path}/cp", files_per_batch=1).awaitTermination()
     assert sorted((r["query_name"], r["from_kmer"], r["to_kmer"], r["label_name"]) for r in got) == [("q1", 0, 3, "a"), ("q3", 0, 1, "a")]
+
+
+# The documented example, four files of two sequences, and the runs that it prints.
+EXAMPLE = {
+    "A.fna": ("ACGTACGTGTCGTA", "ACGTACGTGTCGTA"), "B.fna": ("ACGTGCTGAGCA", "TTACGACGTAGCA"), "C.fna": ("ACAGCTACGACT", "CTTATCATGTAGCTAGC"), "D.fna": ("GCTAGCTAGCTAGCTA", "TAGCTAGCTAGCTAGC"),
+}
+EXAMPLE_TREE = (("A.fna", "clade1"), ("B.fna", "clade1"), ("clade1", "clade2"), ("C.fna", "clade2"), ("clade2", "root"), ("D.fna", "root"))
+EXAMPLE_QUERIES = ("ACGTACGTCATGTAGCTAG", "ACGTGCTGAGCAGTGTCGTTTATCAT")
+EXAMPLE_RUNS = (
+    "Q1 0 1 clade1", "Q1 1 3 A.fna", "Q1 3 4 clade1", "Q1 4 5 B.fna", "Q1 5 7 none", "Q1 7 11 C.fna", "Q1 11 12 clade2", "Q1 12 15 root",
+    "Q2 0 1 clade1", "Q2 1 8 B.fna", "Q2 8 12 none", "Q2 12 14 A.fna", "Q2 14 15 clade2", "Q2 15 19 none", "Q2 19 22 C.fna",
+)
+
+
+def test_documented_example(spark, tmp_path, capsys):
+    for name, seqs in EXAMPLE.items():
+        (tmp_path / name).write_text("".join(f">{name[0]}{i}\n{x}\n" for i, x in enumerate(seqs, 1)))
+    (tmp_path / "list").write_text("".join(f"{tmp_path}/{x}\n" for x in EXAMPLE))
+    (tmp_path / "tree").write_text("".join(" ".join(f"{tmp_path}/{x}" if x in EXAMPLE else x for x in edge) + "\n" for edge in EXAMPLE_TREE))
+    (tmp_path / "q.fasta").write_text("".join(f">Q{i}\n{x}\n" for i, x in enumerate(EXAMPLE_QUERIES, 1)))
+    run = lambda *a: cli.main(list(map(str, a)), spark)
+    assert run("build", "-s", 10, "--label-by-file", tmp_path / "list", "--hierarchy", tmp_path / "tree", "-o", tmp_path / "ix") == 0
+    capsys.readouterr()
+    assert run("lookup", "-i", tmp_path / "ix", "-k", 5, "-q", tmp_path / "q.fasta", "--report-query-names", "--report-misses") == 0
+    out = capsys.readouterr().out.splitlines()
+    assert [x.replace(f"{tmp_path}/", "").replace("\t", " ") for x in out[1:]] == list(EXAMPLE_RUNS)
+
+
+def test_readers_of_split_files(spark, tmp_path):
+    """Records and lines keep their numbers where files are cut to many blocks; blank lines, CR, '>' in headers, no end."""
+    rnd = random.Random(4)
+    records = [(f"n{i}", "".join(rnd.choice("ACGTN") for _ in range(rnd.randint(0, 300)))) for i in range(200)]
+    (tmp_path / "x.fa").write_text("\n".join(f">{n} a > b\r\n" + "\r\n".join(s[j : j + 60] for j in range(0, len(s), 60)) for n, s in records))
+    fastq = [(n, s) for n, s in records if s]
+    (tmp_path / "y.reads").write_text("".join(f"@{n} z\n{s}\n+\n{'@' * len(s)}\n" for n, s in fastq))
+    (tmp_path / "empty.fa").write_text("\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        rows = readers.read_sequences(spark, [f"{tmp_path}/{x}" for x in ("x.fa", "y.reads", "empty.fa")])
+        assert spark.read.text(f"{tmp_path}/x.fa").rdd.getNumPartitions() > 10
+        got = {}
+        for r in rows.collect():
+            got.setdefault(r["file"].rpartition("/")[2], []).append((r["seq_rank"], r["name"], r["seq"]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {f: sorted(x) for f, x in got.items()} == {f: [(i, *r) for i, r in enumerate(x)] for f, x in (("x.fa", records), ("y.reads", fastq))}
+
+
+def test_sql_functions(spark):
+    from cladeframe.functions import sqlfunctions
+
+    sqlfunctions.register(spark)
+    row = spark.sql("SELECT revcomp('AACg'), acgt_runs('acNGT'), kmers('ACGT', 3), kmers('AC', 3), signed_log(-9.0D), path_lca(array(0, 1, 2), array(0, 1, 5, 6))").first()
+    assert tuple(row) == ("CGTT", ["AC", "GT"], ["ACG", "CGT"], [], -1.0, 1)
+
+
+def test_lookup_paths_agree(spark, monkeypatch):
+    """Labels of the queries' own strings only, of all strings, and shared ones."""
+    rnd = random.Random(6)
+    seqs = spark.createDataFrame([(i % 3, "".join(rnd.choice("ACGT") for _ in range(80))) for i in range(9)], "label int, seq string")
+    index = ix.build(seqs, LabelTree.star(["a", "b", "c"]), 6)
+    queries = spark.createDataFrame([(i, f"q{i}", "".join(rnd.choice("ACGT") for _ in range(60))) for i in range(4)], "query_rank long, query_name string, seq string")
+    for k in (4, 6):
+        few = sorted(map(tuple, lk.lookup(queries, index, k, True).collect()), key=str)
+        shared = sorted(map(tuple, lk.lookup(queries, index, k, True, index.kmer_labels(k)).collect()), key=str)
+        monkeypatch.setattr(lk, "ASKED", 0)
+        assert few == shared == sorted(map(tuple, lk.lookup(queries, index, k, True).collect()), key=str)
+        monkeypatch.undo()
