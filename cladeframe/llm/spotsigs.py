@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import free
+
 # Common words of English, German, French and Spanish that start a chain.
 ANCHORS = (
     "a an and are as at be been but by for from had has have he her his in is it not of on or she that the their there they this to was were which will with you "
@@ -40,20 +42,21 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     texts without chains the words again, for their runs.
     """
     common = sorted(set(ANCHORS.split()))
+    c_heads, c_tails, c_chains, c_hashes, c_words = (free([*df.columns, name], x) for x in ("__heads", "__tails", "__chains", "__hashes", "__words"))
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), BETWEEN)
     marked = F.concat(F.array_join(F.transform(words, lambda w: F.when(w.isin(common), F.concat(F.lit(MARK), w)).otherwise(w)), " "), F.lit(" "))
     heads = F.transform(F.split(marked, MARK), lambda s: F.concat(F.rtrim(F.substring_index(s, " ", CHAIN + 1)), F.lit(" ")))
-    tails = F.transform("__heads", lambda h: F.substr(h, F.instr(h, F.lit(" ")) + 1))
+    tails = F.transform(c_heads, lambda h: F.substr(h, F.instr(h, F.lit(" ")) + 1))
     chains = F.transform(
-        F.slice("__heads", F.lit(2), F.greatest(F.size("__heads") - 1, F.lit(0))),
-        lambda h, i: F.substring_index(F.concat(h, *(F.coalesce(F.get("__tails", i + 2 + j), F.lit("")) for j in range(REACH))), " ", CHAIN + 1),
+        F.slice(c_heads, F.lit(2), F.greatest(F.size(c_heads) - 1, F.lit(0))),
+        lambda h, i: F.substring_index(F.concat(h, *(F.coalesce(F.get(c_tails, i + 2 + j), F.lit("")) for j in range(REACH))), " ", CHAIN + 1),
     )
-    starts = F.sequence(F.lit(1), F.greatest(F.size("__words") - CHAIN + 1, F.lit(1)))
-    runs = F.transform(starts, lambda i: F.xxhash64(F.lit("run"), F.array_join(F.slice("__words", i, F.lit(CHAIN)), " ")))
-    hashes = F.transform(F.filter("__chains", lambda c: ~c.endswith(" ")), lambda c: F.xxhash64(c))
-    df = df.withColumn("__heads", heads).withColumn("__tails", tails).withColumn("__chains", chains).withColumn("__hashes", F.sort_array(F.array_distinct(hashes)))
-    df = df.withColumn("__words", F.when(F.size("__hashes") == 0, F.filter(words, lambda w: w != "")))
-    return df.withColumn(name, F.when(F.size("__hashes") > 0, F.col("__hashes")).otherwise(F.sort_array(F.array_distinct(runs)))).drop("__heads", "__tails", "__chains", "__hashes", "__words")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(c_words) - CHAIN + 1, F.lit(1)))
+    runs = F.transform(starts, lambda i: F.xxhash64(F.lit("run"), F.array_join(F.slice(c_words, i, F.lit(CHAIN)), " ")))
+    hashes = F.transform(F.filter(c_chains, lambda c: ~c.endswith(" ")), lambda c: F.xxhash64(c))
+    df = df.withColumn(c_heads, heads).withColumn(c_tails, tails).withColumn(c_chains, chains).withColumn(c_hashes, F.sort_array(F.array_distinct(hashes)))
+    df = df.withColumn(c_words, F.when(F.size(c_hashes) == 0, F.filter(words, lambda w: w != "")))
+    return df.withColumn(name, F.when(F.size(c_hashes) > 0, F.col(c_hashes)).otherwise(F.sort_array(F.array_distinct(runs)))).drop(c_heads, c_tails, c_chains, c_hashes, c_words)
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -120,10 +123,17 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     )
 
 
+def members(docs: DataFrame) -> DataFrame:
+    """(doc_id, representative): of the documents with one fingerprint the smallest id represents all."""
+    sets = with_signatures(docs.select("doc_id", "text").where("doc_id is not null"), "text", "sigs")
+    first = sets.groupBy("sigs").agg(F.min("doc_id").alias("representative"))
+    return sets.select("doc_id", "sigs").join(first, "sigs").select("doc_id", "representative").distinct()
+
+
 def similar(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Pairs (a, b, likeness) of representatives of unlike fingerprints with likeness of threshold or more.
 
-    Equal fingerprints are one class, represented by its smallest id. Sets are parted by length so that sets in parts
+    Equal fingerprints are one class, represented by its smallest id; members() tells who is in it. Sets are parted by length so that sets in parts
     that are not neighbours cannot be similar enough; within a part, sets meet that share one of the rarest signatures
     of their prefix, and lengths that differ too much are pruned before the sets are compared.
     """
