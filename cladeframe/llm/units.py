@@ -75,6 +75,8 @@ def repeated(docs: DataFrame, name: str = "removed") -> DataFrame:
     rows, key, known = keyed(docs)
     units = _units(known)
     many = units.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "kept")
+    # written down, it stands as a shuffle of its own beside the units, whose frequent digests Spark can split then
+    many = many.checkpoint()
     gone = units.join(many, ["h1", "h2"]).where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("start") != F.col("kept.start")))
     # neighbours have one difference of place and rank; all of it in the order of one shuffle by document
     gone = gone.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("doc_id").orderBy("place")))
