@@ -417,7 +417,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     docs, name, known = keyed(docs.select("doc_id", "text"))
     known = known.where("text is not null")
     told = _documents(known)
-    firsts = told.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"))
+    # only digests that repeat; written down, they stand as a shuffle of their own beside the rows, which Spark can split
+    firsts = told.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c").checkpoint()
     copies = told.where(F.col("n") >= LENGTH).join(firsts, ["d1", "d2"]).where("doc_id <> first").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
     unlike = keep_ids(known, copies, "doc_id", copies.count(), anti=True)
     counts = _counts(unlike)
