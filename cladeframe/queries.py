@@ -393,11 +393,15 @@ def rollup_s31_to_k15(spark, d):
     return build(spark, d, 31).kmer_labels(15)
 
 
+def french(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_rank, query_name, seq) of a tenth of the documents of one language."""
+    asked = _table(spark, sf_dir, "documents").where("lang = 'fr' and doc_id % 10 = 0 and text is not null").repartition(_tasks(spark))
+    return asked.select(F.col("doc_id").alias("query_rank"), F.concat(F.lit("doc"), "doc_id").alias("query_name"), kmers.bases(F.col("text")).alias("seq"))
+
+
 def lookup_k31(spark, d):
-    """Documents of one language asked for by the strings of the others and their own."""
-    asked = _table(spark, d, "documents").where("lang = 'fr' and doc_id % 10 = 0 and text is not null").repartition(_tasks(spark))
-    asked = asked.select(F.col("doc_id").alias("query_rank"), F.concat(F.lit("doc"), "doc_id").alias("query_name"), kmers.bases(F.col("text")).alias("seq"))
-    return lk.lookup(asked, build(spark, d, 63), 31, misses=True)
+    """French documents looked up among those of all languages."""
+    return lk.lookup(french(spark, d), build(spark, d, 63), 31, misses=True)
 
 
 FUNCTIONS = (
