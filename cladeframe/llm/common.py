@@ -59,6 +59,11 @@ def free(columns, name: str) -> str:
     return name
 
 
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether several rows have one id that is not null; counted."""
+    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, str, DataFrame]:
     """docs with a further column, its name, and the documents (doc_id, text) that it names, it standing for doc_id.
 
@@ -67,7 +72,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str, DataFrame]:
     equal in both are one document. Rows without an id have null there and are no document.
     """
     key, digest = free(docs.columns, "__document"), free(docs.columns, "__digest")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    if not ids_repeat(docs):
         docs = docs.withColumn(key, F.col("doc_id").cast("long"))
         return docs, key, docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), "text")
     told = docs.withColumn(digest, F.xxhash64(F.coalesce("text", F.lit(""))))

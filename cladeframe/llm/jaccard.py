@@ -17,7 +17,8 @@ rarest hashes of their prefix, which any two similar sets do. Steps:
 
 No link is lost: a pair is left out only if the bound excludes it, if it has been verified, or if links connect it
 already. Null or empty texts and texts without words have empty sets and no links; null ids have no component; rows
-with one id count as one document; an empty table gives no rows; other columns are ignored.
+with one id are told apart by their texts, and rows equal in id and text are one document, whose answer all of them get
+(one_of_each keeps one); an empty table gives no rows; other columns are ignored, and kept by one_of_each.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .common import connected_components, keep_ids, prepare
+from .common import connected_components, free, ids_repeat, keep_ids, keyed, prepare
 
 K, LEAST, OF = 5, 75, 100  # links: OF * overlap >= LEAST * union
 #: Least number of groups of a count vector (a tree's), and the greatest that goes with each row of a block.
@@ -434,13 +435,26 @@ def _residual(held: DataFrame, points: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
-    spark = prepare(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    prepare(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not ids_repeat(docs):
+        return _components(docs)
+    rows, key, known = keyed(docs)
+    found = _components(known).withColumnRenamed("doc_id", key).checkpoint()
+    names = rows.select(F.col(key).alias("component_id"), "doc_id").where("component_id is not null").distinct().withColumnRenamed("doc_id", "name")
+    own = rows.where(F.col(key).isNotNull()).join(found, key).join(names, "component_id").select("doc_id", "n_shingles", F.col("name").alias("component_id"))
+    return own.unionByName(_components(rows.where(F.col(key).isNull()).select("doc_id", "text")))
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """components() of rows whose ids are null or differ."""
+    spark = docs.sparkSession
     told = _classes(docs)
     weight = spark.sparkContext.broadcast(_weights(told))
     rows = told.where("kind = 0").select("doc_id", "n", "d1", "d2")
-    reps = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = rows.join(reps, ["d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
+    # only digests that repeat; written down, they stand as a shuffle of their own beside the rows, which Spark can split
+    reps = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("d1", "d2", "rep").checkpoint()
+    member = rows.join(reps, ["d1", "d2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     copies = member.where("doc_id <> rep").select("doc_id").distinct()
     unlike = keep_ids(docs, copies, "doc_id", copies.count(), anti=True)
     total = rows.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
@@ -463,6 +477,11 @@ def components(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose id is the smallest of its component. Rows without an id stay."""
-    found = components(docs)
-    rest = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(rest, "doc_id", "left_anti")
+    prepare(docs.sparkSession)
+    rows, key = docs.withColumn(free(docs.columns, "__document"), F.col("doc_id").cast("long")), free(docs.columns, "__document")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if ids_repeat(docs):
+        rows, key, known = keyed(docs)
+        rows = rows.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(rows.where(F.col(key).isNull()))
+    rest = _components(known).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct().checkpoint()
+    return keep_ids(rows, rest, key, rest.count(), anti=True).select(*docs.columns)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cladeframe.llm import bpe, decontaminate, jaccard, language, sharding, spotsigs, suffixes, units
+from cladeframe.llm import bpe, decontaminate, jaccard, language, licenses, lmscore, sharding, spotsigs, suffixes, units
 from test_llm_operators import prose
 
 CLASH = "removed string, __removed long, __document string, __cell long, __bucket int, __at long, __heads string, __digest string, m map<string,int>, n_chars long"
@@ -161,3 +161,75 @@ def test_vocabularies_that_differ_in_two_ranks(spark, tmp_path):
     ab, bc = tokens.index(b"ab"), tokens.index(b"bc")
     assert got[0]["bc"] == [bc] and got[1]["bc"] == [swapped.index(b"bc")] and got[0][None] == []
     assert got[0]["abc abcd"] == [258, 32, 258, 100] and got[1]["abc abcd"] == [258, 32, 258, 100] and ab != bc
+
+
+def test_jaccard_of_twins(spark, twins):
+    rows, docs = twins
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.components(docs).collect()), key=str)
+    n = {t: len({tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} - {()}) for _, t, *_ in rows}
+    # texts a and b are unlike; b stands under 5 and 6, so the smaller id is its component
+    expected = [(d, n[t], None if d is None else 5 if t == rows[1][1] else d) for d, t, *_ in rows]
+    assert got == sorted(expected, key=str)
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(map(str, ids)) == sorted(map(str, [5, 5, 6, 7, 8, None, None, None]))
+
+
+def test_fingerprints_of_twins(spark, twins):
+    """Rows in the order of id (null first) and text; each is the successor of the one before it."""
+    rows, docs = twins
+    got = spotsigs.compare_neighbours(docs).collect()
+    assert sorted(((r["doc_id"], r["n_chars"]) for r in got), key=str) == sorted(((r[0], len(r[1] or "")) for r in rows), key=str)
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault((r["n_chars"]), set()).add(r["fingerprint"])
+    assert all(len(x) == 1 for x in by.values())
+    kept = spotsigs.with_signatures(docs, "text", "sigs")
+    assert kept.columns == [*docs.columns, "sigs"] and {r["__heads"] for r in kept.collect()} == {"z"}
+    b = rows[1][1]
+    assert {r["doc_id"]: r["representative"] for r in spotsigs.members(docs.where(F.col("text") == b)).collect()} == {5: 5, 6: 5}
+
+
+def test_scores_of_twins(spark, twins):
+    """Each row has a score of its own; equal texts on one side of the target have equal ones."""
+    rows, docs = twins
+    got = lmscore.scores(docs, spark.createDataFrame([(5,), (5,), (None,)], "doc_id long")).collect()
+    assert len(got) == len(rows) and sum(r["score"] is None for r in got) == sum(not r[1] for r in rows)
+    by = {}
+    for r in got:
+        by.setdefault((r["doc_id"], r["n_words"]), set()).add(r["score"])
+    assert all(len(x) == 1 for x in by.values())
+
+
+def test_licences_of_twins(spark):
+    """Rows of one path or id are each answered; of two licence files of one path the more similar one counts."""
+    rows = [(1, "a/LICENSE", "Released under the MIT License."), (1, "a/LICENSE", "Licensed under CC BY 4.0. Words beside it."), (2, "a/x", None), (2, "a/x", None), (None, "a/b/y", ""), (None, None, "All rights reserved.")]
+    files = spark.createDataFrame([(*r, "x", {"k": 1}) for r in rows], "doc_id long, path string, text string, similarity string, m map<string,int>")
+    got = sorted(((r["doc_id"], r["licence"], r["origin"]) for r in licenses.scan(files).collect()), key=str)
+    assert got == sorted([(1, "MIT", "own"), (1, "CC-BY-4.0", "own"), (2, "MIT", "inherited"), (2, "MIT", "inherited"), (None, "MIT", "inherited"), (None, "proprietary", "own")], key=str)
+
+
+def test_tokens_of_twins(spark, twins):
+    pytest.importorskip("public_tokenizers")
+    rows, docs = twins
+    got = bpe.digest(docs).collect()
+    assert sorted(((r["doc_id"], r["decoded_sha256"]) for r in got), key=str) == sorted(((r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows), key=str)
+    assert bpe.encode(docs).columns == [*docs.columns, "ids"]
+
+
+def test_lists_merged_by_binary_search():
+    import numpy as np
+
+    rnd = random.Random(2)
+    for _ in range(50):
+        lists, every = [], {}
+        for _ in range(rnd.randint(1, 6)):
+            own = sorted({bytes(rnd.choice(b"ab\0") for _ in range(3)) + b"\1" for _ in range(rnd.randint(1, 12))})
+            places = [(rnd.randint(-5, 5), rnd.randint(0, 99)) for _ in own]
+            lists.append((np.array(own, "S4"), np.array([p[0] for p in places]), np.array([p[1] for p in places])))
+            for x, p in zip(own, places, strict=True):
+                every.setdefault(x, []).append(p)
+        got = sorted(map(tuple, suffixes.merge(lists).T.tolist()))
+        assert got == sorted(p for x in every.values() for p in sorted(x)[1:])
