@@ -11,7 +11,8 @@ alone.
 Words and pairs (grams) are told by hashes of 63 bits. Documents are dealt to parts. A part sends each of its distinct
 grams once, with its counts, to the bucket of the gram's hash; a bucket sums the counts over all parts and answers each
 part in the part's own order, and the part scores its documents. So no table of counts is gathered or broadcast, and
-parts and buckets grow in number, not in size. How many there are does not change results.
+parts and buckets grow in number, not in size; what is sent grows with the grams. How many there are does not change
+results. A first pass counts the distinct words and the sides' sizes.
 
 Null texts and texts without words have no loss and a null score; unlabelled documents and ids without a document do
 no harm; ids that repeat are scored row by row, and all rows of a target id are target documents; rows without an id
@@ -33,10 +34,12 @@ PRIOR = 20.0
 #: What stands for the end of a text among the hashes of words.
 END = B.U(0x3C6EF372FE94F82B)
 #: Bytes of text in a part, and of text for which there is a bucket, about.
-PART_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+PART_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Distinct words that a task holds before it passes them on, about.
+HELD = 500_000
 
 SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-ANSWER = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("totals", pa.list_(pa.int64()))])
+ANSWER = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
 
 
@@ -97,9 +100,8 @@ def _send(buckets: int):
         n = len(g.keys)
         both = np.bincount(target * n + g.word, minlength=2 * n) + np.bincount(target[g.at] * n + g.pair, minlength=2 * n)
         both, cuts, part = both.reshape(2, -1), g.cuts(buckets), table.column("part")[0].as_py()
-        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        # a row for every bucket, as each answers with its totals too
-        return pa.Table.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([part] * buckets, pa.int32()), pa.array([g.keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([packed(both[:, a:b]) for a, b in spans], pa.binary())], schema=SENT)
+        spans = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+        return pa.Table.from_arrays([pa.array([i for i, *_ in spans], pa.int32()), pa.array([part] * len(spans), pa.int32()), pa.array([g.keys[a:b].tobytes() for _, a, b in spans], pa.binary()), pa.array([packed(both[:, a:b]) for _, a, b in spans], pa.binary())], schema=SENT)
 
     return run
 
@@ -111,20 +113,45 @@ def _sum(table: pa.Table) -> pa.Table:
     sums = np.zeros((2, len(every)), np.int64)
     for side in (0, 1):
         np.add.at(sums[side], place, counts[side])
-    words = (every & B.U(1)).astype(bool)
-    totals = [int(words.sum()), int(sums[0, words].sum()), int(sums[1, words].sum())]
     ends = np.cumsum([len(k) for k in keys])
     back = [packed(sums[:, place[e - len(k) : e]]) for k, e in zip(keys, ends.tolist(), strict=True)]
-    return pa.Table.from_arrays([table.column("part"), table.column("bucket"), pa.array(back, pa.binary()), pa.array([totals] * len(keys), pa.list_(pa.int64()))], schema=ANSWER)
-
-
-def _score(table: pa.Table, answers: pa.Table) -> pa.Table:
+    return pa.Table.from_arrays([table.column("part"), table.column("bucket"), pa.array(back, pa.binary())], schema=ANSWER)
+
+
+def _totals(docs: DataFrame) -> tuple[int, int, int]:
+    """Number of distinct words (the end among them), and of words and ends in the background and in the target."""
+    schema = pa.schema([("word", pa.int64()), ("background", pa.int64()), ("target", pa.int64())])
+
+    def told(held: list[np.ndarray], sides: np.ndarray) -> pa.RecordBatch:
+        words = pa.array(B.signed(np.unique(np.concatenate(held)))) if held else pa.nulls(0, pa.int64())
+        none = pa.nulls(len(words), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.nulls(1, pa.int64())]), *(pa.concat_arrays([none, pa.array([n], pa.int64())]) for n in sides.tolist())], schema=schema)
+
+    def run(batches):
+        held, size, sides = [], 0, np.zeros(2, np.int64)
+        for batch in batches:
+            target = B.column(batch, "target").to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi, buf, off in B.chunks(B.column(batch, "text")):
+                words = B.Words(buf, off, B.ALNUM)
+                if len(words.hash):
+                    held.append(np.unique(np.append(words.hash, END) | B.U(1)))
+                    size += len(held[-1])
+                    sides += np.bincount(target[lo:hi], words.count + (words.count > 0), 2).astype(np.int64)
+            if size > HELD:
+                yield told(held, sides)
+                held, size, sides = [], 0, np.zeros(2, np.int64)
+        yield told(held, sides)
+
+    rows = docs.select("text", "target").mapInArrow(run, "word long, background long, target long")
+    return tuple(x or 0 for x in rows.agg(F.count_distinct("word"), F.sum("background"), F.sum("target")).first())
+
+
+def _score(table: pa.Table, answers: pa.Table, vocabulary: int, totals: tuple[int, int]) -> pa.Table:
     g, n = Grams(table), len(table)
     if not n:
         return SCORES.empty_table()
-    rows = sorted(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist(), answers.column("totals").to_pylist(), strict=True), key=lambda r: r[0])
-    counts = np.concatenate([unpacked(r[1]) for r in rows], axis=1)
-    vocabulary, *totals = np.sum([r[2] for r in rows], axis=0).tolist()
+    rows = sorted(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist(), strict=True))
+    counts = np.concatenate([np.zeros((2, 0), np.int64), *(unpacked(r[1]) for r in rows)], axis=1)
     none, losses = g.count == 0, []
     target = table.column("target").to_numpy().astype(np.int64)[g.row]
     own, own_pairs, length = g.own(g.word, g.row), g.own(g.pair, g.row[g.at]), np.bincount(g.row, minlength=n)
@@ -147,8 +174,11 @@ def scores(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     parts, buckets = (int(size // b) + 1 for b in (PART_BYTES, BUCKET_BYTES))
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
+    docs = docs.join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"), part.alias("part"))
+    vocabulary, *totals = _totals(docs)
     # the part is told by the row alone, so both readings of the texts make the same parts
-    dealt = docs.join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"), part.alias("part")).repartition(parts, "part")
+    dealt = docs.repartition(parts, "part")
     sent = dealt.groupBy("part").applyInArrow(_send(buckets), "bucket int, part int, keys binary, counts binary").repartition(buckets, "bucket")
-    answers = sent.groupBy("bucket").applyInArrow(_sum, "part int, bucket int, counts binary, totals array<long>").repartition(parts, "part")
-    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    answers = sent.groupBy("bucket").applyInArrow(_sum, "part int, bucket int, counts binary").repartition(parts, "part")
+    score = lambda table, found: _score(table, found, vocabulary, totals)
+    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double, score double")
