@@ -34,7 +34,7 @@ PRIOR = 20.0
 #: What stands for the end of a text among the hashes of words.
 END = B.U(0x3C6EF372FE94F82B)
 #: Bytes of text in a part, and of text for which there is a bucket, about.
-PART_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+PART_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
 #: Distinct words that a task holds before it passes them on, about.
 HELD = 500_000
 
