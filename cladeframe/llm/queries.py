@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, language, licenses, lmscore, sharding, spotsigs, suffixes, units
+from . import bpe, decontaminate, jaccard, language, licenses, lmscore, middle, neighbours, sharding, spelling, spotsigs, suffixes, units
 from .common import prepare
 
 
@@ -54,12 +54,24 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), damage=97)
+
+
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digest(middle.rearranged(_table(spark, sf_dir, "documents")))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_suffix_arrays, op3_cross_entropy, op4_units, op5_licences, op6_byte_bpe, op7_ngram_jaccard, op8_external_shuffle, op9_winnowing, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_language, op2_suffix_arrays, op3_cross_entropy, op4_units, op5_licences, op6_byte_bpe, op7_ngram_jaccard, op8_external_shuffle, op9_winnowing, op10_spotsigs, op11_spelling, op12_middle, op13_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_arrays": OP2, "op4_units": OP4, "op7_ngram_jaccard": OP7, "op9_winnowing": OP9}
+    return {"op2_suffix_arrays": OP2, "op4_units": OP4, "op7_ngram_jaccard": OP7, "op9_winnowing": OP9, "op11_spelling": OP11, "op12_middle": OP12}
 
 
 OP9 = r"""
@@ -120,3 +132,36 @@ r AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT l.b, r.c FROM r JOIN l
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = d.doc_id
 """
+
+#: CRC-32 by its table, which the rule gives: each byte eight times halved, odd ones crossed with the polynomial.
+_HALVED = "CASE WHEN {x} % 2 = 1 THEN xor({x} // 2, 3988292384) ELSE {x} // 2 END"
+OP11 = rf"""
+WITH RECURSIVE bit(i, x, step) AS (SELECT r, r, 0 FROM (SELECT unnest(range(256)) AS r) UNION ALL SELECT i, {_HALVED.format(x="x")}, step + 1 FROM bit WHERE step < 8),
+tab AS (SELECT list(x ORDER BY i) AS t FROM bit WHERE step = 8),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 5 GROUP BY ALL),
+b AS (SELECT doc_id, run, n, hex(encode(doc_id || ':' || run)) AS x FROM c),
+y AS (SELECT doc_id, run, n, list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT)) AS bytes FROM b),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda acc, v: xor(acc // 256, t[xor(acc % 256, v) + 1])), 4294967295) AS h FROM y, tab),
+d AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+g AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+e AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM g),
+pair AS (SELECT a.word, b.word AS other, b.n AS m FROM e a JOIN e b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT e.word, w.word, w.n FROM e JOIN w ON w.word = e.rest UNION SELECT w.word, e.word, e.n FROM e JOIN w ON w.word = e.rest),
+best AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near FROM pair QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS here, 0 AS far FROM w UNION ALL SELECT walk.word, f.form, far + 1 FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NOT NULL),
+root AS (SELECT word, arg_max(here, far) AS root FROM walk GROUP BY word)
+SELECT f.word, f.form, root.root, f.n, f.n_near, f.form_n FROM f JOIN root USING (word)
+"""
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents),
+x AS (SELECT doc_id, text, u, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM x),
+p AS (SELECT doc_id, text, n, form, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle, array_to_string(u[b + 1 : n], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE form WHEN 'plain' THEN NULL ELSE CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE form WHEN 'plain' THEN NULL ELSE CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""

@@ -27,7 +27,8 @@ def db():
 def test_query(spark, db, name):
     got = queries()[name](spark, TABLES)
     rows = [tuple(r[c] for c in sorted(got.columns)) for r in got.collect()]
-    assert len(rows) == db.execute("SELECT count(*) FROM documents").fetchone()[0]
+    if "doc_id" in got.columns:
+        assert len(rows) == db.execute("SELECT count(*) FROM documents").fetchone()[0]
     if name in oracle_sql():
         sql = db.execute(oracle_sql()[name])
         columns = [c[0] for c in sql.description]
