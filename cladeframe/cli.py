@@ -91,16 +91,16 @@ def build(spark: SparkSession, a: argparse.Namespace) -> None:
     within = None
     if a.load_universe:
         meta = spark.read.parquet(a.load_universe)
-        longest = meta.selectExpr("max(length(mer))").first()[0]
+        longest = meta.selectExpr("max(n)").first()[0]
         if longest is not None and longest != a.s:
             raise ValueError(f"the universe in {a.load_universe} has strings of {longest} letters, not {a.s}")
-        within = meta.select("mer")
+        within = meta
     elif a.unitigs:
         within = ix.universe(readers.read_sequences(spark, a.unitigs), a.s, a.forward_only)
     index = ix.build(sequences, labels, a.s, a.forward_only, within, a.none_to_multiple)
     if a.save_universe:
         index = index.cache()
-        index.positions.select("mer").write.parquet(a.save_universe)
+        index.positions.drop("lo", "hi").write.parquet(a.save_universe)
     index.save(a.output)
 
 
@@ -113,7 +113,7 @@ def prompt(spark: SparkSession, a: argparse.Namespace, lines=None) -> None:
     """One lookup for each line of options; the labels of the strings of k letters are rolled up once and kept, and what
     goes wrong does not end the session."""
     index = ix.load(spark, a.index)
-    labels = index.kmer_labels(a.k).persist()
+    labels = index.packed_labels(a.k).persist()
     options = argparse.ArgumentParser(prog="", add_help=False, exit_on_error=False)
     _lookup_options(options)
     for line in lines if lines is not None else sys.stdin:

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 LONGEST = 256
 #: Windows that one piece of a sequence yields: every window copies its piece once, so pieces are short.
 PIECE = 256
-#: Windows of the long pieces by which sequences are dealt out to tasks before they are cut to short ones.
-DEALT = 1 << 16
 # Printable ASCII characters and white space that are no A, C, G, T, in either case.
 OTHERS = "0123456789BDEFHIJKLMNOPQRSUVWXYZbdefhijklmnopqrsuvwxyz \t\n\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -68,15 +66,6 @@ def windows(df: DataFrame, seq: str, k: int, out: str = "kmer", size: int = PIEC
     return each.withColumn(out, F.col(seq)).withColumn("pos", (F.col("offset") + F.col("__at")).cast("long")).drop(seq, "offset", "__at")
 
 
-def dealt(runs: DataFrame, seq: str, overlap: int) -> DataFrame:
-    """Runs of A, C, G, T cut to pieces of DEALT letters, which share overlap letters with the next one, and dealt to
-    all tasks; first tells whether a piece is the beginning of its run. A chromosome is many pieces."""
-    cut = runs.withColumn(seq, F.col(seq).cast("binary")).withColumn("__from", F.explode(F.sequence(F.lit(0), F.greatest(F.length(seq) - overlap - 1, F.lit(0)), F.lit(DEALT))))
-    cut = cut.withColumn(seq, F.substring(seq, F.col("__from") + 1, F.lit(DEALT + overlap))).withColumn("first", F.col("__from") == 0).drop("__from")
-    spark = runs.sparkSession
-    return cut.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
-
-
 def both_strands(df: DataFrame, seq: str = "seq", forward_only: bool = False) -> DataFrame:
     """df with a second row for each sequence's other strand, from one scan."""
     return df if forward_only else df.withColumn(seq, F.explode(F.array(F.col(seq), revcomp(F.col(seq)))))
@@ -85,23 +74,3 @@ def both_strands(df: DataFrame, seq: str = "seq", forward_only: bool = False) ->
 def runs_of(df: DataFrame, seq: str = "seq") -> DataFrame:
     """A row for each run of A, C, G, T in seq, in place of seq."""
     return df.withColumn(seq, F.explode(acgt_runs(F.col(seq))))
-
-
-def run_windows(runs: DataFrame, seq: str, k: int, out: str = "kmer", size: int = PIECE) -> DataFrame:
-    """A row for each window of k letters of runs of A, C, G, T, without its place."""
-    cut = dealt(runs.where(F.length(seq) >= check_k(k)), seq, k - 1).drop("first")
-    cut = cut.withColumn("__offset", F.explode(F.sequence(F.lit(0), F.length(seq) - k, F.lit(size))))
-    cut = cut.withColumn(seq, F.substring(seq, F.col("__offset") + 1, F.lit(size + k - 1))).drop("__offset")
-    each = cut.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(seq) - k + 1)))
-    return each.withColumn(out, F.substring(seq, F.col("__at"), F.lit(k)).cast("string")).drop(seq, "__at")
-
-
-def with_prefixes(runs: DataFrame, seq: str, s: int, out: str = "mer", size: int = PIECE) -> DataFrame:
-    """A row for each window of s letters of the runs, and for each of their prefixes of fewer letters, in one pass: a
-    window that starts before the run is a prefix."""
-    cut = dealt(runs.where(F.length(seq) > 0), seq, s - 1)
-    cut = cut.withColumn("__offset", F.explode(F.sequence(F.lit(0), F.greatest(F.length(seq) - s, F.lit(0)), F.lit(size))))
-    cut = cut.withColumn(seq, F.substring(seq, F.col("__offset") + 1, F.lit(size + s - 1)))
-    first = F.when(F.col("first") & (F.col("__offset") == 0), F.lit(1 - s)).otherwise(F.lit(0))
-    each = cut.withColumn("__at", F.explode(F.sequence(first, F.length(seq) - s)))
-    return each.withColumn(out, F.substring(seq, F.greatest("__at", F.lit(0)) + 1, F.least(F.col("__at"), F.lit(0)) + s).cast("string")).drop(seq, "first", "__offset", "__at")

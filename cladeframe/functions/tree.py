@@ -1,20 +1,26 @@
 """Lowest common ancestors as columns.
 
 The ancestor of a set of nodes is that of its first and last member in depth-first order, so a set aggregates to the
-least and the greatest place (tin), with partial sums on the map side.
+least and the greatest place (tin), with partial sums on the map side. The ancestor of two places is the parent of the
+shallowest node behind the first and up to the second, which two entries of a sparse table of minima tell.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.hierarchy import LabelTree
+from ..plans.ship import ship
 
-#: Nodes up to which the tree's paths are a constant of the expression; larger trees are joined.
+#: Nodes up to which the tree's table is a constant of the expression; larger trees are sent to the tasks as arrays.
 INLINE = 512
-#: Nodes of a tree that goes to each executor; beyond it the join is left to the planner.
+#: Nodes of a tree whose names go to each executor; beyond it the join is left to the planner.
 BROADCAST_NODES = 1_000_000
+#: Places of a block of the table of large trees.
+BLOCK = 32
 
 
 def span(tin: Column) -> list[Column]:
@@ -26,31 +32,97 @@ def merge_spans() -> list[Column]:
     return [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
 
 
+def ranks(tree: LabelTree) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the rank of its node from the shallowest on; for each rank the id of the parent."""
+    depth, tin = np.asarray(tree.depth), np.asarray(tree.tin)
+    order = np.lexsort((tin, depth))
+    rank = np.empty(len(tin), np.int32)
+    rank[tin[order]] = np.arange(len(tin), dtype=np.int32)
+    return rank, np.asarray(tree.parents, np.int32)[order]
+
+
+def sparse(values: np.ndarray) -> list[np.ndarray]:
+    """Minima of 1, 2, 4, ... values from each place on; places too near the end repeat what is there."""
+    out, size = [values], 1
+    while 2 * size <= len(values):
+        last = out[-1]
+        longer = last.copy()
+        longer[:-size] = np.minimum(last[:-size], last[size:])
+        out, size = [*out, longer], 2 * size
+    return out
+
+
+class Ancestors:
+    """The ancestor of many pairs of places at once. Within a block of places minima run from its beginning and from its
+    end; a sparse table holds the blocks' own, so the tree takes some ten numbers for each node, however deep it is."""
+
+    def __init__(self, tree: LabelTree):
+        rank, self.parent = ranks(tree)
+        self.id = np.empty(len(rank), np.int32)
+        self.id[np.asarray(tree.tin)] = np.arange(len(rank), dtype=np.int32)
+        blocks = -(-len(rank) // BLOCK)
+        self.rank = np.full(blocks * BLOCK, len(rank), np.int32)
+        self.rank[: len(rank)] = rank
+        grid = self.rank.reshape(blocks, BLOCK)
+        self.before = np.minimum.accumulate(grid, axis=1).ravel()
+        self.after = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+        self.table = np.stack(sparse(grid.min(axis=1)))
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Ids of the ancestors of the places lo <= hi."""
+        if not len(lo):
+            return np.zeros(0, np.int32)
+        lo, hi = lo.astype(np.int64), hi.astype(np.int64)
+        out = self.id[lo].copy()
+        part = np.flatnonzero(lo < hi)
+        a, b = lo[part] + 1, hi[part]
+        x, y = a // BLOCK, b // BLOCK
+        best = np.minimum(self.after[a], self.before[b])
+        near = np.flatnonzero(x == y)
+        best[near] = self.rank[a[near]]
+        for step in range(1, BLOCK):
+            best[near] = np.minimum(best[near], self.rank[np.minimum(a[near] + step, b[near])])
+        far = np.flatnonzero(y - x > 1)
+        first, last = x[far] + 1, y[far] - 1
+        level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+        best[far] = np.minimum(best[far], np.minimum(self.table[level, first], self.table[level, last - (1 << level) + 1]))
+        out[part] = self.parent[best]
+        return out
+
+
+def _numbers(values) -> Column:
+    """A constant array; the planner reads the text once."""
+    return F.split(F.lit(",".join(map(str, np.asarray(values).tolist()))), ",").cast("array<int>")
+
+
 def with_lca(df: DataFrame, tree: LabelTree, out: str = "label") -> DataFrame:
     """df with the id of the ancestor of the places lo and hi (null: null), without these two columns."""
-    if len(tree) <= INLINE:
-        by_tin = sorted(range(len(tree)), key=tree.tin.__getitem__)
-        paths = F.array(*(F.array(*(F.lit(i) for i in tree.path(node))) for node in by_tin))
-        ids = F.array(*map(F.lit, by_tin))
-        at = lambda c: F.get(paths, F.col(c))
-        label = F.when(F.col("lo") == F.col("hi"), F.get(ids, F.col("lo"))).when(F.col("lo").isNotNull(), common(at("lo"), at("hi")))
+    n = len(tree)
+    if n <= INLINE:
+        rank, parent = ranks(tree)
+        table = _numbers(np.concatenate(sparse(rank)))
+        ids = _numbers(np.argsort(np.asarray(tree.tin)))
+        level = F.get(_numbers([max(x, 1).bit_length() - 1 for x in range(n + 1)]), F.col("hi") - F.col("lo"))
+        at = lambda place: F.get(table, level * n + place)
+        best = F.least(at(F.col("lo") + 1), at(F.col("hi") + 1 - F.get(_numbers([1 << j for j in range(n.bit_length())]), level)))
+        label = F.when(F.col("lo") == F.col("hi"), F.get(ids, F.col("lo"))).when(F.col("lo").isNotNull(), F.get(_numbers(parent), best))
         return df.withColumn(out, label.cast("int")).drop("lo", "hi")
-    nodes = tree.nodes(df.sparkSession).select("tin", "id", "path")
-    send = F.broadcast if len(tree) <= BROADCAST_NODES else (lambda x: x)
-    for c in ("lo", "hi"):
-        df = df.join(send(nodes.select(F.col("tin").alias(c), F.col("path").alias(f"__{c}"))), c, "left")
-    return df.withColumn(out, common(F.col("__lo"), F.col("__hi")).cast("int")).drop("lo", "hi", "__lo", "__hi")
+    ship(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(Ancestors(tree))  # some ten numbers for each node of the tree
 
+    @F.pandas_udf("int")
+    def ancestor(lo: pd.Series, hi: pd.Series) -> pd.Series:
+        known = (lo.notna() & hi.notna()).to_numpy()
+        found = pd.Series(pd.array([pd.NA] * len(lo), "Int32"))
+        found[known] = shared.value.of(lo[known].to_numpy(), hi[known].to_numpy())
+        return found
 
-def common(a: Column, b: Column) -> Column:
-    """Last node that two paths from the root share."""
-    both = F.array_intersect(a, b)
-    return F.element_at(both, F.size(both))
+    return df.withColumn(out, ancestor("lo", "hi")).drop("lo", "hi")
 
 
 def place(tree: LabelTree, label: Column) -> Column:
     """tin of a label id, for trees that are a constant of the expression."""
-    return F.get(F.array(*map(F.lit, tree.tin)), label)
+    return F.get(_numbers(tree.tin), label)
 
 
 def name(tree: LabelTree, label: Column) -> Column:

@@ -8,10 +8,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 NONE, ROOT = "none", "root"
-NODES = "id int, name string, parent int, depth int, tin int, tout int, path array<int>"
 
 
 class HierarchyError(ValueError):
@@ -142,10 +142,14 @@ class LabelTree:
             raise HierarchyError(f"there is no label {missing[0]!r}")
         return self.rename({ids[old]: new for old, new in names.items()})
 
-    def nodes(self, spark: SparkSession) -> DataFrame:
-        """A row for each node, with its place in depth-first order and its path from the root."""
-        rows = [(i, name, self.parents[i], self.depth[i], self.tin[i], self.tout[i], self.path(i)) for i, name in enumerate(self.names)]
-        return spark.createDataFrame(rows, NODES)
+    def nodes(self, spark: SparkSession, paths: bool = False) -> DataFrame:
+        """A row for each node, with its place in depth-first order; paths: and its path from the root, which is as long
+        as the node is deep."""
+        ints = {"parent": self.parents, "depth": self.depth, "tin": self.tin, "tout": self.tout}
+        table = {"id": pa.array(range(len(self)), pa.int32()), "name": pa.array(self.names, pa.string())} | {c: pa.array(x, pa.int32()) for c, x in ints.items()}
+        if paths:
+            table["path"] = pa.array(map(self.path, range(len(self))), pa.list_(pa.int32()))
+        return spark.createDataFrame(pa.table(table))
 
     def dump(self) -> list[str]:
         """Number of nodes, names by id, then child and parent ids of all nodes but the root."""

@@ -4,48 +4,107 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import kmers, tree
+from ..functions import kmers, packed, tree
+from ..plans.ship import ship
 from .hierarchy import LabelTree
 
-VERSION = 1
+VERSION = 2
+#: Ranges of strings that are pushed down to the Parquet reader at most; the parts that are read are told for any number.
+PUSHED = 2048
+#: Rows of a page and bytes of a row group of a saved index: what a lookup skips by their least and greatest strings.
+PAGE_ROWS, GROUP_BYTES = 4096, 16 << 20
+
+
+@dataclass(frozen=True)
+class Parts:
+    """The parts of a saved index in order: their numbers, least and greatest w0 (a row for each file of the index)."""
+
+    numbers: np.ndarray
+    least: np.ndarray
+    greatest: np.ndarray
 
 
 @dataclass(frozen=True)
 class Index:
-    """positions (mer, lo, hi): a row for each distinct window of s letters, and for each shorter prefix of a run of
-    letters; lo and hi are the least and greatest place of its labels in the tree, null if it has none."""
+    """positions (w0, ..., n, lo, hi): a row for each distinct window of s letters, and for each shorter prefix of a run
+    of letters, as packed numbers; lo and hi are the least and greatest place of its labels in the tree, null if it has
+    none. parts are there if the positions are those of a saved index."""
 
     positions: DataFrame
     labels: LabelTree
     s: int
+    parts: Parts | None = None
 
-    def kmer_labels(self, k: int | None = None, asked: DataFrame | None = None) -> DataFrame:
-        """(kmer, label) of all distinct strings of k letters; a null label marks a string of an unlabelled universe.
+    def packed_labels(self, k: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+        """(w0, ..., label) of all distinct strings of k letters; a null label marks a string of an unlabelled universe.
 
-        asked: (kmer) distinct strings, few enough to be sent to every executor. Only their labels are given, and the
-        positions are filtered by them where they are read, before any of them is moved.
+        asked: distinct strings (w0, ...) of k letters, few enough to be sent to every executor. Only their labels are
+        given: of a saved index no more is read than the parts, and, up to PUSHED strings, the pages, in whose ranges
+        strings with these endings stand, and only positions with such an ending are merged.
         """
         k = kmers.check_k(k or self.s, self.s)
-        held = self.positions.where(F.length("mer") >= k)
-        spans = held.withColumnRenamed("mer", "kmer") if k == self.s else held.withColumn("kmer", F.right("mer", F.lit(k))).drop("mer")
+        names = packed.columns(k)
+        held = self.positions
+        if asked is not None and self.parts is not None:
+            held = held.where(self._told(asked.select("w0"), k))
+        held = held.where(F.col("n") >= k)
+        # strings that end alike share their numbers under a mask
+        spans = held.select(*(c.alias(name) for name, c in packed.shortened(k).items()), "lo", "hi")
         if asked is not None:
-            spans = spans.join(F.broadcast(asked.select("kmer")), "kmer", "left_semi")
+            spans = spans.join(F.broadcast(asked.select(*names)), names, "left_semi")
         if k != self.s:
-            spans = spans.groupBy("kmer").agg(*tree.merge_spans())
+            spans = spans.groupBy(*names).agg(*tree.merge_spans())
         return tree.with_lca(spans, self.labels)
 
+    def _told(self, asked: DataFrame, k: int) -> Column:
+        """Which positions may end with one of the asked strings (w0), by the layout of a saved index."""
+        rest = int((~packed.MASKS[min(k, packed.LETTERS)]).astype(np.int64))
+        ship(asked.sparkSession)
+        least, greatest = self.parts.least, self.parts.greatest  # a number for each part
+
+        def met(batches):
+            seen = np.zeros(len(least) + 1, np.int64)
+            for batch in batches:
+                w = batch.column(0).to_numpy()
+                np.add.at(seen, np.searchsorted(greatest, w, "left"), 1)
+                np.add.at(seen, np.maximum(np.searchsorted(least, w | rest, "right"), np.searchsorted(greatest, w, "left")), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(np.cumsum(seen)[:-1] > 0).astype(np.int32))], names=["at"])
+
+        at = sorted(r["at"] for r in asked.mapInArrow(met, "at int").distinct().collect())
+        told = F.col("part").isin([int(self.parts.numbers[i]) for i in at]) if len(at) < len(least) else F.lit(True)
+        few = asked.distinct().limit(PUSHED + 1).collect()
+        if len(few) <= PUSHED:
+            ranges: list[list[int]] = []
+            for w in sorted(r["w0"] for r in few):
+                if ranges and w <= ranges[-1][1]:
+                    continue
+                ranges.append([w, w | rest])
+            each = [F.col("w0") == a if a == b else F.col("w0").between(a, b) for a, b in ranges] or [F.lit(False)]
+            while len(each) > 1:  # as a tree, so that the planner's recursion stays shallow
+                each = [reduce(Column.__or__, each[i : i + 8]) for i in range(0, len(each), 8)]
+            told = told & each[0]
+        return told
+
+    def kmer_labels(self, k: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+        """(kmer, label), as packed_labels() has them, with the strings themselves."""
+        k = kmers.check_k(k or self.s, self.s)
+        return self.packed_labels(k, asked).select(packed.unpack(k, k).alias("kmer"), "label")
+
     def position_labels(self) -> DataFrame:
         """(mer, label) of each position."""
-        return tree.with_lca(self.positions, self.labels)
+        return tree.with_lca(self.positions, self.labels).select(packed.unpack(self.s, F.col("n")).alias("mer"), "label")
 
     def none_to_root(self) -> Index:
         """Unlabelled positions count as labelled with the root."""
         place = F.lit(self.labels.tin[self.labels.root])
-        return replace(self, positions=self.positions.select("mer", F.coalesce("lo", place).alias("lo"), F.coalesce("hi", place).alias("hi")))
+        return replace(self, positions=self.positions.withColumns({c: F.coalesce(c, place) for c in ("lo", "hi")}))
 
     def rename(self, names: dict[int, str]) -> Index:
         return replace(self, labels=self.labels.rename(names))
@@ -56,10 +115,22 @@ class Index:
     def cache(self) -> Index:
         return replace(self, positions=self.positions.persist())
 
-    def save(self, path: str) -> None:
-        """positions as Parquet, split by whether they have s letters (a lookup at k = s reads only those); the tree and s."""
-        self.positions.withColumn("full", F.length("mer") == self.s).write.partitionBy("full").parquet(f"{path}/positions")
+    def sorted(self, parts: int | None = None) -> DataFrame:
+        """Positions with part, in the order of the strings from their right ends: part by part, and within each."""
+        keys = [*packed.columns(self.s), "n"]
+        rows = self.positions.select(*keys, "lo", "hi")
+        dealt = rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
+        return dealt.withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", *keys)
+
+    def save(self, path: str, parts: int | None = None) -> None:
+        """positions as Parquet, sorted, a file for each of the parts that a range of strings falls into (the planner's
+        number if none is given); the parts' bounds; the tree and s."""
         spark = self.positions.sparkSession
+        options = {"parquet.block.size": GROUP_BYTES, "parquet.page.row.count.limit": PAGE_ROWS}
+        self.sorted(parts).write.options(**options).partitionBy("part").parquet(f"{path}/positions")
+        held = spark.read.parquet(f"{path}/positions") if not self.positions.isEmpty() else None
+        bounds = held.groupBy("part").agg(F.min("w0").alias("least"), F.max("w0").alias("greatest")) if held is not None else spark.createDataFrame([], "part int, least long, greatest long")
+        bounds.coalesce(1).write.parquet(f"{path}/parts")
         self.labels.nodes(spark).coalesce(1).write.parquet(f"{path}/nodes")
         spark.createDataFrame([(json.dumps({"version": VERSION, "s": self.s}),)], "value string").coalesce(1).write.text(f"{path}/meta")
 
@@ -68,25 +139,26 @@ def load(spark: SparkSession, path: str) -> Index:
     meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
     if meta.get("version") != VERSION:
         raise ValueError(f"{path} has version {meta.get('version')}; this library reads {VERSION}")
-    nodes = spark.read.parquet(f"{path}/nodes").orderBy("id").collect()  # a row for each label
-    labels = LabelTree(tuple(r["name"] for r in nodes), tuple(r["parent"] for r in nodes))
-    return Index(spark.read.parquet(f"{path}/positions").select("mer", "lo", "hi"), labels, meta["s"])
+    nodes = spark.read.parquet(f"{path}/nodes").orderBy("id").toArrow()  # a row for each label
+    labels = LabelTree(tuple(nodes["name"].to_pylist()), tuple(nodes["parent"].to_pylist()))
+    parts = spark.read.parquet(f"{path}/parts").orderBy("part").toArrow()  # a row for each file
+    schema = ", ".join([*(f"{c} long" for c in packed.columns(meta["s"])), "n int, lo int, hi int, part int"])
+    held = spark.read.schema(schema).parquet(f"{path}/positions")
+    return Index(held, labels, meta["s"], Parts(*(parts[c].to_numpy() for c in ("part", "least", "greatest"))))
 
 
 def universe(sequences: DataFrame, s: int, forward_only: bool = False) -> DataFrame:
-    """(mer): the distinct positions of sequences (seq), without labels."""
-    strands = kmers.runs_of(kmers.both_strands(sequences.select("seq"), "seq", forward_only))
-    return kmers.with_prefixes(strands, "seq", kmers.check_k(s)).distinct()
+    """(w0, ..., n): the distinct positions of sequences (seq), without labels."""
+    return packed.strings(sequences.select("seq"), kmers.check_k(s), forward_only).distinct()
 
 
 def build(sequences: DataFrame, labels: LabelTree, s: int, forward_only: bool = False, within: DataFrame | None = None, none_to_root: bool = False) -> Index:
-    """The index of sequences (label id, seq). within: a universe (mer) that replaces the sequences' own positions."""
-    kmers.check_k(s)
+    """The index of sequences (label id, seq). within: a universe that replaces the sequences' own positions."""
+    keys = [*packed.columns(kmers.check_k(s)), "n"]
     known = tree.with_tin(sequences.select("label", "seq"), labels)
-    strands = kmers.runs_of(kmers.both_strands(known, "seq", forward_only))
-    spans = kmers.with_prefixes(strands, "seq", s).groupBy("mer").agg(*tree.span(F.col("tin")))
+    spans = packed.strings(known, s, forward_only).groupBy(*keys).agg(*tree.span(F.col("tin")))
     if within is not None:
-        spans = within.select("mer").join(spans, "mer", "left")
+        spans = within.select(*keys).join(spans, keys, "left")
     index = Index(spans, labels, s)
     return index.none_to_root() if none_to_root else index
 
@@ -94,6 +166,6 @@ def build(sequences: DataFrame, labels: LabelTree, s: int, forward_only: bool =
 def direct(sequences: DataFrame, labels: LabelTree, k: int, forward_only: bool = False) -> DataFrame:
     """(kmer, label) for one k without an index."""
     known = tree.with_tin(sequences.select("label", "seq"), labels)
-    strands = kmers.runs_of(kmers.both_strands(known, "seq", forward_only))
-    spans = kmers.run_windows(strands, "seq", k).groupBy("kmer").agg(*tree.span(F.col("tin")))
-    return tree.with_lca(spans, labels)
+    names = packed.columns(kmers.check_k(k))
+    spans = packed.strings(known, k, forward_only, whole=True).groupBy(*names).agg(*tree.span(F.col("tin")))
+    return tree.with_lca(spans, labels).select(packed.unpack(k, k).alias("kmer"), "label")

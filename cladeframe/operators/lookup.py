@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import kmers, tree
+from ..functions import kmers, packed, tree
 from .hierarchy import LabelTree
 from .index import Index
 
 #: Windows of all queries up to which the index is read for their strings only.
 ASKED = 1_000_000
 
+
 def run_lengths(df: DataFrame, keys: list[str], order: str, value: str, length: str | None = None) -> DataFrame:
     """keys, start, end (half open) and value of each run of rows with equal value (null equals null) in order.
 
@@ -27,9 +28,12 @@ def run_lengths(df: DataFrame, keys: list[str], order: str, value: str, length:
 
 
 def labelled_windows(queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """queries' other columns, piece, pos, label of each window of seq; labels: (kmer, label) with each kmer once."""
-    each = kmers.windows(queries.withColumn("seq", kmers.upper(F.col("seq"))), "seq", k)
-    return each.join(labels, "kmer", "left").drop("kmer")
+    """(query_rank, piece, start, end, label) of the windows of queries (query_rank, seq); neighbouring windows with
+    other characters than A, C, G, T are one row. labels: (w0, ..., label) or (kmer, label) with each string once."""
+    if "kmer" in labels.columns:
+        labels = labels.select(*(c.alias(name) for name, c in packed.pack(F.col("kmer"), k).items()), "label")
+    names = packed.columns(k)
+    return packed.asked_windows(queries, k).join(labels, names, "left").drop(*names)
 
 
 def annotate(queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
@@ -38,7 +42,7 @@ def annotate(queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     Runs are found within the pieces of a sequence first, then across pieces, so that a chromosome is not one task.
     """
     found = labelled_windows(queries.select("query_rank", "seq"), labels, k)
-    first = run_lengths(found, ["query_rank", "piece"], "pos", "label")
+    first = run_lengths(found, ["query_rank", "piece"], "start", "label", "end")
     whole = run_lengths(first.drop("piece"), ["query_rank"], "start", "label", "end")
     return whole.select("query_rank", F.col("start").alias("from_kmer"), F.col("end").alias("to_kmer"), "label")
 
@@ -46,15 +50,15 @@ def annotate(queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
 def lookup(queries: DataFrame, index: Index, k: int | None = None, misses: bool = False, labels: DataFrame | None = None) -> DataFrame:
     """(query_rank, query_name, from_kmer, to_kmer, label, label_name) of queries (query_rank, query_name, seq).
 
-    labels: the index's kmer_labels(k), if many lookups share them. Without, the index is read for the queries' own
+    labels: the index's packed_labels(k), if many lookups share them. Without, the index is read for the queries' own
     strings if these are few, so nothing else of it is moved.
     """
     k = kmers.check_k(k or index.s, index.s)
     if labels is None:
         asked = None
         if counted(queries, k).first()["n_kmers"] <= ASKED:
-            asked = kmers.windows(queries.select(kmers.upper(F.col("seq")).alias("seq")), "seq", k).select("kmer").distinct()
-        labels = index.kmer_labels(k, asked)
+            asked = packed.asked_windows(queries, k).where("w0 is not null").select(*packed.columns(k)).distinct()
+        labels = index.packed_labels(k, asked)
     runs = annotate(queries, labels, k)
     if not misses:
         runs = runs.where("label is not null")

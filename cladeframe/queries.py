@@ -193,7 +193,7 @@ def label_by_seq(spark, d):
 
 
 def hierarchy_paths(spark, d):
-    return nations(spark, d).nodes(spark).select("id", "name", "parent", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+    return nations(spark, d).nodes(spark, paths=True).select("id", "name", "parent", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 
 def print_hierarchy(spark, d):
@@ -393,15 +393,15 @@ def rollup_s31_to_k15(spark, d):
     return build(spark, d, 31).kmer_labels(15)
 
 
-def french(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_rank, query_name, seq) of a tenth of the documents of one language."""
-    asked = _table(spark, sf_dir, "documents").where("lang = 'fr' and doc_id % 10 = 0 and text is not null").repartition(_tasks(spark))
+def asking(spark: SparkSession, sf_dir: str, where: str = "text is not null") -> DataFrame:
+    """(query_rank, query_name, seq) of documents, all of those with a text if no other condition is given."""
+    asked = _table(spark, sf_dir, "documents").where(where).repartition(_tasks(spark))
     return asked.select(F.col("doc_id").alias("query_rank"), F.concat(F.lit("doc"), "doc_id").alias("query_name"), kmers.bases(F.col("text")).alias("seq"))
 
 
 def lookup_k31(spark, d):
     """French documents looked up among those of all languages."""
-    return lk.lookup(french(spark, d), build(spark, d, 63), 31, misses=True)
+    return lk.lookup(asking(spark, d, "lang = 'fr' and text is not null"), build(spark, d, 63), 31, misses=True)
 
 
 FUNCTIONS = (
@@ -520,7 +520,7 @@ def oracle_sql() -> dict[str, str]:
     tree_sql = f"WITH {NATION}, nodes AS (SELECT id, name, (SELECT r.id FROM reg2 r WHERE r.region = t.region) AS parent, 2 AS depth FROM t UNION ALL SELECT id, region, (SELECT 25 + count(*) FROM reg2), 1 FROM reg2 UNION ALL SELECT 25 + count(*), 'world', 25 + count(*), 0 FROM reg2)"
     home = "anc AS (SELECT n.id AS node, n.id AS up, 2 AS depth FROM nodes n WHERE depth = 2 UNION ALL SELECT id, parent, 1 FROM nodes WHERE depth = 2 UNION ALL SELECT id, (SELECT id FROM nodes WHERE depth = 0), 0 FROM nodes WHERE depth = 2)"
     placed = "lab2 AS (SELECT key, name AS label_name FROM lab JOIN nodes ON nodes.id = lab.label)"
-    known31 = f"asked AS (SELECT doc_id AS query_rank, 'doc' || doc_id AS query_name, {_bases('text')} AS seq FROM documents WHERE lang = 'fr' AND doc_id % 10 = 0 AND text IS NOT NULL)"
+    known31 = f"asked AS (SELECT doc_id AS query_rank, 'doc' || doc_id AS query_name, {_bases('text')} AS seq FROM documents WHERE lang = 'fr' AND text IS NOT NULL)"
     below = "SELECT name, CAST(depth AS INTEGER) AS depth, CAST(CASE depth WHEN 2 THEN 1 WHEN 1 THEN 1 + (SELECT count(*) FROM nodes c WHERE c.parent = nodes.id) ELSE (SELECT count(*) FROM nodes) END AS INTEGER) AS n_below FROM nodes"
     taxa = "tax AS (SELECT id, name, parent, depth, CASE depth WHEN 0 THEN 1 ELSE id + 2 END AS taxid FROM nodes)"
     return {

@@ -20,7 +20,7 @@ def watch(spark: SparkSession, folder: str, index: Index, sink: Callable[[DataFr
     Files that are there at the start count as new; the query ends when it has read what is there.
     """
     k = k or index.s
-    labels = index.kmer_labels(k).persist()
+    labels = index.packed_labels(k).persist()
     records = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
     def batch(df: DataFrame, number: int) -> None:
