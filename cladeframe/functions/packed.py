@@ -70,8 +70,9 @@ def pieces(df: DataFrame, seq: str, before: int, after: int) -> DataFrame:
     them, up to before), own (their number); up to after letters follow. Other characters count as one letter each."""
     ship(df.sparkSession)
     plain = F.when(F.octet_length(seq) == F.length(seq), F.col(seq)).otherwise(F.regexp_replace(seq, r"[^\x00-\x7F]", "N"))
-    told = df.withColumn(seq, plain.cast("binary")).where(F.length(seq) > 0)
-    cut = told.withColumn("offset", F.explode(F.sequence(F.lit(0), F.length(seq) - 1, F.lit(PIECE))))
+    told = df.withColumn(seq, plain.cast("binary"))
+    # no filter: one on the length would be worked out once more, below, by the planner
+    cut = told.withColumn("offset", F.explode(F.when(F.length(seq) > 0, F.sequence(F.lit(0), F.length(seq) - 1, F.lit(PIECE)))))
     cut = cut.withColumns({"lead": F.least("offset", F.lit(before)), "own": F.least(F.lit(PIECE), F.length(seq) - F.col("offset"))})
     return cut.withColumn(seq, F.substring(seq, F.col("offset") - F.col("lead") + 1, F.col("lead") + F.col("own") + after)).repartition(_tasks(df))
 
@@ -93,16 +94,22 @@ def _chunks(batch: pa.RecordBatch, seq: str) -> Iterator[tuple[slice, np.ndarray
 def ending(codes: np.ndarray, off: np.ndarray, s: int) -> tuple[list[np.ndarray], np.ndarray]:
     """For each place of texts that stand one after the other: the string that ends there, of s letters or as many as
     there are behind the last other character, as numbers without the mask of its length, and that length."""
-    at = np.arange(len(codes))
-    broken = codes > 3
-    begin = np.repeat(off[:-1], np.diff(off))
-    n = np.minimum(at - np.maximum(np.maximum.accumulate(np.where(broken, at, -1)), begin - 1), s)
-    p = np.where(broken, 0, codes).astype(np.uint64)
-    size = 1
-    while size < LETTERS:
-        longer = p << np.uint64(2 * size)
-        longer[size:] |= p[:-size] if size < len(p) else p[:0]
-        p, size = longer, 2 * size
+    at = np.arange(len(codes), dtype=np.int32)
+    last = np.repeat((off[:-1] - 1).astype(np.int32), np.diff(off))
+    broken = np.flatnonzero(codes > 3)
+    if len(broken):
+        last[broken] = broken
+        np.maximum.accumulate(last, out=last)
+        codes = codes.copy()
+        codes[broken] = 0
+    n = np.minimum(at - last, s)
+    # 1, 2, 4, ... letters in the smallest numbers that hold them
+    p = codes
+    for size, kind in ((1, np.uint8), (2, np.uint8), (4, np.uint16), (8, np.uint32), (16, np.uint64)):
+        longer = p.astype(kind)
+        longer <<= kind(2 * size)
+        longer[size:] |= p[: max(len(p) - size, 0)]
+        p = longer
     words = []
     for i in range(len(columns(s))):
         word = np.zeros_like(p)
@@ -126,7 +133,14 @@ def alike(words: list[np.ndarray], n: np.ndarray) -> np.ndarray:
 
 def _masked(words: list[np.ndarray], n: np.ndarray, rows: np.ndarray) -> list[pa.Array]:
     n = n[rows]
-    return [pa.array(((w[rows] & MASKS[np.clip(n - LETTERS * i, 0, LETTERS)]) ^ _TURN).view(np.int64)) for i, w in enumerate(words)]
+    out = []
+    for i, w in enumerate(words):
+        w = w[rows]
+        short = np.flatnonzero(n < LETTERS * (i + 1))
+        w[short] &= MASKS[np.maximum(n[short] - LETTERS * i, 0)]
+        w ^= _TURN
+        out.append(pa.array(w.view(np.int64)))
+    return out
 
 
 def strings(sequences: DataFrame, s: int, forward_only: bool = False, whole: bool = False) -> DataFrame:
