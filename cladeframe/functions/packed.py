@@ -53,10 +53,22 @@ def pack(mer: Column, s: int) -> dict[str, Column]:
     return {c: (F.conv(part(i), 4, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long") for i, c in enumerate(columns(s))}
 
 
+def _digits(half: Column) -> Column:
+    """The 16 letters of the low 32 bits of a number as digits: each is moved to four bits of its own, which hex prints."""
+    for by, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333)):
+        half = half.bitwiseOR(F.shiftleft(half, by)).bitwiseAND(F.lit(mask))
+    return F.lpad(F.hex(half), 16, "0")
+
+
 def unpack(s: int, n: Column | int) -> Column:
     """The string of the columns of up to s letters and its length."""
-    part = lambda c: F.lpad(F.conv(F.hex(F.col(c).bitwiseXOR(F.lit(LOW))), 16, 4), LETTERS, "0")
-    whole = F.concat(*(part(c) for c in columns(s)))
+    halves = []
+    for i, c in enumerate(columns(s)):
+        word = F.col(c).bitwiseXOR(F.lit(LOW))
+        halves.append(_digits(F.shiftrightunsigned(word, 32)))
+        if s - LETTERS * i > LETTERS // 2:
+            halves.append(_digits(word.bitwiseAND(F.lit(0xFFFFFFFF))))
+    whole = F.concat(*halves)
     return F.translate(F.reverse(F.substring(whole, F.lit(1), n if isinstance(n, Column) else F.lit(n))), "0123", "ACGT")
 
 
