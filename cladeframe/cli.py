@@ -5,9 +5,10 @@ from __future__ import annotations
 import argparse
 import shlex
 import sys
+import time
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 from .operators import index as ix
 from .operators import lookup as lk
@@ -105,8 +106,13 @@ def build(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def lookup(spark: SparkSession, index: ix.Index, a: argparse.Namespace, k: int | None, labels=None) -> None:
-    runs = lk.lookup(readers.read_queries(spark, a.query), index, k, a.report_misses, labels)
+    # a result that is streamed to standard output tells no counts
+    seen, began = Observation("lookup") if a.output else None, time.time()
+    runs = lk.lookup(readers.read_queries(spark, a.query), index, k, a.report_misses, labels, seen)
     writers.write(lk.render(runs, a.report_query_names, a.report_label_ids), a.output, not a.no_header)
+    if seen:
+        n, spent = seen.get["n_kmers"], time.time() - began
+        print(f"{n} k-mers, {1e9 * spent / n:.1f} ns each" if n else "no k-mers", file=sys.stderr)
 
 
 def prompt(spark: SparkSession, a: argparse.Namespace, lines=None) -> None:

@@ -72,6 +72,11 @@ def unpack(s: int, n: Column | int) -> Column:
     return F.translate(F.reverse(F.substring(whole, F.lit(1), n if isinstance(n, Column) else F.lit(n))), "0123", "ACGT")
 
 
+def cut_columns(df: DataFrame) -> list[str]:
+    """The columns that make sequences pieces, if df has them."""
+    return [c for c in ("offset", "lead", "own") if "lead" in df.columns]
+
+
 def _tasks(df: DataFrame) -> int:
     spark = df.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -79,8 +84,11 @@ def _tasks(df: DataFrame) -> int:
 
 def pieces(df: DataFrame, seq: str, before: int, after: int) -> DataFrame:
     """df with seq cut to pieces, dealt to all tasks: offset of the letters that are a piece's own, lead (letters before
-    them, up to before), own (their number); up to after letters follow. Other characters count as one letter each."""
+    them, up to before), own (their number); up to after letters follow. Other characters count as one letter each.
+    Sequences that have these columns are pieces already, and stay as they are."""
     ship(df.sparkSession)
+    if "lead" in df.columns:
+        return df.withColumn(seq, F.col(seq).cast("binary"))
     plain = F.when(F.octet_length(seq) == F.length(seq), F.col(seq)).otherwise(F.regexp_replace(seq, r"[^\x00-\x7F]", "N"))
     told = df.withColumn(seq, plain.cast("binary"))
     # no filter: one on the length would be worked out once more, below, by the planner
@@ -130,17 +138,41 @@ def ending(codes: np.ndarray, off: np.ndarray, s: int) -> tuple[list[np.ndarray]
     return words, n
 
 
-def alike(words: list[np.ndarray], n: np.ndarray) -> np.ndarray:
-    """How many last letters each string and the one after it, as numbers, have in common."""
-    out, open_ = np.zeros(max(len(n) - 1, 0), np.int64), np.ones(max(len(n) - 1, 0), bool)
-    for w in words:
-        x = w[1:] ^ w[:-1]
+def common(one: list[np.ndarray], n_one: np.ndarray, two: list[np.ndarray], n_two: np.ndarray) -> np.ndarray:
+    """How many last letters the strings of one and of two, as numbers, have in common, each with its own."""
+    out, open_ = np.zeros(len(n_one), np.int64), np.ones(len(n_one), bool)
+    for a, b in zip(one, two, strict=True):
+        x = a ^ b
         # the place of the highest bit that differs, by halves, as doubles cannot tell all 64
         high, low = np.frexp((x >> np.uint64(32)).astype(np.float64))[1], np.frexp((x & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
         zeros = np.where(high > 0, 32 - high, 64 - low)
         out += np.where(open_, zeros // 2, 0)
         open_ &= x == 0
-    return np.minimum(out, np.minimum(n[1:], n[:-1]))
+    return np.minimum(out, np.minimum(n_one, n_two))
+
+
+def alike(words: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """How many last letters each string and the one after it, as numbers, have in common."""
+    return common([w[1:] for w in words], n[1:], [w[:-1] for w in words], n[:-1])
+
+
+def keys(words: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """Strings as bytes that are in their order, for searches in sorted ones."""
+    table = np.empty((len(n), 8 * len(words) + 2), np.uint8)
+    for i, w in enumerate(words):
+        table[:, 8 * i : 8 * i + 8] = (w.view(np.uint64) ^ _TURN).astype(">u8").view(np.uint8).reshape(-1, 8)
+    table[:, -2:] = n.astype(">u2").view(np.uint8).reshape(-1, 2)
+    return table.view(f"S{table.shape[1]}").ravel()
+
+
+def endings(words: list[np.ndarray], k: np.ndarray) -> list[np.ndarray]:
+    """The last k letters of each string, as numbers; k one for each."""
+    out = []
+    for i, w in enumerate(words):
+        mask = MASKS[np.clip(k - LETTERS * i, 0, LETTERS)]
+        w = w.view(np.uint64)
+        out.append(((w & mask) | (_TURN & ~mask)).view(np.int64))
+    return out
 
 
 def _masked(words: list[np.ndarray], n: np.ndarray, rows: np.ndarray) -> list[pa.Array]:
@@ -160,7 +192,7 @@ def strings(sequences: DataFrame, s: int, forward_only: bool = False, whole: boo
     A, C, G, T of sequences (seq), or, nearer to the run's beginning, the shorter one from there; on both strands unless
     forward_only. whole: those of s letters only."""
     carried = [c for c in ("tin",) if c in sequences.columns]
-    cut = pieces(sequences.select(*carried, "seq"), "seq", s - 1, 0 if forward_only else s - 1)
+    cut = pieces(sequences.select(*carried, "seq", *cut_columns(sequences)), "seq", s - 1, 0 if forward_only else s - 1)
     names = [*columns(s), "n", *carried]
 
     def run(batches):
@@ -186,18 +218,19 @@ def strings(sequences: DataFrame, s: int, forward_only: bool = False, whole: boo
 def asked_windows(queries: DataFrame, k: int) -> DataFrame:
     """(query_rank, piece, start, end, w0, ...) of each window of k letters of queries (query_rank, seq); neighbouring
     windows with other characters are one row, without numbers."""
-    cut = pieces(queries.select(F.col("query_rank").cast("long").alias("query_rank"), "seq"), "seq", 0, k - 1)
+    cut = pieces(queries.select(F.col("query_rank").cast("long").alias("query_rank"), "seq", *cut_columns(queries)), "seq", 0, k - 1)
     names = ["query_rank", "piece", "start", "end", *columns(k)]
 
     def run(batches):
         for batch in batches:
-            rank, offset = (batch.column(batch.schema.get_field_index(c)) for c in ("query_rank", "offset"))
-            first = offset.to_numpy().astype(np.int64)
+            rank, offset, lead, own = (batch.column(batch.schema.get_field_index(c)) for c in ("query_rank", "offset", "lead", "own"))
+            first, lead, own = (x.to_numpy().astype(np.int64) for x in (offset, lead, own))
             for rows, codes, off in _chunks(batch, "seq"):
                 row = np.repeat(np.arange(rows.start, rows.stop), np.diff(off))
                 place = np.arange(len(codes)) - np.repeat(off[:-1], np.diff(off)) - (k - 1)
                 words, n = ending(codes, off, k)
-                there = np.flatnonzero(place >= 0)
+                there = np.flatnonzero((place >= 0) & (place >= lead[row]) & (place < lead[row] + own[row]))
+                place -= lead[row]
                 known = n[there] >= k
                 # a row begins at each known window, and where others follow a known one or begin a piece
                 new = known.copy()
@@ -212,3 +245,23 @@ def asked_windows(queries: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rank.take(pa.array(row[took])), pa.array(first[row[took]] // PIECE), pa.array(start), pa.array(start + size), *numbers], names=names)
 
     return cut.mapInArrow(run, ", ".join(["query_rank long", "piece long", "start long", "end long", *(f"{c} long" for c in columns(k))]))
+
+
+def asked_ends(queries: DataFrame, s: int) -> DataFrame:
+    """(query_rank, pos, w0, ..., n) of each letter of queries (query_rank, seq): the string of up to s letters that ends
+    there; n is 0 at other characters than A, C, G, T."""
+    cut = pieces(queries.select(F.col("query_rank").cast("long").alias("query_rank"), "seq", *cut_columns(queries)), "seq", s - 1, 0)
+    names = ["query_rank", "pos", *columns(s), "n"]
+
+    def run(batches):
+        for batch in batches:
+            rank, offset, lead, own = (batch.column(batch.schema.get_field_index(c)) for c in ("query_rank", "offset", "lead", "own"))
+            first, lead, own = (x.to_numpy().astype(np.int64) for x in (offset, lead, own))
+            for rows, codes, off in _chunks(batch, "seq"):
+                row = np.repeat(np.arange(rows.start, rows.stop), np.diff(off))
+                place = np.arange(len(codes)) - np.repeat(off[:-1], np.diff(off)) - lead[row]
+                words, n = ending(codes, off, s)
+                took = np.flatnonzero((place >= 0) & (place < own[row]))
+                yield pa.RecordBatch.from_arrays([rank.take(pa.array(row[took])), pa.array(first[row[took]] + place[took]), *_masked(words, n, took), pa.array(n[took].astype(np.int32))], names=names)
+
+    return cut.mapInArrow(run, ", ".join(["query_rank long", "pos long", *(f"{c} long" for c in columns(s)), "n int"]))

@@ -52,21 +52,42 @@ def sparse(values: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+class Minima:
+    """The least of any stretch of numbers, many stretches at once. Within a block minima run from its beginning and from
+    its end; a sparse table holds the blocks' own, so all take some three times the numbers."""
+
+    def __init__(self, values: np.ndarray):
+        blocks = max(-(-len(values) // BLOCK), 1)
+        self.values = np.full(blocks * BLOCK, np.iinfo(np.int32).max, np.int32)
+        self.values[: len(values)] = values
+        grid = self.values.reshape(blocks, BLOCK)
+        self.before = np.minimum.accumulate(grid, axis=1).ravel()
+        self.after = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+        self.table = np.stack(sparse(grid.min(axis=1)))
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The least of the values from place a up to place b, both included."""
+        x, y = a // BLOCK, b // BLOCK
+        best = np.minimum(self.after[a], self.before[b])
+        near = np.flatnonzero(x == y)
+        best[near] = self.values[a[near]]
+        for step in range(1, BLOCK if len(near) else 0):
+            best[near] = np.minimum(best[near], self.values[np.minimum(a[near] + step, b[near])])
+        far = np.flatnonzero(y - x > 1)
+        first, last = x[far] + 1, y[far] - 1
+        level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+        best[far] = np.minimum(best[far], np.minimum(self.table[level, first], self.table[level, last - (1 << level) + 1]))
+        return best
+
+
 class Ancestors:
-    """The ancestor of many pairs of places at once. Within a block of places minima run from its beginning and from its
-    end; a sparse table holds the blocks' own, so the tree takes some ten numbers for each node, however deep it is."""
+    """The ancestor of many pairs of places at once, however deep the tree is."""
 
     def __init__(self, tree: LabelTree):
         rank, self.parent = ranks(tree)
         self.id = np.empty(len(rank), np.int32)
         self.id[np.asarray(tree.tin)] = np.arange(len(rank), dtype=np.int32)
-        blocks = -(-len(rank) // BLOCK)
-        self.rank = np.full(blocks * BLOCK, len(rank), np.int32)
-        self.rank[: len(rank)] = rank
-        grid = self.rank.reshape(blocks, BLOCK)
-        self.before = np.minimum.accumulate(grid, axis=1).ravel()
-        self.after = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        self.table = np.stack(sparse(grid.min(axis=1)))
+        self.shallowest = Minima(rank)
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Ids of the ancestors of the places lo <= hi."""
@@ -75,18 +96,7 @@ class Ancestors:
         lo, hi = lo.astype(np.int64), hi.astype(np.int64)
         out = self.id[lo].copy()
         part = np.flatnonzero(lo < hi)
-        a, b = lo[part] + 1, hi[part]
-        x, y = a // BLOCK, b // BLOCK
-        best = np.minimum(self.after[a], self.before[b])
-        near = np.flatnonzero(x == y)
-        best[near] = self.rank[a[near]]
-        for step in range(1, BLOCK):
-            best[near] = np.minimum(best[near], self.rank[np.minimum(a[near] + step, b[near])])
-        far = np.flatnonzero(y - x > 1)
-        first, last = x[far] + 1, y[far] - 1
-        level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
-        best[far] = np.minimum(best[far], np.minimum(self.table[level, first], self.table[level, last - (1 << level) + 1]))
-        out[part] = self.parent[best]
+        out[part] = self.parent[self.shallowest.of(lo[part] + 1, hi[part])]
         return out
 
 

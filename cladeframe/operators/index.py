@@ -24,11 +24,13 @@ PAGE_ROWS, GROUP_BYTES = 4096, 16 << 20
 
 @dataclass(frozen=True)
 class Parts:
-    """The parts of a saved index in order: their numbers, least and greatest w0 (a row for each file of the index)."""
+    """The parts of a saved index in order: their numbers, least and greatest w0, and the first string of each, as bytes
+    (a row for each file of the index)."""
 
     numbers: np.ndarray
     least: np.ndarray
     greatest: np.ndarray
+    first: np.ndarray
 
 
 @dataclass(frozen=True)
@@ -129,7 +131,10 @@ class Index:
         options = {"parquet.block.size": GROUP_BYTES, "parquet.page.row.count.limit": PAGE_ROWS}
         self.sorted(parts).write.options(**options).partitionBy("part").parquet(f"{path}/positions")
         held = spark.read.parquet(f"{path}/positions") if not self.positions.isEmpty() else None
-        bounds = held.groupBy("part").agg(F.min("w0").alias("least"), F.max("w0").alias("greatest")) if held is not None else spark.createDataFrame([], "part int, least long, greatest long")
+        keys = [*packed.columns(self.s), "n"]
+        if held is None:
+            held = self.positions.withColumn("part", F.lit(0))
+        bounds = held.groupBy("part").agg(F.min("w0").alias("least"), F.max("w0").alias("greatest"), F.min(F.struct(*keys)).alias("first")).select("part", "least", "greatest", "first.*")
         bounds.coalesce(1).write.parquet(f"{path}/parts")
         self.labels.nodes(spark).coalesce(1).write.parquet(f"{path}/nodes")
         spark.createDataFrame([(json.dumps({"version": VERSION, "s": self.s}),)], "value string").coalesce(1).write.text(f"{path}/meta")
@@ -144,18 +149,20 @@ def load(spark: SparkSession, path: str) -> Index:
     parts = spark.read.parquet(f"{path}/parts").orderBy("part").toArrow()  # a row for each file
     schema = ", ".join([*(f"{c} long" for c in packed.columns(meta["s"])), "n int, lo int, hi int, part int"])
     held = spark.read.schema(schema).parquet(f"{path}/positions")
-    return Index(held, labels, meta["s"], Parts(*(parts[c].to_numpy() for c in ("part", "least", "greatest"))))
+    first = packed.keys([parts[c].to_numpy() for c in packed.columns(meta["s"])], parts["n"].to_numpy())
+    return Index(held, labels, meta["s"], Parts(*(parts[c].to_numpy() for c in ("part", "least", "greatest")), first))
 
 
 def universe(sequences: DataFrame, s: int, forward_only: bool = False) -> DataFrame:
     """(w0, ..., n): the distinct positions of sequences (seq), without labels."""
-    return packed.strings(sequences.select("seq"), kmers.check_k(s), forward_only).distinct()
+    return packed.strings(sequences.select("seq", *packed.cut_columns(sequences)), kmers.check_k(s), forward_only).distinct()
 
 
 def build(sequences: DataFrame, labels: LabelTree, s: int, forward_only: bool = False, within: DataFrame | None = None, none_to_root: bool = False) -> Index:
-    """The index of sequences (label id, seq). within: a universe that replaces the sequences' own positions."""
+    """The index of sequences (label id, seq), which may be pieces (readers.read_pieces with s - 1 letters on both sides).
+    within: a universe that replaces the sequences' own positions."""
     keys = [*packed.columns(kmers.check_k(s)), "n"]
-    known = tree.with_tin(sequences.select("label", "seq"), labels)
+    known = tree.with_tin(sequences.select("label", "seq", *packed.cut_columns(sequences)), labels)
     spans = packed.strings(known, s, forward_only).groupBy(*keys).agg(*tree.span(F.col("tin")))
     if within is not None:
         spans = within.select(*keys).join(spans, keys, "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,31 +27,35 @@ def run_lengths(df: DataFrame, keys: list[str], order: str, value: str, length:
     return flagged.groupBy(*keys, "__run").agg(F.min(order).alias("start"), end.alias("end"), F.first(value).alias(value)).drop("__run")
 
 
-def labelled_windows(queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+def labelled_windows(queries: DataFrame, labels: DataFrame, k: int, seen: Observation | None = None) -> DataFrame:
     """(query_rank, piece, start, end, label) of the windows of queries (query_rank, seq); neighbouring windows with
     other characters than A, C, G, T are one row. labels: (w0, ..., label) or (kmer, label) with each string once."""
     if "kmer" in labels.columns:
         labels = labels.select(*(c.alias(name) for name, c in packed.pack(F.col("kmer"), k).items()), "label")
     names = packed.columns(k)
-    return packed.asked_windows(queries, k).join(labels, names, "left").drop(*names)
+    asked = packed.asked_windows(queries, k)
+    if seen is not None:
+        asked = asked.observe(seen, F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("n_kmers"))
+    return asked.join(labels, names, "left").drop(*names)
 
 
-def annotate(queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+def annotate(queries: DataFrame, labels: DataFrame, k: int, seen: Observation | None = None) -> DataFrame:
     """(query_rank, from_kmer, to_kmer, label) of queries (query_rank, seq), misses (label null) included.
 
     Runs are found within the pieces of a sequence first, then across pieces, so that a chromosome is not one task.
     """
-    found = labelled_windows(queries.select("query_rank", "seq"), labels, k)
+    found = labelled_windows(queries.select("query_rank", "seq", *packed.cut_columns(queries)), labels, k, seen)
     first = run_lengths(found, ["query_rank", "piece"], "start", "label", "end")
     whole = run_lengths(first.drop("piece"), ["query_rank"], "start", "label", "end")
     return whole.select("query_rank", F.col("start").alias("from_kmer"), F.col("end").alias("to_kmer"), "label")
 
 
-def lookup(queries: DataFrame, index: Index, k: int | None = None, misses: bool = False, labels: DataFrame | None = None) -> DataFrame:
+def lookup(queries: DataFrame, index: Index, k: int | None = None, misses: bool = False, labels: DataFrame | None = None, seen: Observation | None = None) -> DataFrame:
     """(query_rank, query_name, from_kmer, to_kmer, label, label_name) of queries (query_rank, query_name, seq).
 
     labels: the index's packed_labels(k), if many lookups share them. Without, the index is read for the queries' own
-    strings if these are few, so nothing else of it is moved.
+    strings if these are few, so nothing else of it is moved. seen: tells n_kmers, the windows looked up, once the result
+    has been read, without a scan of its own. Queries may be pieces (readers.read_pieces with k - 1 letters after).
     """
     k = kmers.check_k(k or index.s, index.s)
     if labels is None:
@@ -59,16 +63,20 @@ def lookup(queries: DataFrame, index: Index, k: int | None = None, misses: bool
         if counted(queries, k).first()["n_kmers"] <= ASKED:
             asked = packed.asked_windows(queries, k).where("w0 is not null").select(*packed.columns(k)).distinct()
         labels = index.packed_labels(k, asked)
-    runs = annotate(queries, labels, k)
+    runs = annotate(queries, labels, k, seen)
     if not misses:
         runs = runs.where("label is not null")
     runs = tree.with_name(runs, index.labels)
-    return runs.join(queries.select("query_rank", "query_name"), "query_rank").select("query_rank", "query_name", "from_kmer", "to_kmer", "label", "label_name")
+    names = queries.select("query_rank", "query_name")
+    if packed.cut_columns(queries):
+        names = queries.where("offset = 0").select("query_rank", "query_name")
+    return runs.join(names, "query_rank").select("query_rank", "query_name", "from_kmer", "to_kmer", "label", "label_name")
 
 
 def counted(queries: DataFrame, k: int, seconds: float | None = None) -> DataFrame:
     """One row: n_queries, n_kmers (windows looked up) of queries (seq), and nanoseconds for each if a time is given."""
-    windows = F.sum(F.greatest(F.length("seq") - (kmers.check_k(k) - 1), F.lit(0))).cast("long")
+    whole = F.greatest(F.length("seq") - (kmers.check_k(k) - 1), F.lit(0))
+    windows = F.sum(F.least(whole, F.col("own")) if packed.cut_columns(queries) else whole).cast("long")
     row = queries.agg(F.count("*").alias("n_queries"), F.coalesce(windows, F.lit(0)).alias("n_kmers"))
     return row if seconds is None else row.withColumn("ns_per_kmer", F.when(F.col("n_kmers") > 0, seconds * 1e9 / F.col("n_kmers")))
 

@@ -2,36 +2,54 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import packed
 from ..operators.hierarchy import LabelTree, parse_edges
 
 
 #: Endings of file names that tell FASTQ and FASTA; files with others are told by their first letter.
 FASTQ, FASTA = (".fastq", ".fq"), (".fasta", ".fa", ".fna", ".ffn", ".fas")
+#: Splits of files whose table is sent to every executor at most.
+BROADCAST_BLOCKS = 1_000_000
 
 
-def _is_fastq(spark: SparkSession, path: str) -> bool:
-    name = path.lower().removesuffix(".gz")
-    if name.endswith(FASTQ) or name.endswith(FASTA):
-        return name.endswith(FASTQ)
-    first = spark.read.text(path).first()
-    return first is not None and first["value"].startswith("@")
+def _fastq(spark: SparkSession, paths: list[str]) -> dict[str, bool]:
+    """Which of the paths hold FASTQ; one scan reads the first letters of all whose names do not tell."""
+    ends = {p: p.lower().removesuffix(".gz") for p in paths}
+    kinds = {p: e.endswith(FASTQ) for p, e in ends.items() if e.endswith(FASTQ) or e.endswith(FASTA)}
+    if rest := [p for p in paths if p not in kinds]:
+        tops = {p: _plain(_qualified(spark, p)) for p in rest}
+        place = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("file"), F.col("_metadata.file_block_start").alias("block")
+        heads = spark.read.text(rest).select(*place, "value").where("block = 0 and value <> ''").groupBy("file").agg(F.first("value").alias("head"))
+        marks = heads.where(F.col("head").startswith("@")).select("file").collect()  # a row for each file without a known ending
+        # of a folder, all files must be of one kind
+        kinds |= {p: any(r["file"] == top or r["file"].startswith(top.rstrip("/") + "/") for r in marks) for p, top in tops.items()}
+    return kinds
 
 
-def _placed(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """rows (file, block, at, ...) with rank, the number of a row in its file from 0; at rises within a block.
+def _plain(uri: str) -> str:
+    return re.sub("^file:/+", "file:/", uri)
 
-    Blocks are the splits of the files; only their counts are gathered and summed up, the rows stay where they are.
+
+def _placed(spark: SparkSession, rows: DataFrame, sums: tuple[str, ...] = ()) -> DataFrame:
+    """rows (file, block, at, ...) with rank, the number of a row in its file from 0; at rises within a block. sums: for
+    each of these columns, before_<column>, the sum over all earlier blocks of the file.
+
+    Blocks are the splits of the files; only their counts are gathered and summed up, the rows stay where they are. The
+    blocks' table is counted, and joined by a shuffle where it is large.
     """
-    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), *(F.sum(c).alias(f"n_{c}") for c in sums)).persist()
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(F.broadcast(blocks), ["file", "block"]).withColumn("rank", F.col("base") + F.col("at") - F.col("first")).drop("base", "first", "block", "at")
+    told = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), *(F.coalesce(F.sum(f"n_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in sums))
+    told = F.broadcast(told) if blocks.count() <= BROADCAST_BLOCKS else told
+    placed = rows.join(told, ["file", "block"]).withColumn("rank", F.col("base") + F.col("at") - F.col("first"))
+    return placed.drop("base", "first") if sums else placed.drop("base", "first", "block", "at")
 
 
 def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -41,7 +59,7 @@ def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     header up to white space. Files are split: a row holds one record (2 GB at most), whatever the size of its file.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    kinds = {p: _is_fastq(spark, p) for p in paths}
+    kinds = _fastq(spark, paths)
     place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     empty = spark.createDataFrame([], "file string, seq_rank long, name string, seq string")
     out = []
@@ -58,6 +76,38 @@ def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, out, empty) if len(out) != 1 else out[0]
 
 
+def read_pieces(spark: SparkSession, paths: str | list[str], before: int, after: int, size: int = packed.PIECE) -> DataFrame:
+    """(file, seq_rank, name, offset, seq, lead, own) of FASTA files, a row for each piece of size letters of a record, as
+    packed.pieces() cuts them: own letters from offset on, with at least before letters ahead of them (lead) and after
+    behind, as far as the record has them. No record is ever one row: chromosomes of any length may be read.
+
+    Lines are rows. Their record, and where in it they begin, are running counts: of the splits first, whose sums are
+    small, then within each split. Lines that a piece needs meet in it, so a line is moved once, or twice at a seam.
+    """
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    lines = spark.read.text(paths).select(*place, F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\s+$", "").alias("line")).where("line <> ''")
+    head = F.col("line").startswith(">")
+    lines = lines.withColumns({"heads": head.cast("long"), "letters": F.when(head, 0).otherwise(F.length("line")).cast("long")})
+    within = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    lines = _placed(spark, lines, ("heads", "letters"))
+    lines = lines.withColumn("seq_rank", F.col("before_heads") + F.sum("heads").over(within) - 1).withColumn("end", F.col("before_letters") + F.sum("letters").over(within))
+    # a record begins where the letters ahead of its header end
+    heads = lines.where("heads = 1").select("file", "seq_rank", F.regexp_extract("line", r"^>(\S*)", 1).alias("name"), F.col("end").alias("begin"))
+    body = lines.where("heads = 0 and seq_rank >= 0").select("file", "seq_rank", "line", "letters", "end").join(heads, ["file", "seq_rank"])
+    start, stop = F.col("end") - F.col("letters") - F.col("begin"), F.col("end") - F.col("begin")
+    first, last = F.greatest(F.floor((start - after) / size), F.lit(0)), F.floor((stop - 1 + before) / size)
+    each = body.select("file", "seq_rank", "name", start.alias("start"), "line", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("piece"))
+    # a long line gives each piece the letters that it needs of it
+    low, high = F.greatest(F.col("piece") * size - before, F.lit(0)), (F.col("piece") + 1) * size + after
+    skip = F.greatest(low - F.col("start"), F.lit(0))
+    part = F.substring("line", (skip + 1).cast("int"), (high - F.greatest("start", low)).cast("int"))
+    met = each.select("file", "seq_rank", "name", "piece", (F.col("start") + skip).alias("start"), part.alias("part")).where("part <> ''")
+    met = met.groupBy("file", "seq_rank", "name", "piece").agg(F.array_sort(F.collect_list(F.struct("start", "part"))).alias("parts"))
+    joined = met.select("file", "seq_rank", "name", (F.col("piece") * size).alias("offset"), F.col("parts")[0]["start"].alias("from"), F.array_join("parts.part", "").alias("seq"))
+    sized = joined.withColumn("lead", (F.col("offset") - F.col("from")).cast("int")).withColumn("own", F.least(F.lit(size), F.length("seq") - F.col("lead")).cast("int"))
+    return sized.where("own > 0").select("file", "seq_rank", "name", "offset", "seq", "lead", "own")
+
+
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """(query_rank, query_name, seq) of one file."""
     return read_sequences(spark, path).select(F.col("seq_rank").alias("query_rank"), F.col("name").alias("query_name"), "seq")
@@ -117,27 +167,27 @@ def read_renames(spark: SparkSession, path: str) -> dict[str, str]:
 
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
-    """(query, start, end, label) of tab-separated lines, gzipped or not: the label is the last column, numbers that
-    cannot be read are 0, lines without a tab and headers of annotation files are skipped."""
+    """(query, start, end, label) of tab-separated lines, gzipped or not: the label is the last column without blanks
+    around it, numbers that cannot be read are 0, lines without a tab or with an empty label are skipped."""
     cols = F.split("value", "\t")
     rows = spark.read.text(path).where(F.col("value").contains("\t")).select(cols.alias("c"))
     number = lambda i: F.coalesce(F.get("c", F.lit(i)).try_cast("long"), F.lit(0).cast("long"))
-    return rows.select(F.get("c", F.lit(0)).alias("query"), number(1).alias("start"), number(2).alias("end"), F.element_at("c", -1).alias("label"))
+    return rows.select(F.get("c", F.lit(0)).alias("query"), number(1).alias("start"), number(2).alias("end"), F.regexp_replace(F.element_at("c", -1), r"^\s+|\s+$", "").alias("label")).where("label <> ''")
 
 
 def hits_to_runs(lines: DataFrame) -> DataFrame:
     """(query, start, end, taxid) of another classifier's lines (value): status, query, taxid, length, hits `taxid:count`.
 
-    Unclassified lines and lines of fewer than five columns give nothing; a run starts where the counts before it end.
+    Unclassified lines and lines of fewer than five columns give nothing; a run starts where the counts before it end,
+    which is a running sum over each line's hits.
     """
     c = F.split("value", "\t", 5)
     rows = lines.select(c.alias("c")).where((F.size("c") == 5) & (F.get("c", F.lit(0)) != "U"))
     hits = F.filter(F.split(F.trim(F.get("c", F.lit(4))), r"\s+"), lambda x: x.contains(":") & (x != "|:|"))
-    counts = F.transform(hits, lambda x: F.coalesce(F.split(x, ":", 2)[1].try_cast("long"), F.lit(0).cast("long")))
-    rows = rows.select(F.get("c", F.lit(1)).alias("query"), hits.alias("hits"), counts.alias("counts"))
-    each = rows.select("query", "counts", F.posexplode("hits").alias("i", "hit"))
-    total = lambda n: F.aggregate(F.slice("counts", F.lit(1), n), F.lit(0).cast("long"), lambda x, y: x + y)
-    return each.select("query", total(F.col("i")).alias("start"), total(F.col("i") + 1).alias("end"), F.split("hit", ":", 2)[0].alias("taxid"))
+    each = rows.select(F.get("c", F.lit(1)).alias("query"), hits.alias("hits"), F.monotonically_increasing_id().alias("line")).select("query", "line", F.posexplode("hits").alias("i", "hit"))
+    each = each.select("query", "line", "i", F.split("hit", ":", 2)[0].alias("taxid"), F.coalesce(F.split("hit", ":", 2)[1].try_cast("long"), F.lit(0).cast("long")).alias("count"))
+    end = F.sum("count").over(Window.partitionBy("line").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    return each.withColumn("end", end).select("query", (F.col("end") - F.col("count")).alias("start"), "end", "taxid")
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def lines(df: DataFrame, header: bool = True) -> Iterable[str]:
@@ -17,17 +19,43 @@ def lines(df: DataFrame, header: bool = True) -> Iterable[str]:
 
 
 def write(df: DataFrame, path: str | None = None, header: bool = True) -> None:
-    """To a local file, or to standard output."""
+    """To a file, whose lines all tasks write, or to standard output."""
     if path is None:
-        _put(sys.stdout, df, header)
+        for line in lines(df, header):
+            sys.stdout.write(line + "\n")
     else:
-        with open(path, "w", encoding="utf-8") as f:
-            _put(f, df, header)
-
-
-def _put(f, df: DataFrame, header: bool) -> None:
-    for line in lines(df, header):
-        f.write(line + "\n")
+        write_ordered(df, path, header)
+
+
+def write_ordered(df: DataFrame, path: str, header: bool = True) -> None:
+    """The rows of a sorted result as tab-separated lines of one file, in their order.
+
+    Tasks write the ranges that the sort deals out to numbered files beside the target; when all are there, these are put
+    together, byte by byte, and the file appears under its name at once. A failed write leaves nothing under that name.
+    """
+    spark = df.sparkSession
+    beside = f"{path}.parts-{uuid.uuid4().hex}"
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    df.select(F.concat_ws("\t", *cells).alias("value")).write.text(beside)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop
+    folder, target, whole = (hadoop.fs.Path(x) for x in (beside, path, f"{beside}/whole"))
+    fs = folder.getFileSystem(conf)
+    names = sorted(x.getPath().getName() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-"))
+    out = fs.create(whole, True)
+    try:
+        if header:
+            out.write(bytearray(("\t".join(df.columns) + "\n").encode()))
+        for name in names:
+            part = fs.open(hadoop.fs.Path(folder, name))
+            hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+    finally:
+        out.close()
+    fs.delete(target, False)
+    if not fs.rename(whole, target):
+        raise OSError(f"cannot write {path}")
+    fs.delete(folder, True)
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True, files: int | None = None) -> None:
