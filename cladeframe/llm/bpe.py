@@ -28,7 +28,7 @@ from . import bytewise as B
 from .common import prepare
 
 #: Pieces and pairs that are remembered; beyond it the memory starts anew, so it stays bounded.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Code points from which a text's pieces are worked on in groups.
 LONG = 1 << 20
 
