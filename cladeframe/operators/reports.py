@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 NOVEL = "novel"
 
@@ -57,8 +58,8 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def shares(stats: DataFrame, key: str = "k", value: str = "count") -> DataFrame:
     """stats with total and percent of each row among those of its key; percent of an empty total is null."""
-    total = stats.groupBy(key).agg(F.sum(value).cast("long").alias("total"))
-    return stats.join(total, key).withColumn("percent", F.when(F.col("total") > 0, 100.0 * F.col(value) / F.col("total")))
+    total = F.sum(value).over(Window.partitionBy(key)).cast("long")
+    return stats.withColumn("total", total).withColumn("percent", F.when(F.col("total") > 0, 100.0 * F.col(value) / F.col("total")))
 
 
 def short_query(name: Column) -> Column:

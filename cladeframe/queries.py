@@ -8,17 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import kmers, tree
+from .functions import kmers, sqlfunctions, tree
 from .operators import index as ix
 from .operators import lookup as lk
-from .operators import reports, stats
+from .operators import matching, reports, stats
 from .operators.hierarchy import LabelTree
 from .plans.session import scratch
 from .sources import readers, writers
 from .sources.readers import hits_to_runs
+from .streaming.lookup import follow
 
 LANGS = LabelTree.from_edges(["de", "en", "es", "fr"], [("de", "germanic"), ("en", "germanic"), ("es", "romance"), ("fr", "romance"), ("germanic", "root"), ("romance", "root")])
 K, S = 8, 8
@@ -320,8 +321,11 @@ def saved_universe(spark, d):
 def intervals_read(spark, d):
     """Annotation runs written as tab-separated lines and read as intervals."""
     path = scratch(spark, "runs")
-    writers.write_tsv(lk.render(lk.lookup(questions(spark, d), build(spark, d), K, misses=True), query_names=True), path)
-    return readers.read_intervals(spark, path).where("query <> 'query_name'")
+    runs = lk.render(lk.lookup(questions(spark, d), build(spark, d), K, misses=True), query_names=True)
+    # labels with blanks around them, and lines without one beside each run of a language
+    blank = F.when(F.col("label_name").isin(*LANGS.names[:4]), F.array(F.concat(F.lit(" "), "label_name", F.lit("  ")), F.lit(" "))).otherwise(F.array("label_name"))
+    lines = runs.withColumn("label_name", F.explode(blank)).select(F.concat_ws("\t", "query_name", "from_kmer", "to_kmer", "label_name"))
+    return readers.read_intervals(spark, _lines(lines, path))
 
 
 def matrix_read(spark, d):
@@ -343,11 +347,12 @@ def hierarchy_read(spark, d):
 
 
 def taxonomy_export(spark, d):
-    """The tree of nations as the two tables of a taxonomy: ids from 1 at the root."""
+    """The tree of nations written as the two tables of a taxonomy, ids from 1 at the root, and read again."""
     names, nodes = nations(spark, d).taxonomy()
-    lines = spark.createDataFrame(list(zip(names, nodes, strict=True)), "a string, b string")
-    a, b = F.split("a", r"\t\|\t"), F.split("b", r"\t\|\t")
-    return lines.select(b[0].cast("long").alias("taxid"), b[1].cast("long").alias("parent_taxid"), a[1].alias("name"), F.regexp_replace(b[2], r"\t\|$", "").alias("rank"))
+    paths = [_lines(spark.createDataFrame([("\n".join(x),)], "value string").coalesce(1), scratch(spark, "taxonomy")) for x in (names, nodes)]
+    c = F.split("value", r"\t\|\t?")
+    rows = spark.read.text(paths[1]).select(c[0].alias("taxid"), c[1].cast("long").alias("parent_taxid"), c[2].alias("rank"))
+    return rows.join(readers.read_names(spark, paths[0]), "taxid").select(F.col("taxid").cast("long").alias("taxid"), "parent_taxid", "name", "rank")
 
 
 def labels_translated(spark, d):
@@ -359,27 +364,77 @@ def labels_translated(spark, d):
 
 def queries_ordered(spark, d):
     """The queries' places when some go first in a given order."""
-    from pyspark.sql.window import Window
-
-    first = ["item7", "item3", "item9"]
-    place = F.array_position(F.array(*map(F.lit, first)), F.col("query_name"))
-    shown = reports.display_order(questions(spark, d).select("query_name"), "query_name", first)
-    return shown.select("query_name", F.row_number().over(Window.orderBy(F.when(place > 0, place).otherwise(len(first) + 1), "query_name")).cast("long").alias("place"))  # a report's rows
+    shown = reports.display_order(questions(spark, d).select("query_name"), "query_name", ["item7", "item3", "item9"])
+    return shown.coalesce(1).select("query_name", (F.monotonically_increasing_id() + 1).alias("place"))  # a report's rows
 
 
 def bench_logs(spark, d):
-    """Run logs made of the regions' keys, read and summed up: seconds, memory, speedup against one thread."""
-    r = _table(spark, d, "region").select((F.col("r_regionkey").cast("int") + 1).alias("t"))
+    """Run logs of the line items, one for each return flag and line number, told by their names: seconds, memory, speedup
+    against one thread."""
+    n = F.col("n")
+    rows = _table(spark, d, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.count("*").alias("n"))
+    wall = F.format_string("%d:%02d:%02d.50", F.floor(n / 3600), F.floor(n / 60) % 60, n % 60)
+    text = F.concat_ws("\n", F.lit("k-mers"), F.format_string("%d.25 ns/bp", n), F.concat(F.lit("Elapsed (wall clock) time (h:mm:ss or m:ss): "), wall), F.format_string("Maximum resident set size (kbytes): %d", n * 512))
     top = scratch(spark, "logs")
-    for row in r.collect():  # a log for each region
-        t = row["t"]
-        text = f"k-mers\n{400.0 / t} ns/bp\nElapsed (wall clock) time (h:mm:ss or m:ss): {t}:0{t}.50\nMaximum resident set size (kbytes): {t * 524288}"
-        _lines(spark.createDataFrame([(text,)], "value string").coalesce(1), f"{top}/log{t}")
-    logs = [readers.read_bench_logs(spark, f"{top}/log{row['t']}").drop("name", "threads").withColumns({"name": F.lit("run"), "threads": F.lit(row["t"])}) for row in r.collect()]
-    every = logs[0]
-    for log in logs[1:]:
-        every = every.unionByName(log)
-    return reports.bench_summary(every)
+    rows.select(F.format_string("%s-t%d", "l_returnflag", F.col("l_linenumber").cast("int")).alias("log"), text.alias("value")).coalesce(1).write.partitionBy("log").text(top)
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = Path(top).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for log in fs.globStatus(Path(f"{top}/log=*/part-*")):  # a file for each log takes its name
+        fs.rename(log.getPath(), Path(f"{top}/{log.getPath().getParent().getName().removeprefix('log=')}.log"))
+    return reports.bench_summary(readers.read_bench_logs(spark, f"{top}/*.log"))
+
+
+# matches, pieces, streams, SQL
+
+
+def longest_matches(spark, d):
+    """The longest indexed string that ends at each letter of the items."""
+    return matching.longest(questions(spark, d).select("query_rank", "seq"), build(spark, d, 10))
+
+
+def index_of_pieces(spark, d):
+    """Documents written as FASTA in lines, of which no record is ever one row again."""
+    rows = labelled(spark, d).where("length(seq) > 0").select(F.col("label").cast("string").alias("name"), "seq")
+    cut = readers.read_pieces(spark, _fasta(rows, scratch(spark, "records")), S - 1, S - 1)
+    return ix.build(cut.select(F.col("name").cast("int").alias("label"), "seq", "offset", "lead", "own"), LANGS, S).position_labels()
+
+
+def lookup_written(spark, d):
+    """Runs written in order, by all tasks, to one file, and read again."""
+    path = f"{scratch(spark, 'written')}.tsv"
+    writers.write(lk.render(lk.lookup(questions(spark, d), build(spark, d), K, misses=True)), path, header=False)
+    return spark.read.csv(path, sep="\t", schema="query_rank long, from_kmer long, to_kmer long, label_name string")
+
+
+def lookup_observed(spark, d):
+    """The windows that a lookup saw, told by its own run."""
+    seen = Observation("windows")
+    lk.lookup(questions(spark, d), build(spark, d), K, seen=seen).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["n_kmers"],)], "n_kmers long")
+
+
+def stream_runs(spark, d):
+    """Items that arrive in thirds, one in a batch, looked up while their runs stay open."""
+    top, n = scratch(spark, "stream"), F.length("seq")
+    third = F.ceil(n / 3).cast("int")
+    for no in range(3):
+        part = F.substring("seq", no * third + 1, third)
+        questions(spark, d).select(F.col("query_name").alias("query"), F.lit(no).cast("long").alias("no"), part.alias("seq"), F.lit(no == 2).alias("last")).coalesce(1).write.mode("append").json(f"{top}/in")
+    stream = spark.readStream.schema("query string, no long, seq string, last boolean").option("maxFilesPerTrigger", 1).json(f"{top}/in")
+    follow(stream, build(spark, d), lambda df, number: df.write.mode("overwrite").parquet(f"{top}/out/batch={number}"), f"{top}/state", K, misses=True).awaitTermination()
+    return spark.read.parquet(f"{top}/out").select("query", "from_kmer", "to_kmer", "label", "label_name")
+
+
+def kmer_windows_sql(spark, d):
+    sqlfunctions.register(spark)
+    return spark.sql(f"SELECT query_rank, w.kmer, CAST(w.pos AS BIGINT) AS pos FROM {{items}}, LATERAL kmer_windows(seq, {K}) w", items=questions(spark, d))
+
+
+def set_lca_sql(spark, d):
+    """Where the suppliers of each part are at home, in SQL."""
+    sqlfunctions.register_tree(spark, "nations", nations(spark, d))
+    home = "nations_name(nations_lca(min(nations_place(s_nationkey)), max(nations_place(s_nationkey))))"
+    return spark.sql(f"SELECT l_partkey, {home} AS label_name FROM {{line}} JOIN {{supplier}} ON l_suppkey = s_suppkey GROUP BY l_partkey", line=_table(spark, d, "lineitem"), supplier=_table(spark, d, "supplier"))
 
 
 # the reference's own lengths
@@ -405,6 +460,7 @@ def lookup_k31(spark, d):
 
 
 FUNCTIONS = (
+    longest_matches, index_of_pieces, lookup_written, lookup_observed, stream_runs, kmer_windows_sql, set_lca_sql,
     fasta_records, fastq_records, label_by_file, lookup_saved_index, saved_universe, intervals_read, matrix_read, hierarchy_read, taxonomy_export, labels_translated, queries_ordered, bench_logs, index_k31, rollup_s31_to_k15, lookup_k31,
     revcomp, acgt_runs, kmer_windows, kmer_pieces, kmer_distinct, index_build_k, index_positions, rollup_s_to_k, lookup_runs, lookup_runs_with_misses, lookup_rolled_up, lookup_forward_only, lookup_star,
     lookup_with_breaks, lookup_debug, lookup_rendered, lookup_hits_semi, lookup_misses_anti, node_stats, node_stats_pct, label_histogram, index_sizes, lookup_counts, matrix_merged, label_run_stats, none_to_root, universe_left_join, rename_labels,
@@ -535,7 +591,16 @@ def oracle_sql() -> dict[str, str]:
         "taxonomy_export": f"{tree_sql}, {taxa} SELECT a.taxid, b.taxid AS parent_taxid, a.name, CASE a.depth WHEN 0 THEN 'no rank' ELSE 'clade' END AS rank FROM tax a JOIN tax b ON b.id = a.parent",
         "labels_translated": _lookup(K, select="SELECT query_name, from_kmer, coalesce(name, 'novel') AS label FROM runs LEFT JOIN names ON id = label"),
         "queries_ordered": f"WITH {ITEMS} SELECT query_name, row_number() OVER (ORDER BY CASE query_name WHEN 'item7' THEN 1 WHEN 'item3' THEN 2 WHEN 'item9' THEN 3 ELSE 4 END, query_name) AS place FROM items",
-        "bench_logs": "WITH t AS (SELECT CAST(r_regionkey AS INTEGER) + 1 AS t FROM region) SELECT 'run' AS name, t AS threads, 400.0::DOUBLE / t AS ns_per_bp, 60.0::DOUBLE * t + t + 0.5 AS wall_s, t * 0.5::DOUBLE AS rss_gib, 400.0::DOUBLE / (400.0::DOUBLE / t) AS speedup FROM t",
+        "bench_logs": "WITH t AS (SELECT l_returnflag AS name, CAST(l_linenumber AS INTEGER) AS threads, count(*) AS n FROM lineitem GROUP BY ALL), o AS (SELECT name, n FROM t WHERE threads = 1) SELECT t.name, threads, t.n + 0.25::DOUBLE AS ns_per_bp, t.n + 0.5::DOUBLE AS wall_s, t.n / 2048.0::DOUBLE AS rss_gib, (o.n + 0.25::DOUBLE) / (t.n + 0.25::DOUBLE) AS speedup FROM t LEFT JOIN o USING (name)",
+        "longest_matches": f"{_node_stats(10)}, {ITEMS}, e AS (SELECT query_rank, seq, unnest(range(1, length(seq) + 1)) AS e FROM items), m AS (SELECT query_rank, seq, e, unnest(range(0, least(e, 10) + 1)) AS m FROM e), "
+        "f AS (SELECT query_rank, e, m, label FROM m LEFT JOIN lab ON kmer = substr(seq, CAST(e - m + 1 AS INTEGER), CAST(m AS INTEGER)) WHERE m = 0 OR kmer IS NOT NULL) "
+        "SELECT query_rank, e - 1 AS pos, CAST(max(m) AS INTEGER) AS length, CAST(arg_max(label, m) FILTER (m > 0) AS INTEGER) AS label FROM f GROUP BY query_rank, e",
+        "index_of_pieces": f"WITH {_positions(S)} SELECT mer, CAST(label AS INTEGER) AS label FROM lab",
+        "lookup_written": _lookup(K, select="SELECT query_rank, from_kmer, to_kmer, coalesce(name, 'none') AS label_name FROM runs LEFT JOIN names ON id = label"),
+        "lookup_observed": f"WITH {ITEMS} SELECT CAST(coalesce(sum(greatest(length(seq) - {K - 1}, 0)), 0) AS BIGINT) AS n_kmers FROM items",
+        "stream_runs": _lookup(K, select="SELECT query_name AS query, from_kmer, to_kmer, label, name AS label_name FROM runs LEFT JOIN names ON id = label"),
+        "kmer_windows_sql": f"WITH {ITEMS} {_windows(K, 'items', 'query_rank')}",
+        "set_lca_sql": f"{tree_sql}, {home}, occ AS (SELECT DISTINCT l_partkey AS key, s_nationkey AS label FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), {_lab(key='key')}, {placed} SELECT key AS l_partkey, label_name FROM lab2",
         "index_k31": f"WITH {_tree(LANGS)}, {DOCS}, {_occ(31)}, {_lab()} SELECT kmer, CAST(label AS INTEGER) AS label FROM lab",
         "rollup_s31_to_k15": f"WITH {_tree(LANGS)}, {DOCS}, {_occ(15)}, {_lab()} SELECT kmer, CAST(label AS INTEGER) AS label FROM lab",
         "lookup_k31": f"WITH {_tree(LANGS)}, {DOCS}, {known31}, {_occ(31)}, {_lab()}, {_rle(31, items='asked')} {_named_runs()}",

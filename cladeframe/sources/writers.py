@@ -32,6 +32,7 @@ def write_ordered(df: DataFrame, path: str, header: bool = True) -> None:
 
     Tasks write the ranges that the sort deals out to numbered files beside the target; when all are there, these are put
     together, byte by byte, and the file appears under its name at once. A failed write leaves nothing under that name.
+    path is one of the file system that driver and executors share.
     """
     spark = df.sparkSession
     beside = f"{path}.parts-{uuid.uuid4().hex}"

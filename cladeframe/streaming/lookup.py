@@ -46,6 +46,7 @@ def follow(pieces: DataFrame, index: Index, sink: Callable[[DataFrame, int], Non
     What is kept of an open record are its last k - 1 letters, how many letters it had, and its last run. This state is a
     table in the checkpoint folder for each batch; a batch reads the one before it and writes its own, so one that is run
     again after a failure or a restart does the same again. sink should replace what it wrote for the same batch id.
+    Pieces without a query's name belong to no record and are left out; an empty piece, or a null one, adds no letters.
     """
     spark = pieces.sparkSession
     k = kmers.check_k(k or index.s, index.s)
@@ -54,7 +55,7 @@ def follow(pieces: DataFrame, index: Index, sink: Callable[[DataFrame, int], Non
 
     def batch(df: DataFrame, number: int) -> None:
         held = spark.read.schema(STATE).parquet(path("runs", number - 1)) if number else spark.createDataFrame([], STATE)
-        new = df.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("no", F.coalesce("seq", F.lit("")).alias("seq")))).alias("parts"), F.max(F.coalesce("last", F.lit(False))).alias("ended"))
+        new = df.where("query is not null").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("no", F.coalesce("seq", F.lit("")).alias("seq")))).alias("parts"), F.max(F.coalesce("last", F.lit(False))).alias("ended"))
         met = new.join(held, "query", "left").select(
             F.monotonically_increasing_id().alias("query_rank"), "query", F.concat(F.coalesce("tail", F.lit("")), F.array_join("parts.seq", "")).alias("seq"),
             (F.coalesce("next", F.lit(0)) - F.length(F.coalesce("tail", F.lit("")))).alias("offset"), "ended", "start", "end", "label",

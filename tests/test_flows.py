@@ -208,3 +208,39 @@ def test_runs_stay_open_across_batches(spark, tmp_path):
     runs = sorted(((names.index(r["query"]), r["from_kmer"], r["to_kmer"], r["label"]) for rows in got.values() for r in rows), key=str)
     assert runs == expected and failed and len(got) >= 5
     assert {r["label_name"] for rows in got.values() for r in rows} <= {"a", "b", "c", "root", None}
+
+
+def test_printed_statistics(spark, tmp_path, capsys):
+    """What stats, node-stats, print-hierarchy and lookup-debug print, letter by letter."""
+    (tmp_path / "a.fa").write_text(">x\nACA\n>y\nCAC\n")
+    (tmp_path / "tree").write_text("x all\ny all\n")
+    (tmp_path / "q.fa").write_text(">q\nACACA\n")
+    run = lambda *a: cli.main(list(map(str, a)), spark)
+    assert run("build", "-s", 2, "--label-by-seq", tmp_path / "a.fa", "--hierarchy", tmp_path / "tree", "--forward-only", "-o", tmp_path / "ix") == 0
+    capsys.readouterr()
+    printed = []
+    for command in (("stats", "-i"), ("node-stats", "--index"), ("node-stats", "--report-label-ids", "--index"), ("print-hierarchy", "-i"), ("lookup-debug", "-q", tmp_path / "q.fa", "-i")):
+        assert run(*command, tmp_path / "ix") == 0
+        printed.append(capsys.readouterr().out)
+    # the prefixes A (of x) and C (of y), and AC and CA of both; in order of their right ends: the empty one, A, CA, C, AC
+    assert printed == [
+        "s: 2\nstrings of s letters: 2\nlabelled positions: 4\nunlabelled positions: 1\nlabel runs: min 1, max 1, mean 1.00\n-\tnone\t1\n0\tx\t1\n1\ty\t1\n2\tall\t2\n",
+        "k\tlabel\tcount\n2\tx\t0\n2\ty\t0\n2\tall\t2\n1\tx\t0\n1\ty\t0\n1\tall\t2\n",
+        "k\tlabel\tcount\n2\t0\t0\n2\t1\t0\n2\t2\t2\n1\t0\t0\n1\t1\t0\n1\t2\t2\n",
+        "3\nx\ny\nall\n0 2\n1 2\n",
+        "seq_rank\tfrom_kmer\tto_kmer\tlabel\n0\t0\t4\t*\n",
+    ]
+
+
+@pytest.mark.parametrize("lines, said", [("a\n", "no parent"), ("a b\nb a\n", "edges"), ("a b\na c\n", "two parents"), ("a a\nb c\n", "its own parent"), ("x none\ny none\n", None)])
+def test_messages_about_trees(lines, said):
+    labels, edges = ["a"], None
+    try:
+        from cladeframe.operators.hierarchy import parse_edges
+
+        edges = parse_edges(lines.splitlines())
+        tree = LabelTree.from_edges(labels if said else ["x", "y"], edges)
+    except HierarchyError as error:
+        assert said and said in str(error)
+    else:
+        assert said is None and tree.names[tree.root] == "none"
