@@ -16,8 +16,9 @@ from ..plans.ship import ship
 from .hierarchy import LabelTree
 
 VERSION = 2
-#: Ranges of strings that are pushed down to the Parquet reader at most; the parts that are read are told for any number.
-PUSHED = 2048
+#: Ranges of strings that are pushed down to the Parquet reader at most (they are compiled into the filter, too); the
+#: parts that are read are told for any number.
+PUSHED = 128
 #: Rows of a page and bytes of a row group of a saved index: what a lookup skips by their least and greatest strings.
 PAGE_ROWS, GROUP_BYTES = 4096, 16 << 20
 
@@ -130,16 +131,18 @@ class Index:
         spark = self.positions.sparkSession
         options = {"parquet.block.size": GROUP_BYTES, "parquet.page.row.count.limit": PAGE_ROWS}
         self.sorted(parts).write.options(**options).partitionBy("part").parquet(f"{path}/positions")
-        held = spark.read.parquet(f"{path}/positions") if not self.positions.isEmpty() else None
         keys = [*packed.columns(self.s), "n"]
-        if held is None:
-            held = self.positions.withColumn("part", F.lit(0))
+        held = spark.read.schema(_schema(self.s)).parquet(f"{path}/positions")
         bounds = held.groupBy("part").agg(F.min("w0").alias("least"), F.max("w0").alias("greatest"), F.min(F.struct(*keys)).alias("first")).select("part", "least", "greatest", "first.*")
         bounds.coalesce(1).write.parquet(f"{path}/parts")
         self.labels.nodes(spark).coalesce(1).write.parquet(f"{path}/nodes")
         spark.createDataFrame([(json.dumps({"version": VERSION, "s": self.s}),)], "value string").coalesce(1).write.text(f"{path}/meta")
 
 
+def _schema(s: int) -> str:
+    return ", ".join([*(f"{c} long" for c in packed.columns(s)), "n int, lo int, hi int, part int"])
+
+
 def load(spark: SparkSession, path: str) -> Index:
     meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
     if meta.get("version") != VERSION:
@@ -147,8 +150,7 @@ def load(spark: SparkSession, path: str) -> Index:
     nodes = spark.read.parquet(f"{path}/nodes").orderBy("id").toArrow()  # a row for each label
     labels = LabelTree(tuple(nodes["name"].to_pylist()), tuple(nodes["parent"].to_pylist()))
     parts = spark.read.parquet(f"{path}/parts").orderBy("part").toArrow()  # a row for each file
-    schema = ", ".join([*(f"{c} long" for c in packed.columns(meta["s"])), "n int, lo int, hi int, part int"])
-    held = spark.read.schema(schema).parquet(f"{path}/positions")
+    held = spark.read.schema(_schema(meta["s"])).parquet(f"{path}/positions")
     first = packed.keys([parts[c].to_numpy() for c in packed.columns(meta["s"])], parts["n"].to_numpy())
     return Index(held, labels, meta["s"], Parts(*(parts[c].to_numpy() for c in ("part", "least", "greatest")), first))
 
