@@ -27,8 +27,10 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from . import bytewise as B
 from .common import prepare
 
-#: Pieces and pairs that are remembered; beyond it the memory starts anew, so it stays bounded.
+#: Pairs that are remembered; beyond it the memory starts anew, so it stays bounded.
 REMEMBERED = 150_000
+#: Pieces that are remembered as new ones; beyond it they become the old ones, which those that come again leave.
+YOUNG = 120_000
 #: Code points from which a text's pieces are worked on in groups.
 LONG = 1 << 20
 
@@ -40,15 +42,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Told(dict):
-    """Decimal ids (commas between) and what they decode to, of each piece."""
+    """Decimal ids (commas between) and what they decode to, of each piece. Frequent pieces stay when others go."""
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.old = codec, {}
+
+    def age(self) -> None:
+        """What is held becomes old; what was old and has not come again goes."""
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> tuple[str, bytes]:
-        ids = self.codec.piece(piece, remember=False)
-        out = ",".join(map(str, ids)), self.codec.decode(ids)
+        if (out := self.old.get(piece)) is None:
+            ids = self.codec.piece(piece, remember=False)
+            out = ",".join(map(str, ids)), self.codec.decode(ids)
         if len(piece) <= 64:
             self[piece] = out
         return out
@@ -172,8 +180,8 @@ class Codec:
         n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
         for group in self.groups(text or ""):
             if group:
-                if len(self.told) >= REMEMBERED:
-                    self.told.clear()
+                if len(self.told) >= YOUNG:
+                    self.told.age()
                 told = [*map(self.told.__getitem__, group)]
                 ids = ",".join([x[0] for x in told])
                 ids_hash.update(("," * (n > 0) + ids).encode())
