@@ -2,10 +2,14 @@
 
 The notices of a file are its lines and paragraphs (blocks of lines without a blank one between them) that hold one of
 the words TELLING, which every template has, and the runs of neighbouring such paragraphs, however frequent they are.
-Each is compared with all templates by the cosine of sparse TF-IDF vectors, whose document frequencies come from all
-files; the best one of LEAST or more is the file's own licence (of equal ones the first in the text). Where licences of one family differ by their version,
-the number that the notice gives decides; one that no template has is taken as it is. The margin is the distance to the
-best template of another licence. A file named like LICENSE or COPYING gives its licence to its directory. A file
+Each is compared with all templates (headings of licence texts, whole short licences, notices, identifiers) by the cosine
+of sparse TF-IDF vectors, whose document frequencies come from all files; the holder and years of a copyright line are
+set aside. The best one of LEAST or more is the file's own licence (of equal ones the first in the text). What licences
+that read alike differ by decides between them: the number that a notice gives, if the family has such a version (else
+it is <family>-unknown), clauses that are there or not, and the identifier behind an SPDX mark (unknown, if it is none
+of IDENTIFIERS; expressions stay expressions). Rights that are reserved right behind the name of a holder, as many
+licences open, count only where no other licence is found. The margin is the distance to the best template of
+another licence. A file named like LICENSE or COPYING gives its licence to its directory. A file
 without a licence of its own has that of the nearest directory above it (its own included) which has one; of several in
 one directory the most similar counts, then the smallest path.
 
@@ -63,6 +67,20 @@ GNU_LINE = "This work is licensed under the GNU {0} General Public License, vers
 GNU_KINDS = (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser", "2.1"), ("LGPL-3.0", "Lesser", "3"), ("AGPL-3.0", "Affero", "3"))
 APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
 CC = "This work is licensed under a Creative Commons {0} 4.0 International License."
+BSD_4 = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4." + BSD_3[2:]
+GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+NO_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+VERBATIM = " Copyright. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+HEADINGS = (
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"), ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"), ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"), ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"), ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+)
+VERSIONS = {
+    "GPL": ("1.0", "2.0", "3.0"), "LGPL": ("2.0", "2.1", "3.0"), "GFDL": ("1.1", "1.2", "1.3"), "AGPL": ("1.0", "3.0"), "Apache": ("1.0", "1.1", "2.0"), "MPL": ("1.0", "1.1", "2.0"), "EPL": ("1.0", "2.0"), "BSL": ("1.0",), "CC0": ("1.0",),
+    **{f"CC-{kind}": ("1.0", "2.0", "2.5", "3.0", "4.0") for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+}
+IDENTIFIERS = ("MIT", "MIT-0", "0BSD", "ISC", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "Zlib", "Unlicense", *(f"{family}-{v}" for family, versions in VERSIONS.items() for v in versions))
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License. See the LICENSE file in the project root for license information."),
@@ -91,12 +109,49 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", CC.format("Attribution-NonCommercial")),
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
     ("proprietary", "All rights reserved."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-ND-4.0", CC.format("Attribution-NoDerivatives")),
+    ("CC-BY-NC-SA-4.0", CC.format("Attribution-NonCommercial-ShareAlike")),
+    ("CC-BY-NC-ND-4.0", CC.format("Attribution-NonCommercial-NoDerivatives")),
+    ("GFDL-1.3", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation"),
+    ("MIT-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. " + AS_IS),
+    ("0BSD", GRANT + "."),
+    ("0BSD", GRANT + ". " + NO_WARRANTY),
+    ("BSD-4-Clause", BSD + BSD_4 + BSD_AS_IS),
+    *HEADINGS,
+    *((name, text + VERBATIM) for name, text in HEADINGS),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    *((name, f"SPDX-License-Identifier: {name}") for name in (*IDENTIFIERS, "unknown")),
 )
+#: Templates that count only for texts with an SPDX mark.
+MARKED = range(len(TEMPLATES) - len(IDENTIFIERS) - 1, len(TEMPLATES))
+KNOWN = {x.lower(): x for x in IDENTIFIERS}
 WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 #: A licence's family and version, by its name; the version that a text gives.
 VERSIONED = re.compile(r"^(.*)-(\d+\.\d+)$")
-VERSION = re.compile(r"(?:\bv(?:ersion)?\.?|license,?|licence,?|\bcc0|\bby(?:-[a-z]+)*|international|attribution(?:-[a-z]+)*)\s*(\d+(?:\.\d+)?)")
+VERSION = re.compile(r"(?:\bv(?:ersion)?\.?|license,?|licence,?|\bcc0|\bby(?:-[a-z]+)*|international|attribution(?:-[a-z]+)*)\s*(\d{1,2}(?:\.\d+)?)(?!\d)")
+#: The expression behind an SPDX mark.
+SPDX = re.compile(r"(?i)spdx-license-identifier:[ \t]*\(?((?:[a-z0-9.+-]+)(?:[ \t]+(?:or|and|with)[ \t]+[a-z0-9.+-]+)*)")
+ONLY = re.compile(r"(?i)(-only|-or-later|\+)$")
+#: Holder and years of a copyright line (with the word itself, where all rights are reserved behind it); one that names anybody.
+HOLDER = re.compile(r"(?i)\bcopyright\b(?:[ \t]*(?:\(c\)|\u00a9))?[ \t]*\d{4}[^\n]*?(?:(?=(\ball rights reserved))|\n|$)")
+HELD = re.compile(r"(?i)copyright\W+\w")
+#: Licences that read alike: names; words that tell that it is one of them; what tells each from those behind it.
+CLAUSES = (
+    (("BSD-4-Clause", "BSD-3-Clause", "BSD-2-Clause"), "redistributions in binary form", (("BSD-4-Clause", "all advertising materials"), ("BSD-3-Clause", "neither the name"), ("BSD-2-Clause", ""))),
+    (("ISC", "0BSD"), "permission to use copy modify", (("ISC", "provided that the above copyright notice"), ("0BSD", ""))),
+    (("MIT", "MIT-0"), "to deal in the software", (("MIT", "following conditions"), ("MIT", "shall be included"), ("MIT-0", ""))),
+)
 
 
 def words_of(text: str) -> list[str]:
@@ -136,11 +191,38 @@ def _frequencies(files: DataFrame) -> tuple[int, np.ndarray]:
     return int(out[-1]), out[:-1]
 
 
+def _identifier(expression: str) -> str:
+    """An SPDX expression with names as here: only and later versions are not told apart."""
+    parts = expression.split()  # at odd places are or, and, with; behind with stands an exception
+    return " ".join(p.upper() if i % 2 else p if i and parts[i - 1].lower() == "with" else KNOWN.get(ONLY.sub("", p.lower()), "unknown") for i, p in enumerate(parts))
+
+
+def compared(text: str) -> str:
+    """What of text is compared: copyright lines without holder and years, the first name only behind an SPDX mark,
+    or `unknown`."""
+    text = HOLDER.sub(lambda m: "" if m[1] else "copyright ", text)
+    return SPDX.sub(lambda m: "SPDX-License-Identifier: " + _identifier(m[1].split()[0]), text)
+
+
 def told_version(name: str, text: str) -> str:
-    """name with the version that text gives for its family, if the family has versions and the text gives just one."""
+    """name as the text itself settles it: by the one SPDX expression that it has, by the clauses that licences which
+    read alike differ by, and by the one version that it gives, if name's family has versions."""
+    if told := {_identifier(x) for x in SPDX.findall(text)}:
+        return told.pop() if len(told) == 1 else name
+    for names, common, marks in CLAUSES:
+        if name in names and common in (said := " ".join(words_of(text))):
+            return next(n for n, mark in marks if mark in said)
     m = VERSIONED.match(name)
     given = {v if "." in v else f"{v}.0" for v in VERSION.findall(text.lower())}
-    return f"{m[1]}-{given.pop()}" if m and len(given) == 1 else name
+    if not m or len(given) != 1:
+        return name
+    version = given.pop()
+    return f"{m[1]}-{version if version in VERSIONS[m[1]] else 'unknown'}"
+
+
+def reserved_by_holder(text: str) -> bool:
+    """Whether all rights are reserved in or right behind a copyright line that names a holder."""
+    return any(HELD.search("\n".join(text[max(0, m.start() - 300) : m.start()].split("\n")[-2:])) for m in re.finditer("(?i)all rights reserved", text))
 
 
 class Matcher:
@@ -165,13 +247,15 @@ class Matcher:
         return self.short(text) if len(text) <= SHORT else self._best(text)
 
     def _best(self, text: str) -> tuple[float, str | None, float]:
-        v = self.vector(Counter(words_of(text)))
+        v = self.vector(Counter(words_of(compared(text))))
         norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         dots = [0.0] * len(self.names)
         for w, x in v.items():
             for i, y in self.having.get(w, ()):
                 dots[i] += x * y
         found = [round(d / (norm * n), 9) for d, n in zip(dots, self.norms, strict=True)]  # equal ones are equal however summed up
+        if not SPDX.search(text):
+            found[MARKED.start :] = [0.0] * len(MARKED)
         first = max(range(len(found)), key=lambda i: (found[i], -i))
         name = told_version(self.names[first], text)
         return found[first], name, max((x for x, other in zip(found, self.names, strict=True) if other not in (name, self.names[first])), default=0.0)
@@ -223,10 +307,16 @@ def own_licences(files: DataFrame) -> DataFrame:
             ids, paths = B.column(batch, "doc_id"), B.column(batch, "path")
             for lo, hi, buf, off in B.chunks(B.column(batch, "text")):
                 best: list[tuple[float, str | None, float]] = [(0.0, None, 0.0)] * (hi - lo)
+                other = list(best)  # without reserved rights
                 for doc, start, end in notices(buf, off, hashes):
                     found = match.best(bytes(buf[start:end]).decode())
                     if found[0] >= LEAST and found[0] > best[doc][0]:
                         best[doc] = found
+                    if found[0] >= LEAST and found[0] > other[doc][0] and found[1] != "proprietary":
+                        other[doc] = found
+                for i, x in enumerate(other):
+                    if x[1] and best[i][1] == "proprietary" and reserved_by_holder(bytes(buf[off[i] : off[i + 1]]).decode()):
+                        best[i] = x
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo), paths.slice(lo, hi - lo), pa.array([b[1] for b in best], pa.string()), *(pa.array([round(x, 6) if b[1] else None for b, x in zip(best, xs, strict=True)], pa.float64()) for xs in ([b[0] for b in best], [b[0] - b[2] for b in best]))], schema=schema
                 )
@@ -266,3 +356,11 @@ def as_files(docs: DataFrame) -> DataFrame:
     name = F.when(opening.rlike(r"licen[cs]ed?\b") & (F.length(opening) <= 200), F.concat(F.lit("LICENSE-"), "doc_id")).otherwise(F.concat(F.lit("doc-"), "doc_id"))
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("cast(doc_id div 10000 as string)"), F.expr("cast(doc_id div 100 as string)"), name)
     return docs.select("doc_id", path.alias("path"), "text")
+
+
+def as_pages(pages: DataFrame) -> DataFrame:
+    """Web pages (page_id, url, html) as files: the path is host and path of the address, without a query; the text is
+    what stands between tags, each tag a line's end. So a host's licence page answers for the pages below its directory."""
+    plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", "\n"), r"<[^>]*>", "\n")
+    path = F.nullif(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)", 1), F.lit(""))
+    return pages.select(F.col("page_id").alias("doc_id"), path.alias("path"), plain.alias("text"))
