@@ -73,8 +73,12 @@ def window_digest(low: bytes, words: B.Words, start: int, size: int) -> bytes:
     return hashlib.blake2b(b" ".join([low[words.start[j] : words.end[j]] for j in range(start, start + size)]), digest_size=16).digest()
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(print, d1, d2, size, items): the distinct windows of the items, with their fingerprint, digest and ids."""
+def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(print, d1, d2, size, k1, k2, n), the distinct windows of the items, with their fingerprint, digest and kind: that
+    of the set of the n items which have it, by 128 bits; and (k1, k2, n, item_id), the items of each kind.
+
+    No list of items is ever one row: a window that all items have is as many rows here, and its kind is a sum.
+    """
     schema = pa.schema([("item_id", pa.string()), ("print", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("size", pa.int32())])
 
     def run(batches):
@@ -95,8 +99,12 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                 )
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null")
-    each = items.mapInArrow(run, "item_id string, print long, d1 long, d2 long, size int")
-    return each.groupBy("print", "d1", "d2", "size").agg(F.collect_set("item_id").alias("items")).checkpoint()
+    each = items.mapInArrow(run, "item_id string, print long, d1 long, d2 long, size int").distinct().checkpoint()
+    kind = [F.bit_xor(F.xxhash64(F.lit(salt), "item_id")).alias(f"k{salt}") for salt in (1, 2)]
+    known = each.groupBy("print", "d1", "d2", "size").agg(*kind, F.count("*").alias("n")).checkpoint()
+    # one window stands for all of its kind
+    one = known.groupBy("k1", "k2", "n").agg(F.min(F.struct("print", "d1", "d2", "size")).alias("w")).select("k1", "k2", "n", "w.*")
+    return known, one.join(each, ["print", "d1", "d2", "size"]).select("k1", "k2", "n", "item_id")
 
 
 def _prints(known: DataFrame) -> dict[int, np.ndarray]:
@@ -216,16 +224,30 @@ def member(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text), n_words, hit_start, hit_end, items of each row of docs."""
+def _met(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of docs (doc_id, digest of the text, n_words, windows with the fingerprint of one of the benchmark's);
+    the windows (doc_id, digest, start, size, k1, k2, n) that are the benchmark's; the items of each kind of windows."""
     prepare(docs.sparkSession)
-    known = benchmark_windows(benchmark)
+    known, kinds = benchmark_windows(benchmark)
+    prints, windows = known.agg(F.count_distinct("size", "print"), F.count("*")).first()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
-    told = (_scan(docs, _prints(known)) if known.select("size", "print").distinct().count() <= SENT else _joined(docs, known)).checkpoint()
+    told = (_scan(docs, _prints(known)) if prints <= SENT else _joined(docs, known)).checkpoint()
     each = told.where("size(windows) > 0").select("doc_id", "digest", F.explode("windows").alias("w")).select("doc_id", "digest", "w.*").distinct()
-    windows = known.select("d1", "d2", "size", "items")
-    met = each.join(F.broadcast(windows) if known.count() <= SENT_WINDOWS else windows, ["d1", "d2", "size"])
-    own = met.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "size")).alias("windows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    known = known.drop("print")
+    return told, each.join(F.broadcast(known) if windows <= SENT_WINDOWS else known, ["d1", "d2", "size"]), kinds
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, digest (of the text), n_words, hit_start, hit_end, items of each row of docs.
+
+    A document's kinds of windows are made distinct before their items are looked up, and its items before they are
+    listed, so that a passage which many items share costs each document its items once.
+    """
+    told, met, kinds = _met(docs, benchmark)
+    items = met.select("doc_id", "digest", "k1", "k2", "n").distinct().join(kinds, ["k1", "k2", "n"]).select("doc_id", "digest", "item_id").distinct()
+    both = met.select("doc_id", "digest", F.struct("start", "size").alias("window"), F.lit(None).cast("string").alias("item_id"))
+    both = both.unionByName(items.withColumn("window", F.lit(None).cast("struct<start:int,size:int>")))
+    own = both.groupBy("doc_id", "digest").agg(F.collect_list("window").alias("windows"), F.array_sort(F.collect_list("item_id")).alias("items"))
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("hit_start", pa.list_(pa.int64())), ("hit_end", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches):
@@ -253,7 +275,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that hold no window of an item; each row by its own text."""
-    bad = _hits(docs, benchmark).where("size(hit_start) > 0").select("doc_id", "digest").distinct().checkpoint()
+    bad = _met(docs, benchmark)[1].select("doc_id", "digest").distinct().checkpoint()
     bad = F.broadcast(bad) if bad.count() <= SENT_ROWS else bad
     digest = free(docs.columns, "__digest")
     told = docs.withColumn(digest, F.xxhash64("text")).alias("a")
