@@ -3,6 +3,11 @@
 language: texts in no learned language go. near_copies: one document (the smallest id) of each group of similar ones
 stays. repeats: repeated lines and sentences are cut, texts of which nothing is left go. benchmark: documents that
 hold a window of a benchmark item go. tokens: the rest is encoded and decoded.
+
+Texts that are null or have no letter go with the first stage. Rows without an id stay in near_copies, equal ones too,
+as no smallest id can stand for them; rows that share an id are told apart by their texts. Items without an id or
+words match nothing. Empty tables give no rows. Other columns of documents stay as they are until the last stage,
+whatever their names.
 """
 
 from __future__ import annotations
