@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 LONGEST = 256
 #: Windows that one piece of a sequence yields: every window copies its piece once, so pieces are short.
 PIECE = 256
-# Printable ASCII characters and white space that are no A, C, G, T, in either case.
-OTHERS = "0123456789BDEFHIJKLMNOPQRSUVWXYZbdefhijklmnopqrsuvwxyz \t\n\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def check_k(k: int, s: int | None = None) -> int:
@@ -27,8 +25,8 @@ def upper(seq: Column) -> Column:
 
 def bases(text: Column) -> Column:
     """The letters A, C, G and T of a text, in upper case, without what stands between."""
-    # translate drops most of what is to go, and leaves the pattern little to do
-    return F.regexp_replace(F.translate(text, "acgt" + OTHERS, "ACGT"), "[^ACGT]+", "")
+    # the pattern goes over all letters at once; translate() would look up each, which takes twice as long
+    return F.upper(F.regexp_replace(text, "[^ACGTacgt]+", ""))
 
 
 def revcomp(seq: Column) -> Column:

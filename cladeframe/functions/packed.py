@@ -11,7 +11,7 @@ Spark's.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,10 @@ LETTERS = 32
 #: Letters of the pieces that sequences are dealt out by, and letters that a task works on at once.
 PIECE, CHUNK = 1 << 15, 1 << 18
 LOW = -(1 << 63)
+#: Letters up to which a string, its length and a place below 2^PLACE_BITS are one number; rows that a task merges at once.
+SHORT, PLACE_BITS, MERGED = 14, 30, 1 << 21
+#: What paired() adds to the length of a string whose ending it turned round.
+TURNED = 1 << 16
 
 CODES = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
@@ -187,10 +191,10 @@ def _masked(words: list[np.ndarray], n: np.ndarray, rows: np.ndarray) -> list[pa
     return out
 
 
-def strings(sequences: DataFrame, s: int, forward_only: bool = False, whole: bool = False) -> DataFrame:
+def strings(sequences: DataFrame, s: int, forward_only: bool = False, whole: bool = False, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = "") -> DataFrame:
     """(w0, ..., n, and tin if sequences have it): the string of s letters that ends at each letter of the runs of
     A, C, G, T of sequences (seq), or, nearer to the run's beginning, the shorter one from there; on both strands unless
-    forward_only. whole: those of s letters only."""
+    forward_only. whole: those of s letters only. then: what a task makes of its batches, by schema, before they leave it."""
     carried = [c for c in ("tin",) if c in sequences.columns]
     cut = pieces(sequences.select(*carried, "seq", *cut_columns(sequences)), "seq", s - 1, 0 if forward_only else s - 1)
     names = [*columns(s), "n", *carried]
@@ -212,12 +216,157 @@ def strings(sequences: DataFrame, s: int, forward_only: bool = False, whole: boo
                     more = [tin.take(pa.array(row[took]))] if carried else []
                     yield pa.RecordBatch.from_arrays([*_masked(words, n, took), pa.array(n[took].astype(np.int32)), *more], names=names)
 
+    if then is not None:
+        return cut.mapInArrow(lambda batches: then(run(batches)), schema)
     return cut.mapInArrow(run, ", ".join([*(f"{c} long" for c in columns(s)), "n int", *(f"{c} int" for c in carried)]))
 
 
-def asked_windows(queries: DataFrame, k: int) -> DataFrame:
+def spans(sequences: DataFrame, s: int, forward_only: bool = False, whole: bool = False) -> DataFrame:
+    """strings() of sequences (tin, seq) with the least and greatest tin (lo, hi) of each. Strings of up to SHORT letters
+    recur so often that a task merges its own before they leave it, in a table of MERGED rows."""
+    if s > SHORT:
+        return strings(sequences, s, forward_only, whole).withColumns({"lo": F.col("tin"), "hi": F.col("tin")}).drop("tin")
+    low, at = np.uint64((1 << PLACE_BITS) - 1), np.uint64(PLACE_BITS)
+    names = ["w0", "n", "lo", "hi"]
+
+    def rows(held):
+        """Batches of the strings of sorted keys."""
+        key = held >> at
+        first = np.flatnonzero(np.append(len(key) > 0, key[1:] != key[:-1]))
+        last = np.append(first[1:], len(key))[: len(first)] - 1
+        for i in range(0, len(first), CHUNK):
+            a, b = held[first[i : i + CHUNK]], held[last[i : i + CHUNK]]
+            w = (a & MASKS[SHORT]) ^ _TURN
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in ((a >> at) & np.uint64(15), a & low, b & low))], names=names)
+
+    def ends(held):
+        """The keys of the least and greatest place of each string, sorted."""
+        held = np.sort(held)
+        key = held >> at
+        other = key[1:] != key[:-1]
+        return held[np.append(True, other) | np.append(other, True)] if len(held) else held
+
+    def merged(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.column(2).null_count:  # of a label that is not in the tree
+                bare = batch.filter(batch.column(2).is_null())
+                yield pa.RecordBatch.from_arrays([bare.column(0), bare.column(1), bare.column(2), bare.column(2)], names=names)
+                batch = batch.filter(batch.column(2).is_valid())
+            w, n, tin = (batch.column(i).to_numpy() for i in range(3))
+            held.append(ends((w.view(np.uint64) ^ _TURN) | (n.astype(np.uint64) << at) | tin.astype(np.uint64)))
+            size += len(held[-1])
+            if size > MERGED:
+                held = [ends(np.concatenate(held))]
+                size = len(held[0])
+                if size > MERGED // 2:
+                    yield from rows(held[0])
+                    held, size = [], 0
+        if held:
+            yield from rows(ends(np.concatenate(held)))
+
+    return strings(sequences, s, forward_only, whole, merged, "w0 long, n int, lo int, hi int")
+
+
+def _plain(arrays: list[pa.Array]) -> list[np.ndarray]:
+    return [a.to_numpy().view(np.uint64) ^ _TURN for a in arrays]
+
+
+def _signed(words: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array((w ^ _TURN).view(np.int64)) for w in words]
+
+
+def opposite(words: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The reverse complements of strings of k letters, as numbers whose highest bit is not turned."""
+    out = []
+    for w in words[::-1]:
+        w = (~w).byteswap()
+        for by, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333)):
+            w = ((w >> np.uint64(by)) & np.uint64(mask)) | ((w & np.uint64(mask)) << np.uint64(by))
+        out.append(w)
+    if by := 2 * (LETTERS * len(words) - k):
+        after = [*out[1:], np.zeros_like(out[0])]
+        out = [(w << np.uint64(by)) | (x >> np.uint64(64 - by)) for w, x in zip(out, after, strict=True)]
+    return out
+
+
+def _lesser(words: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Where other comes before words."""
+    less, same = np.zeros(len(words[0]), bool), np.ones(len(words[0]), bool)
+    for a, b in zip(words, other, strict=True):
+        less |= same & (b < a)
+        same &= a == b
+    return less
+
+
+def _ending(words: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The last k letters of strings that have so many."""
+    out = words[: len(columns(k))]
+    return [*out[:-1], out[-1] & MASKS[k - LETTERS * (len(out) - 1)]]
+
+
+def _pair(words: list[np.ndarray], k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Strings whose last k letters are replaced by their reverse complement where that comes first, and where it does."""
+    end = _ending(words, k)
+    back = opposite(end, k)
+    turned = _lesser(end, back)
+    new = [np.where(turned, b | (w ^ e), w) for w, e, b in zip(words, end, back, strict=False)]
+    return [*new, *words[len(end) :]], turned
+
+
+def paired(sequences: DataFrame, s: int, k: int) -> DataFrame:
+    """(w0, ..., n, tin): the strings() of one strand of sequences (tin, seq) that have k letters, for an index of both
+    strands: their last k letters are the lesser of themselves and their reverse complement. n has TURNED where they are
+    the latter, so different strings stay different. A string and its reverse complement have the same labels on both
+    strands together, so one of them stands for both (both() gives the other)."""
+    names = columns(s)
+
+    def turned_round(batches):
+        for batch in batches:
+            kept = batch.filter(pa.array(batch.column(len(names)).to_numpy() >= k))
+            words, turned = _pair(_plain(kept.columns[: len(names)]), k)
+            n = kept.column(len(names)).to_numpy() + np.where(turned, TURNED, 0).astype(np.int32)
+            tin = kept.column(len(names) + 1)
+            yield pa.RecordBatch.from_arrays([*_signed(words), pa.array(n.astype(np.int32)), tin], names=[*names, "n", "tin"])
+
+    return strings(sequences, s, True, s == k, turned_round, ", ".join([*(f"{c} long" for c in names), "n int, tin int"]))
+
+
+_FOUR = np.frombuffer("".join("ACGT"[b >> 6] + "ACGT"[b >> 4 & 3] + "ACGT"[b >> 2 & 3] + "ACGT"[b & 3] for b in range(256)).encode(), np.uint32)
+
+
+def _text(words: list[np.ndarray], k: int) -> pa.Array:
+    """Strings of k letters, of numbers that have their first letter in the highest bits."""
+    table = np.stack(words, axis=1).astype(">u8").view(np.uint8)
+    letters = np.ascontiguousarray(_FOUR[table].view(np.uint8)[:, :k])
+    return pa.StringArray.from_buffers(len(table), pa.py_buffer(np.arange(len(table) + 1, dtype=np.int32) * np.int32(k)), pa.py_buffer(letters))
+
+
+def both(labels: DataFrame, k: int, text: bool = False) -> DataFrame:
+    """(w0, ..., label) with a row for each string of k letters and one for its reverse complement, if that is another;
+    text: (kmer, label)."""
+    names = columns(k)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = _plain(batch.columns[:-1])
+            back = opposite(words, k)
+            two = np.flatnonzero(np.logical_or.reduce([a != b for a, b in zip(words, back, strict=True)]))
+            label = pa.concat_arrays([batch.column(len(names)), batch.column(len(names)).take(pa.array(two))])
+            if text:  # what follows the last letter of a reverse complement is not printed
+                yield pa.RecordBatch.from_arrays([_text([np.concatenate([~b, ~w[two]]) for w, b in zip(words, back, strict=True)], k), label], names=["kmer", "label"])
+            else:
+                yield pa.RecordBatch.from_arrays([*_signed([np.concatenate([w, b[two]]) for w, b in zip(words, back, strict=True)]), label], names=[*names, "label"])
+
+    return labels.select(*names, "label").mapInArrow(run, "kmer string, label int" if text else ", ".join([*(f"{c} long" for c in names), "label int"]))
+
+
+def asked_windows(queries: DataFrame, k: int, pairs: bool = False) -> DataFrame:
     """(query_rank, piece, start, end, w0, ...) of each window of k letters of queries (query_rank, seq); neighbouring
-    windows with other characters are one row, without numbers."""
+    windows with other characters are one row, without numbers. pairs: the numbers are those of the lesser of the window
+    and its reverse complement."""
     cut = pieces(queries.select(F.col("query_rank").cast("long").alias("query_rank"), "seq", *cut_columns(queries)), "seq", 0, k - 1)
     names = ["query_rank", "piece", "start", "end", *columns(k)]
 
@@ -241,7 +390,10 @@ def asked_windows(queries: DataFrame, k: int) -> DataFrame:
                 size = np.diff(np.append(head, len(there)))
                 took, known = there[head], known[head]
                 start = first[row[took]] + place[took]
-                numbers = [pa.array(x.to_numpy(), mask=~known) for x in _masked(words, n, took)]
+                numbers = _masked(words, n, took)
+                if pairs:
+                    numbers = _signed(_pair(_plain(numbers), k)[0])
+                numbers = [pa.array(x.to_numpy(), mask=~known) for x in numbers]
                 yield pa.RecordBatch.from_arrays([rank.take(pa.array(row[took])), pa.array(first[row[took]] // PIECE), pa.array(start), pa.array(start + size), *numbers], names=names)
 
     return cut.mapInArrow(run, ", ".join(["query_rank long", "piece long", "start long", "end long", *(f"{c} long" for c in columns(k))]))
