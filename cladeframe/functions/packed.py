@@ -15,8 +15,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.ship import ship
 
@@ -32,6 +34,7 @@ TURNED = 1 << 16
 CODES = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     CODES[_c] = CODES[_c + 32] = _i
+_UPPER = np.frombuffer(b"ACGT", np.uint8)
 #: The highest 2 * m bits.
 MASKS = np.array([0, *((1 << 64) - (1 << (64 - 2 * m)) for m in range(1, LETTERS + 1))], np.uint64)
 _TURN = np.uint64(1 << 63)
@@ -115,6 +118,30 @@ def _chunks(batch: pa.RecordBatch, seq: str) -> Iterator[tuple[slice, np.ndarray
         lo = hi
 
 
+def letters(df: DataFrame, text: str = "text", seq: str = "seq") -> DataFrame:
+    """df with seq in place of a text: its letters A, C, G and T in upper case, as kmers.bases() has them, taken out by
+    numpy in the tasks that read the rows, so that no more than these letters is dealt out. Null stays null."""
+    ship(df.sparkSession)
+    others = [c for c in df.columns if c != text]
+    schema = T.StructType([*(df.schema[c] for c in others), T.StructField(seq, T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column(batch.schema.get_field_index(text))
+            found, ends = [], [np.zeros(1, np.int64)]
+            for _, codes, off in _chunks(batch, text):
+                kept = np.flatnonzero(codes < 4)
+                ends.append(ends[-1][-1] + np.searchsorted(kept, off[1:]))
+                found.append(_UPPER[codes[kept]])
+            taken = np.concatenate(found) if found else np.zeros(0, np.uint8)
+            out = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.concatenate(ends).astype(np.int64)), pa.py_buffer(taken)).cast(pa.string())
+            if at.null_count:
+                out = pc.if_else(at.is_valid(), out, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), out], names=[*others, seq])
+
+    return df.mapInArrow(run, schema)
+
+
 def ending(codes: np.ndarray, off: np.ndarray, s: int) -> tuple[list[np.ndarray], np.ndarray]:
     """For each place of texts that stand one after the other: the string that ends there, of s letters or as many as
     there are behind the last other character, as numbers without the mask of its length, and that length."""

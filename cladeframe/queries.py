@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import kmers, sqlfunctions, tree
+from .functions import kmers, packed, sqlfunctions, tree
 from .operators import index as ix
 from .operators import lookup as lk
 from .operators import matching, reports, stats
@@ -37,7 +37,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(label, seq) of the documents whose language has a label."""
     of = F.create_map(*(x for i in range(4) for x in (F.lit(LANGS.names[i]), F.lit(i))))
     docs = _table(spark, sf_dir, "documents").select(of[F.col("lang")].alias("label"), "text").where("label is not null and text is not null")
-    return docs.repartition(_tasks(spark)).select("label", kmers.bases(F.col("text")).alias("seq"))
+    return packed.letters(docs)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def kmer_pieces(spark, d):
 
 
 def kmer_distinct(spark, d):
-    return kmers.windows(labelled(spark, d), "seq", K).groupBy("kmer").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
+    return kmers.windows(labelled(spark, d).repartition(_tasks(spark)), "seq", K).groupBy("kmer").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
 
 
 def index_build_k(spark, d):
@@ -450,8 +450,8 @@ def rollup_s31_to_k15(spark, d):
 
 def asking(spark: SparkSession, sf_dir: str, where: str = "text is not null") -> DataFrame:
     """(query_rank, query_name, seq) of documents, all of those with a text if no other condition is given."""
-    asked = _table(spark, sf_dir, "documents").where(where).repartition(_tasks(spark))
-    return asked.select(F.col("doc_id").alias("query_rank"), F.concat(F.lit("doc"), "doc_id").alias("query_name"), kmers.bases(F.col("text")).alias("seq"))
+    asked = _table(spark, sf_dir, "documents").where(where)
+    return packed.letters(asked.select(F.col("doc_id").alias("query_rank"), F.concat(F.lit("doc"), "doc_id").alias("query_name"), "text"))
 
 
 def lookup_k31(spark, d):
