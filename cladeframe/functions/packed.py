@@ -28,6 +28,8 @@ PIECE, CHUNK = 1 << 15, 1 << 18
 LOW = -(1 << 63)
 #: Letters up to which a string, its length and a place below 2^PLACE_BITS are one number; rows that a task merges at once.
 SHORT, PLACE_BITS, MERGED = 14, 30, 1 << 21
+#: Letters up to which a task has a table with a place for each string.
+TABLED = 10
 #: What paired() adds to the length of a string whose ending it turned round.
 TURNED = 1 << 16
 
@@ -142,6 +144,19 @@ def letters(df: DataFrame, text: str = "text", seq: str = "seq") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _rolled(codes: np.ndarray, s: int) -> np.ndarray:
+    """For each place of codes, the last s letters at least (a power of two) as a number, the very last in its highest
+    bits: 1, 2, 4, ... letters in the smallest numbers that hold them."""
+    p, size = codes, 1
+    while size < s:
+        kind = (np.uint8, np.uint16, np.uint32, np.uint64)[max(4 * size // 8, 1).bit_length() - 1]
+        longer = p.astype(kind)
+        longer <<= kind(2 * size)
+        longer[size:] |= p[: max(len(p) - size, 0)]
+        p, size = longer, 2 * size
+    return p
+
+
 def ending(codes: np.ndarray, off: np.ndarray, s: int) -> tuple[list[np.ndarray], np.ndarray]:
     """For each place of texts that stand one after the other: the string that ends there, of s letters or as many as
     there are behind the last other character, as numbers without the mask of its length, and that length."""
@@ -154,13 +169,7 @@ def ending(codes: np.ndarray, off: np.ndarray, s: int) -> tuple[list[np.ndarray]
         codes = codes.copy()
         codes[broken] = 0
     n = np.minimum(at - last, s)
-    # 1, 2, 4, ... letters in the smallest numbers that hold them
-    p = codes
-    for size, kind in ((1, np.uint8), (2, np.uint8), (4, np.uint16), (8, np.uint32), (16, np.uint64)):
-        longer = p.astype(kind)
-        longer <<= kind(2 * size)
-        longer[size:] |= p[: max(len(p) - size, 0)]
-        p = longer
+    p = _rolled(codes, LETTERS)
     words = []
     for i in range(len(columns(s))):
         word = np.zeros_like(p)
@@ -248,11 +257,99 @@ def strings(sequences: DataFrame, s: int, forward_only: bool = False, whole: boo
     return cut.mapInArrow(run, ", ".join([*(f"{c} long" for c in columns(s)), "n int", *(f"{c} int" for c in carried)]))
 
 
+class _Table:
+    """The least and greatest place of each string of up to s letters. A string is told by its number, the last letter in
+    the highest bits, behind those of all shorter ones."""
+
+    def __init__(self, s: int):
+        self.base = [(4**n - 4) // 3 for n in range(s + 2)]  # of strings of n letters
+        self.lo = np.full(self.base[s + 1], np.iinfo(np.int32).max, np.int32)
+        self.hi = np.full(self.base[s + 1], -1, np.int32)
+
+    def add(self, n: int, number: np.ndarray, place: np.ndarray) -> None:
+        at = number.astype(np.int64) + self.base[n]
+        for held, other, merge in ((self.lo, np.greater, np.minimum), (self.hi, np.less, np.maximum)):
+            new = np.flatnonzero(other(held[at], place))  # few, after the first letters
+            merge.at(held, at[new], place[new])
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the strings of n letters that were added, with their places."""
+        found = np.flatnonzero(self.hi[self.base[n] : self.base[n + 1]] >= 0)
+        return found, self.lo[found + self.base[n]], self.hi[found + self.base[n]]
+
+    def turn(self, n: int, other: _Table) -> None:
+        """Add the reverse complements of the other's strings of n letters; it may be this table."""
+        found, lo, hi = other.of(n)
+        by = np.uint64(64 - 2 * n)
+        at = (opposite([found.astype(np.uint64) << by], n)[0] >> by).astype(np.int64) + self.base[n]
+        self.lo[at], self.hi[at] = np.minimum(self.lo[at], lo), np.maximum(self.hi[at], hi)
+
+
+def _tabled(batches: Iterator[pa.RecordBatch], s: int, forward_only: bool, whole: bool) -> Iterator[pa.RecordBatch]:
+    """(w0, n, lo, hi) of the strings() of a task's pieces (tin, seq, lead, own), each once; s is up to TABLED.
+
+    Letters are read on one strand only. What the other one has is the reverse complement of all windows of s letters, and
+    of the shorter strings before the end of a run."""
+    tables: dict[bool, tuple[_Table, _Table]] = {}  # by whether there is a label: strings, and those of the other strand
+
+    def add(other: bool, n: int, number: np.ndarray, tin: np.ndarray) -> None:
+        for bare, some in ((False, tin >= 0), (True, tin < 0)) if unknown else ((False, slice(None)),):
+            if bare not in tables:
+                tables[bare] = _Table(s), _Table(s - 1)
+            tables[bare][other].add(n, number[some], np.maximum(tin[some], 0) if bare else tin[some])
+
+    for batch in batches:
+        lead, own = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("lead", "own"))
+        tins = batch.column(batch.schema.get_field_index("tin"))
+        unknown, places = tins.null_count > 0, pc.fill_null(tins, -1).to_numpy()
+        for rows, codes, off in _chunks(batch, "seq"):
+            known = codes < 4
+            begins, stops = known.copy(), known.copy()  # places with a letter behind which, or before which, there is none
+            begins[1:] &= ~known[:-1]
+            stops[:-1] &= ~known[1:]
+            filled = np.diff(off) > 0
+            for flags, ends in ((begins, off[:-1][filled]), (stops, off[1:][filled] - 1)):
+                flags[ends] = known[ends]
+            first, last = np.flatnonzero(begins), np.flatnonzero(stops)
+            size = last - first + 1
+            row = np.searchsorted(off, first, "right") - 1
+            tin = places[rows][row]
+            low = off[row] + lead[rows][row]  # the letters that are a piece's own
+            high = low + own[rows][row]
+            p = _rolled(codes & np.uint8(3), s)
+            p = p >> p.dtype.type(2 * ((1 << (s - 1).bit_length()) - s))
+            there = known
+            for j in range(s - 1):
+                there[first[size > j] + j] = False
+            add(False, s, p[there], np.repeat(tin, np.maximum(size - (s - 1), 0)))
+            for n in range(1, 1 if whole else s):
+                cut, at = p.dtype.type(2 * (s - n)), first + n - 1
+                some = (size >= n) & (at >= low) & (at < high)
+                add(False, n, p[at[some]] >> cut, tin[some])
+                if not forward_only:
+                    at = last - (n - 1)
+                    some = (size >= n) & (at >= low) & (at < high)
+                    add(True, n, p[last[some]] >> cut, tin[some])
+    for bare, (strings_, others) in tables.items():
+        for n in range(s if whole else 1, s + 1):
+            if not forward_only:
+                strings_.turn(n, strings_ if n == s else others)
+            found, lo, hi = strings_.of(n)
+            for i in range(0, len(found), CHUNK):
+                w = (found[i : i + CHUNK].astype(np.uint64) << np.uint64(64 - 2 * n)) ^ _TURN
+                span = [pa.nulls(len(w), pa.int32())] * 2 if bare else [pa.array(x[i : i + CHUNK]) for x in (lo, hi)]
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), n, np.int32)), *span], names=["w0", "n", "lo", "hi"])
+
+
 def spans(sequences: DataFrame, s: int, forward_only: bool = False, whole: bool = False) -> DataFrame:
     """strings() of sequences (tin, seq) with the least and greatest tin (lo, hi) of each. Strings of up to SHORT letters
-    recur so often that a task merges its own before they leave it, in a table of MERGED rows."""
+    recur so often that a task merges its own before they leave it: in a table of all strings there are of up to TABLED
+    letters, in one of MERGED rows beyond."""
     if s > SHORT:
         return strings(sequences, s, forward_only, whole).withColumns({"lo": F.col("tin"), "hi": F.col("tin")}).drop("tin")
+    if s <= TABLED:
+        cut = pieces(sequences.select("tin", "seq", *cut_columns(sequences)), "seq", s - 1, 0 if forward_only else s - 1)
+        return cut.mapInArrow(lambda batches: _tabled(batches, s, forward_only, whole), "w0 long, n int, lo int, hi int")
     low, at = np.uint64((1 << PLACE_BITS) - 1), np.uint64(PLACE_BITS)
     names = ["w0", "n", "lo", "hi"]
 
