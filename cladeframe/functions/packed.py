@@ -86,13 +86,14 @@ def cut_columns(df: DataFrame) -> list[str]:
     return [c for c in ("offset", "lead", "own") if "lead" in df.columns]
 
 
-def _tasks(df: DataFrame) -> int:
+def tasks_of(df: DataFrame) -> int:
+    """To how many tasks what is made of df is dealt."""
     spark = df.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def pieces(df: DataFrame, seq: str, before: int, after: int) -> DataFrame:
-    """df with seq cut to pieces, dealt to all tasks: offset of the letters that are a piece's own, lead (letters before
+def pieces(df: DataFrame, seq: str, before: int, after: int, tasks: int | None = None) -> DataFrame:
+    """df with seq cut to pieces, dealt to all tasks, or to as many as are given: offset of the letters that are a piece's own, lead (letters before
     them, up to before), own (their number); up to after letters follow. Other characters count as one letter each.
     Sequences that have these columns are pieces already, and stay as they are."""
     ship(df.sparkSession)
@@ -103,7 +104,7 @@ def pieces(df: DataFrame, seq: str, before: int, after: int) -> DataFrame:
     # no filter: one on the length would be worked out once more, below, by the planner
     cut = told.withColumn("offset", F.explode(F.when(F.length(seq) > 0, F.sequence(F.lit(0), F.length(seq) - 1, F.lit(PIECE)))))
     cut = cut.withColumns({"lead": F.least("offset", F.lit(before)), "own": F.least(F.lit(PIECE), F.length(seq) - F.col("offset"))})
-    return cut.withColumn(seq, F.substring(seq, F.col("offset") - F.col("lead") + 1, F.col("lead") + F.col("own") + after)).repartition(_tasks(df))
+    return cut.withColumn(seq, F.substring(seq, F.col("offset") - F.col("lead") + 1, F.col("lead") + F.col("own") + after)).repartition(tasks or tasks_of(df))
 
 
 def _chunks(batch: pa.RecordBatch, seq: str) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -487,11 +488,16 @@ def both(labels: DataFrame, k: int, text: bool = False) -> DataFrame:
     return labels.select(*names, "label").mapInArrow(run, "kmer string, label int" if text else ", ".join([*(f"{c} long" for c in names), "label int"]))
 
 
-def asked_windows(queries: DataFrame, k: int, pairs: bool = False) -> DataFrame:
+def tasks_for(df: DataFrame, letters: int) -> int:
+    """How many tasks so many letters are worth, of those that pieces() deals to."""
+    return min(max(-(-letters // CHUNK), 1), tasks_of(df))
+
+
+def asked_windows(queries: DataFrame, k: int, pairs: bool = False, tasks: int | None = None) -> DataFrame:
     """(query_rank, piece, start, end, w0, ...) of each window of k letters of queries (query_rank, seq); neighbouring
     windows with other characters are one row, without numbers. pairs: the numbers are those of the lesser of the window
-    and its reverse complement."""
-    cut = pieces(queries.select(F.col("query_rank").cast("long").alias("query_rank"), "seq", *cut_columns(queries)), "seq", 0, k - 1)
+    and its reverse complement. tasks: how many make them, all if it is not given."""
+    cut = pieces(queries.select(F.col("query_rank").cast("long").alias("query_rank"), "seq", *cut_columns(queries)), "seq", 0, k - 1, tasks)
     names = ["query_rank", "piece", "start", "end", *columns(k)]
 
     def run(batches):

@@ -27,25 +27,25 @@ def run_lengths(df: DataFrame, keys: list[str], order: str, value: str, length:
     return flagged.groupBy(*keys, "__run").agg(F.min(order).alias("start"), end.alias("end"), F.first(value).alias(value)).drop("__run")
 
 
-def labelled_windows(queries: DataFrame, labels: DataFrame, k: int, seen: Observation | None = None, pairs: bool = False) -> DataFrame:
+def labelled_windows(queries: DataFrame, labels: DataFrame, k: int, seen: Observation | None = None, pairs: bool = False, tasks: int | None = None) -> DataFrame:
     """(query_rank, piece, start, end, label) of the windows of queries (query_rank, seq); neighbouring windows with
     other characters than A, C, G, T are one row. labels: (w0, ..., label) or (kmer, label) with each string once; pairs:
-    an index's paired_labels()."""
+    an index's paired_labels(). tasks: how many make the windows, all if it is not given."""
     if "kmer" in labels.columns:
         labels = labels.select(*(c.alias(name) for name, c in packed.pack(F.col("kmer"), k).items()), "label")
     names = packed.columns(k)
-    asked = packed.asked_windows(queries, k, pairs)
+    asked = packed.asked_windows(queries, k, pairs, tasks)
     if seen is not None:
         asked = asked.observe(seen, F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("n_kmers"))
     return asked.join(labels, names, "left").drop(*names)
 
 
-def annotate(queries: DataFrame, labels: DataFrame, k: int, seen: Observation | None = None, pairs: bool = False) -> DataFrame:
+def annotate(queries: DataFrame, labels: DataFrame, k: int, seen: Observation | None = None, pairs: bool = False, tasks: int | None = None) -> DataFrame:
     """(query_rank, from_kmer, to_kmer, label) of queries (query_rank, seq), misses (label null) included.
 
     Runs are found within the pieces of a sequence first, then across pieces, so that a chromosome is not one task.
     """
-    found = labelled_windows(queries.select("query_rank", "seq", *packed.cut_columns(queries)), labels, k, seen, pairs)
+    found = labelled_windows(queries.select("query_rank", "seq", *packed.cut_columns(queries)), labels, k, seen, pairs, tasks)
     first = run_lengths(found, ["query_rank", "piece"], "start", "label", "end")
     whole = run_lengths(first.drop("piece"), ["query_rank"], "start", "label", "end")
     return whole.select("query_rank", F.col("start").alias("from_kmer"), F.col("end").alias("to_kmer"), "label")
@@ -56,18 +56,20 @@ def lookup(queries: DataFrame, index: Index, k: int | None = None, misses: bool
 
     labels: the index's packed_labels(k), if many lookups share them. Without, the index is read for the queries' own
     strings if these are few, so nothing else of it is moved. seen: tells n_kmers, the windows looked up, once the result
-    has been read, without a scan of its own. Queries may be pieces (readers.read_pieces with k - 1 letters after).
+    has been read, without a scan of its own. As many tasks make the windows as their number is worth. Queries may be
+    pieces (readers.read_pieces with k - 1 letters after).
     """
     k = kmers.check_k(k or index.s, index.s)
-    pairs = None
+    pairs = tasks = None
     if labels is None:
-        asked = None
-        if counted(queries, k).first()["n_kmers"] <= ASKED:
-            asked = packed.asked_windows(queries, k).where("w0 is not null").select(*packed.columns(k)).distinct()
+        asked, size = None, counted(queries, k).first()
+        tasks = packed.tasks_for(queries, size["n_kmers"] + size["n_queries"] * k)
+        if size["n_kmers"] <= ASKED:
+            asked = packed.asked_windows(queries, k, tasks=tasks).where("w0 is not null").select(*packed.columns(k)).distinct()
         else:
             pairs = index.paired_labels(k)
         labels = pairs if pairs is not None else index.packed_labels(k, asked)
-    runs = annotate(queries, labels, k, seen, pairs is not None)
+    runs = annotate(queries, labels, k, seen, pairs is not None, tasks)
     if not misses:
         runs = runs.where("label is not null")
     runs = tree.with_name(runs, index.labels)
