@@ -30,8 +30,8 @@ LOW = -(1 << 63)
 SHORT, PLACE_BITS, MERGED = 14, 30, 1 << 21
 #: Letters up to which a task has a table with a place for each string.
 TABLED = 10
-#: What paired() adds to the length of a string whose ending it turned round.
-TURNED = 1 << 16
+#: Letters up to which a window and a place are one number.
+MERGED_PAIRS = (64 - PLACE_BITS) // 2
 
 CODES = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
@@ -342,17 +342,11 @@ def _tabled(batches: Iterator[pa.RecordBatch], s: int, forward_only: bool, whole
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), n, np.int32)), *span], names=["w0", "n", "lo", "hi"])
 
 
-def spans(sequences: DataFrame, s: int, forward_only: bool = False, whole: bool = False) -> DataFrame:
-    """strings() of sequences (tin, seq) with the least and greatest tin (lo, hi) of each. Strings of up to SHORT letters
-    recur so often that a task merges its own before they leave it: in a table of all strings there are of up to TABLED
-    letters, in one of MERGED rows beyond."""
-    if s > SHORT:
-        return strings(sequences, s, forward_only, whole).withColumns({"lo": F.col("tin"), "hi": F.col("tin")}).drop("tin")
-    if s <= TABLED:
-        cut = pieces(sequences.select("tin", "seq", *cut_columns(sequences)), "seq", s - 1, 0 if forward_only else s - 1)
-        return cut.mapInArrow(lambda batches: _tabled(batches, s, forward_only, whole), "w0 long, n int, lo int, hi int")
+def _merged(batches: Iterator[pa.RecordBatch], most: int, lengths: bool) -> Iterator[pa.RecordBatch]:
+    """(w0, n, lo, hi) of batches (w0, n, tin), each string once in a table of MERGED rows, sorted. Strings have up to most
+    letters, so that they and a place are one number; lengths: and n, which is not part of the rows otherwise."""
     low, at = np.uint64((1 << PLACE_BITS) - 1), np.uint64(PLACE_BITS)
-    names = ["w0", "n", "lo", "hi"]
+    names = ["w0", "n", "lo", "hi"] if lengths else ["w0", "lo", "hi"]
 
     def rows(held):
         """Batches of the strings of sorted keys."""
@@ -361,8 +355,9 @@ def spans(sequences: DataFrame, s: int, forward_only: bool = False, whole: bool
         last = np.append(first[1:], len(key))[: len(first)] - 1
         for i in range(0, len(first), CHUNK):
             a, b = held[first[i : i + CHUNK]], held[last[i : i + CHUNK]]
-            w = (a & MASKS[SHORT]) ^ _TURN
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in ((a >> at) & np.uint64(15), a & low, b & low))], names=names)
+            w = (a & MASKS[most]) ^ _TURN
+            told = ((a >> at) & np.uint64(15),) if lengths else ()
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (*told, a & low, b & low))], names=names)
 
     def ends(held):
         """The keys of the least and greatest place of each string, sorted."""
@@ -371,26 +366,36 @@ def spans(sequences: DataFrame, s: int, forward_only: bool = False, whole: bool
         other = key[1:] != key[:-1]
         return held[np.append(True, other) | np.append(other, True)] if len(held) else held
 
-    def merged(batches):
-        held, size = [], 0
-        for batch in batches:
-            if batch.column(2).null_count:  # of a label that is not in the tree
-                bare = batch.filter(batch.column(2).is_null())
-                yield pa.RecordBatch.from_arrays([bare.column(0), bare.column(1), bare.column(2), bare.column(2)], names=names)
-                batch = batch.filter(batch.column(2).is_valid())
-            w, n, tin = (batch.column(i).to_numpy() for i in range(3))
-            held.append(ends((w.view(np.uint64) ^ _TURN) | (n.astype(np.uint64) << at) | tin.astype(np.uint64)))
-            size += len(held[-1])
-            if size > MERGED:
-                held = [ends(np.concatenate(held))]
-                size = len(held[0])
-                if size > MERGED // 2:
-                    yield from rows(held[0])
-                    held, size = [], 0
-        if held:
-            yield from rows(ends(np.concatenate(held)))
-
-    return strings(sequences, s, forward_only, whole, merged, "w0 long, n int, lo int, hi int")
+    held, size = [], 0
+    for batch in batches:
+        if batch.column(2).null_count:  # of a label that is not in the tree
+            bare = batch.filter(batch.column(2).is_null())
+            yield pa.RecordBatch.from_arrays([bare.column(0), *([bare.column(1)] if lengths else []), bare.column(2), bare.column(2)], names=names)
+            batch = batch.filter(batch.column(2).is_valid())
+        w, n, tin = (batch.column(i).to_numpy() for i in range(3))
+        held.append((w.view(np.uint64) ^ _TURN) | (n.astype(np.uint64) << at if lengths else np.uint64(0)) | tin.astype(np.uint64))
+        held[-1] = ends(held[-1])
+        size += len(held[-1])
+        if size > MERGED:
+            held = [ends(np.concatenate(held))]
+            size = len(held[0])
+            if size > MERGED // 2:
+                yield from rows(held[0])
+                held, size = [], 0
+    if held:
+        yield from rows(ends(np.concatenate(held)))
+
+
+def spans(sequences: DataFrame, s: int, forward_only: bool = False, whole: bool = False) -> DataFrame:
+    """strings() of sequences (tin, seq) with the least and greatest tin (lo, hi) of each. Strings of up to SHORT letters
+    recur so often that a task merges its own before they leave it: in a table of all strings there are of up to TABLED
+    letters, in one of MERGED rows beyond."""
+    if s > SHORT:
+        return strings(sequences, s, forward_only, whole).withColumns({"lo": F.col("tin"), "hi": F.col("tin")}).drop("tin")
+    if s <= TABLED:
+        cut = pieces(sequences.select("tin", "seq", *cut_columns(sequences)), "seq", s - 1, 0 if forward_only else s - 1)
+        return cut.mapInArrow(lambda batches: _tabled(batches, s, forward_only, whole), "w0 long, n int, lo int, hi int")
+    return strings(sequences, s, forward_only, whole, lambda batches: _merged(batches, SHORT, True), "w0 long, n int, lo int, hi int")
 
 
 def _plain(arrays: list[pa.Array]) -> list[np.ndarray]:
@@ -424,37 +429,33 @@ def _lesser(words: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     return less
 
 
-def _ending(words: list[np.ndarray], k: int) -> list[np.ndarray]:
-    """The last k letters of strings that have so many."""
-    out = words[: len(columns(k))]
-    return [*out[:-1], out[-1] & MASKS[k - LETTERS * (len(out) - 1)]]
-
+def _pair(words: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The lesser of each string of k letters and its reverse complement."""
+    back = opposite(words, k)
+    turned = _lesser(words, back)
+    return [np.where(turned, b, w) for w, b in zip(words, back, strict=True)]
 
-def _pair(words: list[np.ndarray], k: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Strings whose last k letters are replaced by their reverse complement where that comes first, and where it does."""
-    end = _ending(words, k)
-    back = opposite(end, k)
-    turned = _lesser(end, back)
-    new = [np.where(turned, b | (w ^ e), w) for w, e, b in zip(words, end, back, strict=False)]
-    return [*new, *words[len(end) :]], turned
 
+def paired(sequences: DataFrame, k: int) -> DataFrame:
+    """(w0, ..., lo, hi): the windows of k letters of one strand of sequences (tin, seq), for an index of both strands: the
+    lesser of each and its reverse complement. These have the same labels on both strands together, so one of them stands
+    for both (both() gives the other). Of up to MERGED_PAIRS letters, a task merges its own before they leave it."""
+    names = columns(k)
 
-def paired(sequences: DataFrame, s: int, k: int) -> DataFrame:
-    """(w0, ..., n, tin): the strings() of one strand of sequences (tin, seq) that have k letters, for an index of both
-    strands: their last k letters are the lesser of themselves and their reverse complement. n has TURNED where they are
-    the latter, so different strings stay different. A string and its reverse complement have the same labels on both
-    strands together, so one of them stands for both (both() gives the other)."""
-    names = columns(s)
-
-    def turned_round(batches):
+    def lesser(batches):
         for batch in batches:
-            kept = batch.filter(pa.array(batch.column(len(names)).to_numpy() >= k))
-            words, turned = _pair(_plain(kept.columns[: len(names)]), k)
-            n = kept.column(len(names)).to_numpy() + np.where(turned, TURNED, 0).astype(np.int32)
-            tin = kept.column(len(names) + 1)
-            yield pa.RecordBatch.from_arrays([*_signed(words), pa.array(n.astype(np.int32)), tin], names=[*names, "n", "tin"])
+            words = _signed(_pair(_plain(batch.columns[: len(names)]), k))
+            yield pa.RecordBatch.from_arrays([*words, batch.column(len(names)), batch.column(len(names) + 1)], names=[*names, "n", "tin"])
+
+    def spans_of(batches):
+        if k <= MERGED_PAIRS:
+            yield from _merged(lesser(batches), k, False)
+        else:
+            for batch in lesser(batches):
+                tin = batch.column(len(names) + 1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], tin, tin], names=[*names, "lo", "hi"])
 
-    return strings(sequences, s, True, s == k, turned_round, ", ".join([*(f"{c} long" for c in names), "n int, tin int"]))
+    return strings(sequences, k, True, True, spans_of, ", ".join([*(f"{c} long" for c in names), "lo int, hi int"]))
 
 
 _FOUR = np.frombuffer("".join("ACGT"[b >> 6] + "ACGT"[b >> 4 & 3] + "ACGT"[b >> 2 & 3] + "ACGT"[b & 3] for b in range(256)).encode(), np.uint32)
@@ -522,7 +523,7 @@ def asked_windows(queries: DataFrame, k: int, pairs: bool = False, tasks: int |
                 start = first[row[took]] + place[took]
                 numbers = _masked(words, n, took)
                 if pairs:
-                    numbers = _signed(_pair(_plain(numbers), k)[0])
+                    numbers = _signed(_pair(_plain(numbers), k))
                 numbers = [pa.array(x.to_numpy(), mask=~known) for x in numbers]
                 yield pa.RecordBatch.from_arrays([rank.take(pa.array(row[took])), pa.array(first[row[took]] // PIECE), pa.array(start), pa.array(start + size), *numbers], names=names)
 
