@@ -93,9 +93,9 @@ def tasks_of(df: DataFrame) -> int:
 
 
 def pieces(df: DataFrame, seq: str, before: int, after: int, tasks: int | None = None) -> DataFrame:
-    """df with seq cut to pieces, dealt to all tasks, or to as many as are given: offset of the letters that are a piece's own, lead (letters before
-    them, up to before), own (their number); up to after letters follow. Other characters count as one letter each.
-    Sequences that have these columns are pieces already, and stay as they are."""
+    """df with seq cut to pieces, dealt to all tasks, or to as many as are given: offset of the letters that are a piece's
+    own, lead (letters before them, up to before), own (their number); up to after letters follow. Other characters count
+    as one letter each. Sequences that have these columns are pieces already, and stay as they are."""
     ship(df.sparkSession)
     if "lead" in df.columns:
         return df.withColumn(seq, F.col(seq).cast("binary"))
